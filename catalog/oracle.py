@@ -236,10 +236,11 @@ def registry() -> dict[str, str]:
         "cpt_corpus": f"select doc_id, text from documents where {_corpus}",
         "cpt_corpus_head": f"select doc_id, text from documents where {_corpus} order by doc_id limit {HEAD}",
         "cpt_corpus_eos": f"select doc_id, text || '</s>' as text from documents where {_corpus}",
-        "article_paragraphs": f"""with {ARTICLES}, mine as (select * from art where role = 'user')
-            select law, article, len(ps) as n_par, i - 1 as pos, ps[i] as paragraph
+        "article_paragraphs": f"""with {ARTICLES},
+            mine as (select *, case role when 'user' then 'ru' else 'ky' end as lang from art where role <> 'system')
+            select law, article, lang, i - 1 as pos, ps[i] as paragraph
             from (select *, unnest(range(1, len(ps) + 1)) as i from mine)
-            union all select law, article, 0, null, null from mine where len(ps) = 0""",
+            union all select law, article, lang, -1, '' from mine where len(ps) = 0""",
         "align_articles": f"with {ARTICLES} select law, article, len(pr) as n_ru, len(pk) as n_ky from both_sides",
         "align_paragraphs": f"with {ARTICLES} select law, article, pos, ru, ky from zipped",
         "align_pairs": f"""with {ARTICLES}

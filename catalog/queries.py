@@ -42,31 +42,31 @@ def cpt_corpus_eos(spark, sf):
 
 
 def article_paragraphs(spark, sf):
-    return articles.article_paragraphs(t.chunks(spark, sf, "user"))
+    return articles.article_paragraphs(t.chunks(spark, sf))
 
 
 def align_articles(spark, sf):
-    return align.common_articles(*t.sides(spark, sf))
+    return align.common_articles(t.chunks(spark, sf))
 
 
 def align_paragraphs(spark, sf):
-    return align.zip_paragraphs(*t.sides(spark, sf))
+    return align.zip_paragraphs(t.chunks(spark, sf))
 
 
 def align_pairs(spark, sf):
-    return align.align_pairs(*t.sides(spark, sf))
+    return align.align_pairs(t.chunks(spark, sf))
 
 
 def align_pairs_wide(spark, sf):
-    return align.align_pairs(*t.sides(spark, sf), chars=WIDE_CHARS)
+    return align.align_pairs(t.chunks(spark, sf), chars=WIDE_CHARS)
 
 
 def align_split(spark, sf):
-    return plans.aligned_pairs(*t.sides(spark, sf), chars=WIDE_CHARS)
+    return plans.aligned_pairs(t.chunks(spark, sf), chars=WIDE_CHARS)
 
 
 def align_report(spark, sf):
-    return align.align_report(*t.sides(spark, sf))
+    return align.align_report(t.chunks(spark, sf))
 
 
 def pair_gate(spark, sf):

@@ -16,9 +16,16 @@ LEXICON = [
 # One worked example for few-shot prompts.
 SHOTS = [("The bridge was closed in May for repairs and opened again in June.", "The bridge reopened in June.")]
 
+# Declared, so that planning a query opens no file.
+SCHEMAS = {
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,15 +39,13 @@ def _law() -> list:
     ]
 
 
-def chunks(spark: SparkSession, sf_dir: str, role: str) -> DataFrame:
-    """One role's turns as the chunks of articles; one conversation is one article."""
-    return table(spark, sf_dir, "conversations").where(F.col("role") == role).select(
-        *_law(), "text", F.expr("turn div 65536").alias("blk"), F.col("turn").alias("ord")
-    )
-
-
-def sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return chunks(spark, sf_dir, "user"), chunks(spark, sf_dir, "assistant")
+def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """User and assistant turns as the chunks of articles in two languages; one
+    conversation is one article."""
+    lang = F.when(F.col("role") == "user", "ru").when(F.col("role") == "assistant", "ky")
+    return table(spark, sf_dir, "conversations").select(
+        lang.alias("lang"), *_law(), "text", F.expr("turn div 65536").alias("blk"), F.col("turn").alias("ord")
+    ).where(F.col("lang").isNotNull())
 
 
 def turn_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

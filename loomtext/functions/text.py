@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from loomtext.defaults import PAIR_CHARS, PAIR_RATIO, WHITESPACE
 
-# Not preceded or followed by another decimal digit of any script.
-_ALONE = r"(?<!\p{{Nd}}){}(?!\p{{Nd}})"
-
 
 def _col(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
@@ -61,11 +58,12 @@ def fill(template: str, text: Column | str, slot: str = "{text}") -> Column:
     return F.concat(*pieces)
 
 
-def number_once(text: Column | str, digits: str) -> Column:
+def number_once(text: Column | str, digits: Column) -> Column:
     """True when the number stands exactly once in the text, as a whole digit run."""
     text = _col(text)
-    # The plain search is cheap and lets most rows skip the regular expression.
-    return text.contains(digits) & (F.regexp_count(text, F.lit(_ALONE.format(digits))) == 1)
+    runs = F.regexp_extract_all(text, F.lit(r"\p{Nd}+"), F.lit(0))
+    # The plain search is cheap and lets most texts skip the regular expression.
+    return F.contains(text, digits) & (F.size(F.filter(runs, lambda run: run == digits)) == 1)
 
 
 def put_number(text: Column | str, digits: Column, word: Column) -> Column:

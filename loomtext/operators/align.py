@@ -1,122 +1,141 @@
-"""Pairs of paragraphs, or of whole articles, of a two-language collection."""
+"""Pairs of paragraphs, or of whole articles, of a two-language collection.
+
+Both languages travel in one frame of chunks, told apart by ``lang``, so that
+each exchange serves both.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomtext.defaults import PAIR_CHARS, PAIR_RATIO
-from loomtext.functions import good_pair, within
-from loomtext.operators.articles import ARTICLE, article_blocks, article_totals, place_paragraphs, split_chunks
+from loomtext.functions import good_pair
+from loomtext.operators.articles import ARTICLE, block_totals, place_paragraphs, split_chunks, with_start
 
 Bounds = tuple[int, int]
 Ratio = tuple[float, float]
 
+RU, KY = "ru", "ky"
 BY_PARAGRAPH = "paragraph"
 BY_ARTICLE = "article"
 SKIPPED = "skipped"
 
 
-def _joined_chars(n_par: str, n_chars: str) -> Column:
-    """Length of an article whose paragraphs are joined by a space."""
-    return F.col(n_chars) + F.greatest(F.col(n_par) - 1, F.lit(0))
+def _routed_blocks(split: DataFrame, chars: Bounds, ratio: Ratio) -> DataFrame:
+    """Blocks with their article's paragraph counts and the way to align it.
 
+    ``route`` is null for articles of one language only.  Whole-article pairs
+    are decided from lengths, so a long article is skipped without its text.
+    """
+    article = Window.partitionBy(*ARTICLE)
 
-def article_routes(ru_blocks: DataFrame, ky_blocks: DataFrame, chars: Bounds = PAIR_CHARS, ratio: Ratio = PAIR_RATIO):
-    """One row per article of either side, with how it is to be aligned.
+    def total(column: str, lang: str) -> Column:
+        return F.sum(F.when(F.col("lang") == lang, F.col(column))).over(article)
+
+    blocks = block_totals(split).withColumns({
+        "n_ru": total("n", RU), "n_ky": total("n", KY), "c_ru": total("chars", RU), "c_ky": total("chars", KY),
+    })
+
+    def joined_chars(lang: str) -> Column:
+        """Length of the article with its paragraphs joined by a space."""
+        return F.col(f"c_{lang}") + F.greatest(F.col(f"n_{lang}") - 1, F.lit(0))
 
-    ``route`` is null for articles of one side only.  Whole-article pairs are
-    decided from lengths, so a long article is skipped without joining its text.
-    """
-    ru = article_totals(ru_blocks).select(*ARTICLE, F.col("n_par").alias("n_ru"), F.col("n_chars").alias("c_ru"))
-    ky = article_totals(ky_blocks).select(*ARTICLE, F.col("n_par").alias("n_ky"), F.col("n_chars").alias("c_ky"))
-    whole = good_pair(_joined_chars("n_ru", "c_ru"), _joined_chars("n_ky", "c_ky"), chars, ratio)
     route = (
         F.when(F.col("n_ru").isNull() | F.col("n_ky").isNull(), F.lit(None))
         .when(F.col("n_ru") == F.col("n_ky"), BY_PARAGRAPH)
-        .when(whole, BY_ARTICLE)
+        .when(good_pair(joined_chars(RU), joined_chars(KY), chars, ratio), BY_ARTICLE)
         .otherwise(SKIPPED)
     )
-    return ru.join(ky, ARTICLE, "full").select(*ARTICLE, "n_ru", "n_ky", route.alias("route"))
+    return blocks.withColumn("route", route)
+
+
+def _per_article(blocks: DataFrame) -> DataFrame:
+    """One row per article; the blocks are partitioned for it already."""
+    return blocks.groupBy(*ARTICLE).agg(
+        F.max("n_ru").alias("n_ru"), F.max("n_ky").alias("n_ky"), F.min("route").alias("route")
+    )
+
 
+def _routed(split: DataFrame, blocks: DataFrame, route: str) -> DataFrame:
+    return place_paragraphs(split, with_start(blocks.where(F.col("route") == route)))
 
-class _Sides:
-    """Both languages split, with block totals and routes; all of it lazy."""
 
-    def __init__(self, ru_chunks: DataFrame, ky_chunks: DataFrame, chars: Bounds, ratio: Ratio):
-        self.splits = {"ru": split_chunks(ru_chunks), "ky": split_chunks(ky_chunks)}
-        self.blocks = {side: article_blocks(split) for side, split in self.splits.items()}
-        self.routes = article_routes(self.blocks["ru"], self.blocks["ky"], chars, ratio)
+def _zip_sides(rows: DataFrame) -> DataFrame:
+    """Bring the two languages of each (law, article, pos) into one row.
 
-    def paragraphs(self, side: str, route: str) -> DataFrame:
-        chosen = self.routes.where(F.col("route") == route).select(*ARTICLE)
-        blocks = self.blocks[side].drop("n_par", "n_chars").join(chosen, ARTICLE)
-        return place_paragraphs(self.splits[side], blocks)
+    Such a group holds at most two rows, so one exchange and a look at the next
+    row do it, and a long article spreads over all partitions.
+    """
+    by_side = Window.partitionBy(*ARTICLE, "pos").orderBy(F.col("lang").desc())
+    return (
+        rows.withColumns({"ky": F.lead("text").over(by_side), "ky_chars": F.lead("chars").over(by_side)})
+        .where(F.col("ky_chars").isNotNull())
+        .withColumnsRenamed({"text": "ru", "chars": "ru_chars"})
+    )
 
-    def paragraph_pairs(self, chars: Bounds | None) -> DataFrame:
-        """Paragraph i with paragraph i.  Joined on the position too, so a long
-        article spreads over all partitions; texts out of range never travel."""
 
-        def side(name: str) -> DataFrame:
-            rows = self.paragraphs(name, BY_PARAGRAPH).withColumn(f"{name}_chars", F.length("paragraph"))
-            if chars is not None:
-                rows = rows.where(F.col(f"{name}_chars").between(*chars))
-            return rows.withColumnRenamed("paragraph", name)
+def _paragraph_pairs(split: DataFrame, blocks: DataFrame, chars: Bounds | None, ratio: Ratio) -> DataFrame:
+    """Paragraph i with paragraph i.  Texts out of range are dropped before the
+    exchange; ``chars`` None leaves the gate out."""
+    rows = _routed(split, blocks, BY_PARAGRAPH).withColumn("chars", F.length("paragraph"))
+    if chars is None:
+        return _zip_sides(rows.withColumnRenamed("paragraph", "text"))
+    rows = rows.where(F.col("chars").between(*chars)).withColumnRenamed("paragraph", "text")
+    return _zip_sides(rows).where(good_pair(F.col("ru_chars"), F.col("ky_chars"), chars, ratio))
 
-        return side("ru").join(side("ky"), [*ARTICLE, "pos"])
 
-    def article_pairs(self) -> DataFrame:
-        """Whole articles.  Their joined length has passed the gate already, so
-        the lists collected here hold at most that many characters."""
+def _article_pairs(split: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Whole articles.  Their joined length has passed the gate already, so the
+    lists collected here hold at most that many characters."""
 
-        def side(name: str) -> DataFrame:
-            ordered = F.array_sort(F.collect_list(F.struct("pos", "paragraph")))
-            text = F.array_join(F.transform(ordered, lambda p: p["paragraph"]), " ")
-            return self.paragraphs(name, BY_ARTICLE).groupBy(*ARTICLE).agg(text.alias(name))
+    def joined(lang: str) -> Column:
+        mine = F.when(F.col("lang") == lang, F.struct("pos", "paragraph"))
+        ordered = F.array_sort(F.collect_list(mine))
+        return F.array_join(F.transform(ordered, lambda p: p["paragraph"]), " ").alias(lang)
 
-        return side("ru").join(side("ky"), ARTICLE)
+    return _routed(split, blocks, BY_ARTICLE).groupBy(*ARTICLE).agg(joined(RU), joined(KY))
 
 
-def common_articles(ru_chunks: DataFrame, ky_chunks: DataFrame) -> DataFrame:
+def common_articles(chunks: DataFrame) -> DataFrame:
     """Articles present in both languages with their paragraph counts, sorted."""
-    routes = _Sides(ru_chunks, ky_chunks, PAIR_CHARS, PAIR_RATIO).routes
-    return routes.where(F.col("route").isNotNull()).select(*ARTICLE, "n_ru", "n_ky").orderBy(*ARTICLE)
+    articles = _per_article(_routed_blocks(split_chunks(chunks), PAIR_CHARS, PAIR_RATIO))
+    return articles.where(F.col("route").isNotNull()).drop("route").orderBy(*ARTICLE)
 
 
-def zip_paragraphs(ru_chunks: DataFrame, ky_chunks: DataFrame) -> DataFrame:
+def zip_paragraphs(chunks: DataFrame) -> DataFrame:
     """All paragraph pairs of articles with equal paragraph counts, before the gate."""
-    sides = _Sides(ru_chunks, ky_chunks, PAIR_CHARS, PAIR_RATIO)
-    return sides.paragraph_pairs(None).select(*ARTICLE, "pos", "ru", "ky")
+    split = split_chunks(chunks)
+    blocks = _routed_blocks(split, PAIR_CHARS, PAIR_RATIO)
+    return _paragraph_pairs(split, blocks, None, PAIR_RATIO).select(*ARTICLE, "pos", "ru", "ky")
 
 
-def align_pairs(
-    ru_chunks: DataFrame, ky_chunks: DataFrame, chars: Bounds = PAIR_CHARS, ratio: Ratio = PAIR_RATIO
-) -> DataFrame:
+def align_pairs(chunks: DataFrame, chars: Bounds = PAIR_CHARS, ratio: Ratio = PAIR_RATIO) -> DataFrame:
     """Gated pairs (law, article, unit, pos, ru, ky).
 
     ``unit`` is 'paragraph' or 'article'.  No article gives both, so
     (law, article, pos) tells pairs apart; pos is 0 for a whole article.
     """
-    sides = _Sides(ru_chunks, ky_chunks, chars, ratio)
-    paragraphs = sides.paragraph_pairs(chars).where(good_pair(F.col("ru_chars"), F.col("ky_chars"), chars, ratio))
-    articles = sides.article_pairs().withColumn("pos", F.lit(0).cast("bigint"))
+    split = split_chunks(chunks)
+    blocks = _routed_blocks(split, chars, ratio)
 
     def unit(df: DataFrame, name: str) -> DataFrame:
         return df.select(*ARTICLE, F.lit(name).alias("unit"), "pos", "ru", "ky")
 
+    paragraphs = _paragraph_pairs(split, blocks, chars, ratio)
+    articles = _article_pairs(split, blocks).withColumn("pos", F.lit(0).cast("bigint"))
     return unit(paragraphs, BY_PARAGRAPH).unionByName(unit(articles, BY_ARTICLE))
 
 
-def align_report(
-    ru_chunks: DataFrame, ky_chunks: DataFrame, chars: Bounds = PAIR_CHARS, ratio: Ratio = PAIR_RATIO
-) -> DataFrame:
-    """Counters (metric, n): articles per side and common, pairs made, articles skipped.
+def align_report(chunks: DataFrame, chars: Bounds = PAIR_CHARS, ratio: Ratio = PAIR_RATIO) -> DataFrame:
+    """Counters (metric, n): articles per language and common, pairs, articles skipped.
 
-    ``skipped`` counts articles with unequal paragraph counts that fail the
-    gate; equal-count articles whose paragraphs all fail are not counted.
-    Paragraph texts are reduced to their lengths before they are shuffled.
+    ``articles_skipped`` counts articles with unequal paragraph counts that
+    fail the gate; equal-count articles whose paragraphs all fail are not
+    counted.  Texts are reduced to lengths before they are shuffled.
     """
-    sides = _Sides(ru_chunks, ky_chunks, chars, ratio)
+    split = split_chunks(chunks)
+    blocks = _routed_blocks(split, chars, ratio)
     route = F.col("route")
     counters = {
         "articles_ru": F.count("n_ru"),
@@ -125,10 +144,11 @@ def align_report(
         "article_pairs": F.count_if(route == BY_ARTICLE),
         "articles_skipped": F.count_if(route == SKIPPED),
     }
-    articles = sides.routes.agg(*[c.alias(name) for name, c in counters.items()])
-    gated = sides.paragraph_pairs(chars).where(good_pair(F.col("ru_chars"), F.col("ky_chars"), chars, ratio))
-    paragraphs = gated.agg(F.count(F.lit(1)).alias("n")).select(F.lit("paragraph_pairs").alias("metric"), "n")
-    return articles.unpivot([], list(counters), "metric", "n").unionByName(paragraphs)
+    articles = _per_article(blocks).agg(*[c.alias(name) for name, c in counters.items()])
+    paragraphs = _paragraph_pairs(split, blocks, chars, ratio).agg(F.count(F.lit(1)).alias("n"))
+    return articles.unpivot([], list(counters), "metric", "n").unionByName(
+        paragraphs.select(F.lit("paragraph_pairs").alias("metric"), "n")
+    )
 
 
 def gate(pairs: DataFrame, chars: Bounds = PAIR_CHARS, ratio: Ratio = PAIR_RATIO) -> Column:

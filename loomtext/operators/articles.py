@@ -1,11 +1,12 @@
 """Articles put together from chunks, without ever holding one article in a row.
 
-A chunk is a row (law, article, text, blk, ord).  (blk, ord) gives the reading
-order: blk is any coarse key such as the file split, ord orders the chunks of a
-blk.  An article may span any number of chunks and hold a large share of all
-rows, so paragraphs stay one per row.  Their position is found in two levels:
-per block totals are summed over the blocks of an article (few, narrow rows),
-and the chunks of one block are numbered from there.
+A chunk is a row (lang, law, article, text, blk, ord).  (blk, ord) gives the
+reading order: blk is any coarse key such as the file split, ord orders the
+chunks of a blk.  An article may span any number of chunks and hold a large
+share of all rows, so paragraphs stay one per row.  Their position is found in
+two levels: totals per block, summed up before the shuffle, are added over the
+blocks of an article (few, narrow rows), and the chunks of one block are
+numbered from there.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from loomtext.functions import has_text, required
 
 ARTICLE = ["law", "article"]
-BLOCK = ["law", "article", "blk"]
+BLOCK = ["law", "article", "lang", "blk"]
 
 
 def split_chunks(chunks: DataFrame) -> DataFrame:
@@ -30,52 +31,41 @@ def split_chunks(chunks: DataFrame) -> DataFrame:
     )
 
 
-def article_blocks(split: DataFrame) -> DataFrame:
-    """One row per article and block: paragraphs before it, and article totals.
-
-    ``n_par`` and ``n_chars`` are totals of the article, separators not counted.
-    """
-    lengths = F.aggregate("paragraphs", F.lit(0).cast("bigint"), lambda total, p: total + F.length(p))
-    per_block = split.groupBy(*BLOCK).agg(
-        F.sum(F.size("paragraphs")).alias("n"), F.sum(lengths).alias("chars")
-    )
-    article = Window.partitionBy(*ARTICLE)
-    before = article.orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)
-    return per_block.select(
-        *BLOCK,
-        F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"),
-        F.sum("n").over(article).alias("n_par"),
-        F.sum("chars").over(article).alias("n_chars"),
-    )
+def block_totals(split: DataFrame) -> DataFrame:
+    """Paragraphs and their characters per block of an article."""
+    chars = F.aggregate("paragraphs", F.lit(0).cast("bigint"), lambda total, p: total + F.length(p))
+    return split.groupBy(*BLOCK).agg(F.sum(F.size("paragraphs")).alias("n"), F.sum(chars).alias("chars"))
 
 
-def article_totals(blocks: DataFrame) -> DataFrame:
-    """One row per article; an article without paragraphs counts, with zeros."""
-    return blocks.groupBy(*ARTICLE).agg(F.max("n_par").alias("n_par"), F.max("n_chars").alias("n_chars"))
+def with_start(blocks: DataFrame) -> DataFrame:
+    """Add ``start``, the number of paragraphs in earlier blocks of the article."""
+    earlier = Window.partitionBy(*ARTICLE, "lang").orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)
+    return blocks.withColumn("start", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
 
 
 def place_paragraphs(split: DataFrame, blocks: DataFrame) -> DataFrame:
     """One row per paragraph with its position in the article, counted from 0.
 
-    ``blocks`` may hold fewer articles than ``split`` and extra columns; only
-    its articles come out, with those columns.
+    ``blocks`` has the block key and ``start``.  It may hold fewer articles
+    than ``split``; only those come out.
     """
-    extra = [c for c in blocks.columns if c not in (*BLOCK, "start")]
-    chunk_order = Window.partitionBy(*BLOCK).orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum(F.size("paragraphs")).over(chunk_order), F.lit(0))
-    started = split.where(F.size("paragraphs") > 0).join(blocks, BLOCK).withColumn("start", F.col("start") + before)
-    return started.select(*ARTICLE, *extra, "start", F.posexplode("paragraphs").alias("i", "paragraph")).select(
-        *ARTICLE, *extra, (F.col("start") + F.col("i")).alias("pos"), "paragraph"
+    earlier = Window.partitionBy(*BLOCK).orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum(F.size("paragraphs")).over(earlier), F.lit(0))
+    joined = split.where(F.size("paragraphs") > 0).join(blocks.select(*BLOCK, "start"), BLOCK)
+    started = joined.withColumn("start", F.col("start") + before)
+    return started.select(*ARTICLE, "lang", "start", F.posexplode("paragraphs").alias("i", "paragraph")).select(
+        *ARTICLE, "lang", (F.col("start") + F.col("i")).alias("pos"), "paragraph"
     )
 
 
 def article_paragraphs(chunks: DataFrame) -> DataFrame:
     """All paragraphs of all articles in reading order, one per row.
 
-    An article without any paragraph keeps one row with null pos and paragraph.
+    An article without any paragraph keeps one row, with pos -1 and the empty
+    string, so that articles can be counted.
     """
     split = split_chunks(chunks)
-    blocks = article_blocks(split)
-    placed = place_paragraphs(split, blocks.drop("n_chars"))
-    empty = article_totals(blocks).where(F.col("n_par") == 0).select(*ARTICLE, "n_par")
-    return placed.unionByName(empty, allowMissingColumns=True)
+    blocks = block_totals(split)
+    empty = blocks.groupBy(*ARTICLE, "lang").agg(F.sum("n").alias("n")).where(F.col("n") == 0)
+    nothing = empty.select(*ARTICLE, "lang", F.lit(-1).cast("bigint").alias("pos"), F.lit("").alias("paragraph"))
+    return place_paragraphs(split, with_start(blocks)).unionByName(nothing)

@@ -10,8 +10,8 @@ from loomtext.operators.split import hash_split
 
 
 def aligned_pairs(
-    ru_chunks: DataFrame, ky_chunks: DataFrame, chars: tuple[int, int] = PAIR_CHARS,
+    chunks: DataFrame, chars: tuple[int, int] = PAIR_CHARS,
     ratio: tuple[float, float] = PAIR_RATIO, modulus: int = VAL_MODULUS,
 ) -> DataFrame:
     """Pairs (law, article, unit, pos, ru, ky, split) ready for ``write_split_jsonl``."""
-    return hash_split(align_pairs(ru_chunks, ky_chunks, chars, ratio), modulus)
+    return hash_split(align_pairs(chunks, chars, ratio), modulus)

@@ -28,14 +28,15 @@ def read_corpus(spark: SparkSession, path: str, text: str = "text") -> DataFrame
     )
 
 
-def read_law_chunks(spark: SparkSession, root: str, lang: str) -> DataFrame:
-    """All ``*_{lang}.jsonl`` under ``root`` as chunks (law, article, text, blk, ord).
+def read_law_chunks(spark: SparkSession, root: str, suffix: str, lang: str | None = None) -> DataFrame:
+    """All ``*_{suffix}.jsonl`` under ``root`` as chunks (lang, law, article, text, blk, ord).
 
     Files are ordered by name and lines by their place: blk is the file and the
     start of the split read from it, ord the row within that split.
     """
-    lines = _json_lines(spark, f"{root.rstrip('/')}/*_{lang}.jsonl", LAW_CHUNK)
+    lines = _json_lines(spark, f"{root.rstrip('/')}/*_{suffix}.jsonl", LAW_CHUNK)
     return lines.select(
+        F.lit(lang or suffix).alias("lang"),
         F.col("LawCode").alias("law"),
         F.col("ArticleNumber").alias("article"),
         F.col("Text").alias("text"),
