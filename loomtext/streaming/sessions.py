@@ -23,7 +23,7 @@ SETTINGS = {
 }
 
 
-def read_line_stream(spark: SparkSession, path: str, bytes_per_batch: str = "1g") -> DataFrame:
+def read_line_stream(spark: SparkSession, path: str, bytes_per_batch: int = 1 << 30) -> DataFrame:
     """New session lines in a folder of JSON-line files.
 
     The lines one session adds in one batch are sorted together, so the bytes
@@ -58,14 +58,15 @@ def stream_requests(
             batch = pd.concat(list(rows)).sort_values("seq", ignore_index=True)
             stop_at = batch.index[batch["line"].isin(stop_lines)]
             if len(stop_at):
-                batch, stopped = batch.loc[: stop_at[0] - 1], True
-            switched = batch["line"].map(targets)
+                batch, stopped = batch.iloc[: stop_at[0]].copy(), True
+            switched = batch["line"].map(targets).astype(object)
             # A command is followed by its own direction until the next one.
-            in_force = switched.ffill().fillna(direction)
+            latest = switched.where(switched.notna(), None).ffill()
+            batch["direction"] = latest.where(latest.notna(), direction)
             if len(batch):
-                direction = in_force.iloc[-1]
+                direction = batch["direction"].iloc[-1]
             self.state.update((direction, stopped))
-            asked = batch[switched.isna() & (batch["line"] != "")].assign(direction=in_force)
+            asked = batch[switched.isna() & (batch["line"] != "")]
             if len(asked):
                 yield asked[["session", "seq", "line", "direction"]]
 

@@ -8,6 +8,10 @@ ROOT = str(Path(__file__).resolve().parents[1])
 if ROOT not in sys.path:
     sys.path.insert(0, ROOT)
 
+# Workers see the stand-in models of the tests, but not the package: what it
+# sends them must be complete.
+os.environ["PYTHONPATH"] = str(Path(__file__).resolve().parent)
+
 from loomtext import build_session  # noqa: E402
 from loomtext.streaming import sessions as stream_sessions  # noqa: E402
 
