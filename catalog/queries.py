@@ -30,15 +30,15 @@ def length_filter(spark, sf):
 
 
 def cpt_corpus(spark, sf):
-    return corpus.head_corpus(t.corpus(spark, sf), "doc_id", limit=None)
+    return corpus.head_corpus(t.corpus(spark, sf), ["doc_id"], limit=None)
 
 
 def cpt_corpus_head(spark, sf):
-    return corpus.head_corpus(t.corpus(spark, sf), "doc_id", limit=HEAD)
+    return corpus.head_corpus(t.corpus(spark, sf), ["doc_id"], limit=HEAD)
 
 
 def cpt_corpus_eos(spark, sf):
-    return plans.pretraining_corpus(t.corpus(spark, sf), "doc_id")
+    return plans.pretraining_corpus(t.corpus(spark, sf), ["doc_id"])
 
 
 def article_paragraphs(spark, sf):
@@ -160,12 +160,12 @@ def request_prompts(spark, sf):
 
 
 def heldout_pick(spark, sf):
-    picked = compare.pick_positions(t.corpus(spark, sf), "doc_id", [5, 6, 7], limit=8)
+    picked = compare.pick_positions(t.corpus(spark, sf), ["doc_id"], [5, 6, 7], limit=8)
     return picked.select("doc_id", "pos")
 
 
 def heldout_all(spark, sf):
-    return compare.pick_positions(t.corpus(spark, sf), "doc_id", None, limit=5).select("doc_id", "pos")
+    return compare.pick_positions(t.corpus(spark, sf), ["doc_id"], None, limit=5).select("doc_id", "pos")
 
 
 def _shot_arms():
@@ -184,7 +184,7 @@ def ab_picked(spark, sf):
         "grounded": (prompts.summary_prompt("text"), digest_model),
         "corrupt": (prompts.corrupt_prompt("text"), digest_model),
     }
-    return plans.compare_arms(t.corpus(spark, sf), "doc_id", 8, [5, 6, 7], arms).drop("text")
+    return plans.compare_arms(t.corpus(spark, sf), ["doc_id"], 8, [5, 6, 7], arms).drop("text")
 
 
 def ab_stored(spark, sf):

@@ -13,15 +13,15 @@ from loomtext.operators.corpus import head_corpus
 
 
 def pick_positions(
-    df: DataFrame, order: str, positions: Sequence[int] | None, limit: int,
-    chars: tuple[int, int] = CONTEXT_CHARS, text: str = "text", ties: Sequence[str] = (),
+    df: DataFrame, order: Sequence[str], positions: Sequence[int] | None, limit: int,
+    chars: tuple[int, int] = CONTEXT_CHARS, text: str = "text", bucket: Column | None = None,
 ) -> DataFrame:
     """Rows at 0-based ``positions`` of the filtered corpus cut to ``limit`` rows.
 
     Adds ``pos``; None takes all positions.  Only ``limit`` rows are numbered.
     """
-    head = head_corpus(df, order, limit, chars, text, ties)
-    numbered = head.withColumn("pos", F.row_number().over(Window.orderBy(order, *ties)) - 1)
+    head = head_corpus(df, order, limit, chars, text, bucket)
+    numbered = head.withColumn("pos", F.row_number().over(Window.orderBy(*order)) - 1)
     return numbered if positions is None else numbered.where(F.col("pos").isin(list(positions)))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomtext.defaults import CORPUS_CHARS, EOS
@@ -26,15 +26,19 @@ def keep_summary_lengths(
 
 
 def head_corpus(
-    df: DataFrame, order: str, limit: int | None,
-    chars: tuple[int, int] = CORPUS_CHARS, text: str = "text", ties: Sequence[str] = (),
+    df: DataFrame, order: Sequence[str], limit: int | None,
+    chars: tuple[int, int] = CORPUS_CHARS, text: str = "text", bucket: Column | None = None,
 ) -> DataFrame:
-    """The first ``limit`` texts of fitting length; no limit (or 0) keeps them all."""
+    """The first ``limit`` texts of fitting length; no limit (or 0) keeps them all.
+
+    ``order`` and ``bucket`` as in ``first_n``.
+    """
     kept = keep_lengths(df, chars, text)
     if not limit:
         return kept
     # The smallest order value comes from the unfiltered table: it reads one column only.
-    return first_n(kept, order, limit, ties, start=df.agg(F.min(order)).scalar())
+    start = df.agg(F.min(order[0])).scalar() if bucket is None else None
+    return first_n(kept, order, limit, bucket, start)
 
 
 def append_eos(df: DataFrame, eos: str = EOS, text: str = "text") -> DataFrame:

@@ -12,9 +12,10 @@ from loomtext.operators.compare import pick_positions, run_arms
 
 
 def compare_arms(
-    corpus: DataFrame, order: str, limit: int, positions: Sequence[int] | None,
+    corpus: DataFrame, order: Sequence[str], limit: int, positions: Sequence[int] | None,
     arms: Mapping[str, tuple[Column, Callable[[], Model]]],
     chars: tuple[int, int] = CONTEXT_CHARS, text: str = "text", prompts: bool = False,
+    bucket: Column | None = None,
 ) -> DataFrame:
     """Texts picked by position, with one answer column for each arm."""
-    return run_arms(pick_positions(corpus, order, positions, limit, chars, text), arms, prompts)
+    return run_arms(pick_positions(corpus, order, positions, limit, chars, text, bucket), arms, prompts)

@@ -1,4 +1,6 @@
 from loomtext.sources.readers import (
+    CORPUS_ORDER,
+    corpus_bucket,
     read_corpus,
     read_law_chunks,
     read_pairs,
@@ -8,6 +10,8 @@ from loomtext.sources.readers import (
 from loomtext.sources.writers import write_jsonl, write_split_jsonl, write_training_text
 
 __all__ = [
+    "CORPUS_ORDER",
+    "corpus_bucket",
     "read_corpus",
     "read_law_chunks",
     "read_pairs",

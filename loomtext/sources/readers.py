@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -19,15 +19,23 @@ def _required(df: DataFrame, *names: str) -> DataFrame:
 
 
 def read_corpus(spark: SparkSession, path: str, text: str = "text") -> DataFrame:
-    """One text column of a Parquet corpus, with its place: ``src`` orders the
-    rows of a file, ``src_file`` the files."""
+    """One text column of a Parquet corpus, with its place (``CORPUS_ORDER``)."""
     return spark.read.parquet(path).select(
         F.col(text).alias("text"),
         F.col("_metadata.file_path").alias("src_file"),
-        F.col("_metadata.row_index").alias("src"),
+        F.col("_metadata.row_index").alias("src_row"),
     )
 
 
+# Files by name, rows as they stand in their file.
+CORPUS_ORDER = ["src_file", "src_row"]
+
+
+def corpus_bucket() -> Column:
+    """Buckets for ``first_n`` along ``CORPUS_ORDER``: about a million rows of one file."""
+    return F.struct("src_file", F.shiftright("src_row", 20).alias("part"))
+
+
 def read_law_chunks(spark: SparkSession, root: str, suffix: str, lang: str | None = None) -> DataFrame:
     """All ``*_{suffix}.jsonl`` under ``root`` as chunks (lang, law, article, text, blk, ord).
 

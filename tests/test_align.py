@@ -58,7 +58,7 @@ def case(article, ru, ky):
 
 L = "а" * 50
 EDGES = [
-    ("ru", "ТК", None, L), ("ky", "ТК", None, L),
+    ("ru", "ТК", None, L), ("ky", "ТК", None, None),
     *case("one side", [L], []),
     *case("one fails", [f"{L}\nкороткий\n{L}"], [f"{L}\n{L}\n{L}"]),
     *case("all fail", ["x\ny"], ["x\ny"]),

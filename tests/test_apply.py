@@ -104,15 +104,15 @@ def test_serve_requests_keeps_failed_rows(spark):
 
 def test_positions(spark):
     frame = spark.createDataFrame([(i, "x" * (300 if i % 2 else 10)) for i in range(40)], "id bigint, text string")
-    assert [(r.id, r.pos) for r in pick_positions(frame, "id", [2], 5).collect()] == [(5, 2)]
-    assert sorted((r.id, r.pos) for r in pick_positions(frame, "id", None, 3).collect()) == [(1, 0), (3, 1), (5, 2)]
-    assert pick_positions(frame, "id", [7], 5).count() == 0
+    assert [(r.id, r.pos) for r in pick_positions(frame, ["id"], [2], 5).collect()] == [(5, 2)]
+    assert sorted((r.id, r.pos) for r in pick_positions(frame, ["id"], None, 3).collect()) == [(1, 0), (3, 1), (5, 2)]
+    assert pick_positions(frame, ["id"], [7], 5).count() == 0
 
 
 def test_arms(spark):
     frame = spark.createDataFrame([(i, f"{i}" * 300) for i in range(10)], "id bigint, text string")
     arms = {"a": (F.concat(F.lit("1"), "text"), shouting), "b": (F.col("text"), padded)}
-    rows = compare_arms(frame, "id", 8, [5, 6, 7], arms, prompts=True).orderBy("id").collect()
+    rows = compare_arms(frame, ["id"], 8, [5, 6, 7], arms, prompts=True).orderBy("id").collect()
     assert [(r.id, r.prompt_a, r.out_a, r.out_b) for r in rows] == [
         (i, "1" + f"{i}" * 300, "1" + f"{i}" * 300, " 300\n") for i in (5, 6, 7)
     ]
