@@ -303,6 +303,9 @@ def registry() -> dict[str, str]:
         "session_direction": f"with {LINES} select session, seq, line, direction from asked",
         "session_take_while": f"""with {LINES} select l.session, l.seq, l.line
             from lines l left join exits e on l.session = e.session where e.stop is null or l.seq < e.stop""",
+        "serve_chat": f"""with {LINES}
+            select l.session, l.seq, md5({filled(f"{d.SYSTEM}{chr(10)}{chr(10)}{{text}}", "l.line")}) as answer
+            from lines l left join exits e on l.session = e.session where e.stop is null or l.seq < e.stop""",
         "session_requests": f"with {LINES} select session, seq, line, direction from translating",
         "serve_sessions": f"""with {LINES}, t as (select session, seq, direction, line as text from translating)
             select session, seq, direction, md5({ASK}) as value from t""",

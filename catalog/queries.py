@@ -224,6 +224,10 @@ def serve_sessions(spark, sf):
     return plans.serve_sessions(t.session_lines(spark, sf), digest_model).select("session", "seq", "direction", "value")
 
 
+def serve_chat(spark, sf):
+    return plans.serve_chat(t.session_lines(spark, sf), digest_model).select("session", "seq", "answer")
+
+
 ALL: list[Query] = [
     length_filter, cpt_corpus, cpt_corpus_head, cpt_corpus_eos,
     article_paragraphs, align_articles, align_paragraphs, align_pairs, align_pairs_wide, align_split, align_report,
@@ -232,7 +236,7 @@ ALL: list[Query] = [
     sft_translate_examples, sft_summary_pairs, sft_hand_pairs,
     prompt_zero_shot, prompt_few_shot, prompt_variants, request_prompts,
     heldout_pick, heldout_all, ab_outputs, ab_picked, ab_stored, apply_model_all, apply_model_errors, serve_requests,
-    session_direction, session_take_while, session_requests, serve_sessions,
+    session_direction, session_take_while, session_requests, serve_sessions, serve_chat,
 ]
 
 

@@ -1,4 +1,4 @@
-"""Translation requests to responses.  Works on batch and streaming frames."""
+"""Requests to responses.  ``serve_requests`` works on batch and streaming frames."""
 
 from __future__ import annotations
 
@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from loomtext.defaults import TRANSLATE
 from loomtext.functions import has_text, strip
 from loomtext.operators.apply import Model, apply_model
-from loomtext.operators.prompts import translate_prompt
-from loomtext.operators.sessions import translator_requests
+from loomtext.operators.prompts import chat_prompt, translate_prompt
+from loomtext.operators.sessions import take_while, translator_requests
 
 
 def serve_requests(
@@ -40,3 +40,15 @@ def serve_sessions(
     """Session lines (session, seq, line) to answered requests."""
     requests = translator_requests(lines).withColumnRenamed("line", "text")
     return serve_requests(requests, make_model, templates, catch=catch)
+
+
+def serve_chat(
+    lines: DataFrame, make_model: Callable[[], Model], raw: bool = True, catch: bool = False
+) -> DataFrame:
+    """Chat lines (session, seq, line) up to the stop of each session, answered.
+
+    ``raw`` sends the line after the system line only; otherwise it goes into
+    the summarising prompt.
+    """
+    prompted = take_while(lines).withColumn("_prompt", chat_prompt("line", raw))
+    return apply_model(prompted, "_prompt", make_model, "answer", catch).drop("_prompt")

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-# Runtime re-planning, split of skewed join partitions, and UTC timestamps.
+# Runtime re-planning, split of skewed join partitions, UTC timestamps.  The
+# last one spares the call-site lookup for each of the many small expressions
+# the operators are built from; set it to true to see Python lines in errors.
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

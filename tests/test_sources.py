@@ -144,3 +144,10 @@ def test_summary_split(spark, tmp_path):
     for split, n in (("train", 3), ("validation", 2)):
         frame = read_summary_split(spark, str(tmp_path), "kyrgyz", split)
         assert frame.columns == ["text", "summary"] and summary_examples(frame).count() == n
+
+
+def test_hand_written_examples(spark, tmp_path):
+    jsonl(tmp_path / "hand.jsonl", [{"context": "кыска", "answer": "жооп"}, {"context": "б" * 5000, "answer": "в"}])
+    frame = read_prompt_answers(spark, str(tmp_path / "hand.jsonl"))
+    texts = [r.text for r in summary_examples(frame, "context", "answer", bounds=None, eos="<e>").collect()]
+    assert len(texts) == 2 and texts[0].endswith("Текст: кыска\nЖыйынтык: жооп<e>")
