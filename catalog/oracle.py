@@ -202,7 +202,7 @@ case when {stripped("text")} = '' then ''
 
 PICKED = f"""
 picked as (
-    select doc_id, text, row_number() over (order by doc_id) - 1 as pos from documents where {_context}
+    select doc_id, text, (row_number() over (order by doc_id) - 1)::int as pos from documents where {_context}
 )
 """
 
@@ -218,9 +218,9 @@ MIXTURE = f"""
 original as (select * from all_pairs order by {rank(*_key)}, kind, k, turn limit {ORIGINALS}),
 mixture as (
     select 'lexicon' as component, kind, k, turn, ord, new_ru as ru, new_ky as ky,
-           unnest(range(1, {d.LEXICON_COPIES} + 1)) as copy from substituted
+           unnest(range(1, {d.LEXICON_COPIES} + 1))::int as copy from substituted
     union all
-    select 'numeral', kind, k, turn, ord, ru, ky, unnest(range(1, {d.NUMERAL_COPIES} + 1)) from numeral
+    select 'numeral', kind, k, turn, ord, ru, ky, unnest(range(1, {d.NUMERAL_COPIES} + 1))::int from numeral
     union all
     select 'original', kind, k, turn, 0, ru, ky, 1 from original
 )
@@ -232,7 +232,7 @@ def registry() -> dict[str, str]:
         select law, article, unit, pos, ru, ky from zipped where {gate("ru", "ky", WIDE_CHARS)}
         union all select law, article, unit, pos, ru, ky from whole where {gate("ru", "ky", WIDE_CHARS)}"""
     return {
-        "length_filter": f"select doc_id, length(text) as n from documents where {_context}",
+        "length_filter": f"select doc_id, length(text)::int as n from documents where {_context}",
         "cpt_corpus": f"select doc_id, text from documents where {_corpus}",
         "cpt_corpus_head": f"select doc_id, text from documents where {_corpus} order by doc_id limit {HEAD}",
         "cpt_corpus_eos": f"select doc_id, text || '</s>' as text from documents where {_corpus}",
@@ -295,11 +295,11 @@ def registry() -> dict[str, str]:
         "ab_stored": f"""select doc_id, md5({GROUNDED}) as out_grounded, md5({CORRUPT}) as out_corrupt
             from documents where {_context}""",
         "apply_model_all": "select doc_id, md5(text) as output from documents",
-        "apply_model_errors": """select doc_id, case when not contains(text, '|') then md5(text) end as value,
-            case when contains(text, '|') then 'bar in text' end as error from documents""",
+        "apply_model_errors": """select doc_id, case when contains(text, '|') then '' else md5(text) end as value,
+            case when contains(text, '|') then 'bar in text' else '' end as error from documents""",
         "serve_requests": f"""with {REQUESTS}, prompted as (select *, {ASK} as prompt from requests)
             select conv_id, turn, case when prompt = '' then '' else md5(prompt) end as value,
-                   null::varchar as error from prompted""",
+                   '' as error from prompted""",
         "session_direction": f"with {LINES} select session, seq, line, direction from asked",
         "session_take_while": f"""with {LINES} select l.session, l.seq, l.line
             from lines l left join exits e on l.session = e.session where e.stop is null or l.seq < e.stop""",

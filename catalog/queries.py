@@ -199,13 +199,18 @@ def apply_model_all(spark, sf):
     return apply_model(t.corpus(spark, sf), "text", digest_model).drop("text")
 
 
+def _no_nulls(*names):
+    return [F.coalesce(name, F.lit("")).alias(name.split(".")[-1]) for name in names]
+
+
 def apply_model_errors(spark, sf):
     answered = apply_model(t.corpus(spark, sf), "text", picky_model, catch=True)
-    return answered.select("doc_id", "output.value", "output.error")
+    return answered.select("doc_id", *_no_nulls("output.value", "output.error"))
 
 
 def serve_requests(spark, sf):
-    return plans.serve_requests(t.requests(spark, sf), digest_model).select("conv_id", "turn", "value", "error")
+    answered = plans.serve_requests(t.requests(spark, sf), digest_model)
+    return answered.select("conv_id", "turn", *_no_nulls("value", "error"))
 
 
 def session_direction(spark, sf):
