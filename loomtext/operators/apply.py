@@ -12,57 +12,58 @@ Model = Callable[[Sequence[str]], Sequence[str]]
 
 
 def apply_model(
-    df: DataFrame, prompt: str, make_model: Callable[[], Model], out: str = "output", catch: bool = False
+    df: DataFrame, prompt: str, make_model: Callable[[], Model], out: str = "output", catch: bool = False,
+    per_call: int = 64,
 ) -> DataFrame:
     """Add the model's answer to each prompt.
 
     ``make_model`` runs once in each task and returns a function from a list of
-    prompts to a list of answers.  Only the prompt column crosses to Python, in
-    Arrow batches; the other columns stay where they are.  An empty or null
-    prompt gives "" without a call.
+    prompts, at most ``per_call`` of them, to a list of answers.  Only the
+    prompt column crosses to Python, in Arrow batches; the other columns stay
+    where they are.  An empty or null prompt gives "" without a call.
 
-    With ``catch``, the column is a struct (value, error): a failing batch is
+    With ``catch``, the column is a struct (value, error): a failing call is
     repeated prompt by prompt, so a failure becomes the error of its own row.
     Without it a failure ends the job.
     """
 
     # The functions below use nothing but their arguments and pandas, so the
     # workers need no copy of this package.
-    def run(model: Model, prompts: list[str]) -> list[str]:
-        answers = list(model(prompts)) if prompts else []
+    def call(model: Model, prompts: list[str]) -> list[str]:
+        answers = list(model(prompts))
         if len(answers) != len(prompts):
             raise ValueError(f"model gave {len(answers)} answers to {len(prompts)} prompts")
         return answers
 
-    def run_caught(model: Model, prompts: list[str]) -> list[tuple[str | None, str | None]]:
+    def call_caught(model: Model, prompts: list[str]) -> list[tuple[str | None, str | None]]:
         try:
-            return [(answer, None) for answer in run(model, prompts)]
-        except Exception:
-            results = []
-            for text in prompts:
-                try:
-                    results.append((run(model, [text])[0], None))
-                except Exception as failure:
-                    results.append((None, str(failure) or type(failure).__name__))
-            return results
+            return [(answer, None) for answer in call(model, prompts)]
+        except Exception as failure:
+            if len(prompts) == 1:
+                return [(None, str(failure) or type(failure).__name__)]
+            return [result for text in prompts for result in call_caught(model, [text])]
+
+    def asked(batch: pd.Series) -> tuple[pd.Series, list[list[str]]]:
+        """Which rows have a prompt, and their prompts cut into calls."""
+        mask = batch.notna() & (batch != "")
+        prompts = batch[mask].tolist()
+        return mask, [prompts[i:i + per_call] for i in range(0, len(prompts), per_call)]
 
     def answers(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = make_model()
         for batch in batches:
-            asked = batch.notna() & (batch != "")
+            mask, calls = asked(batch)
             result = pd.Series("", index=batch.index, dtype=object)
-            result[asked] = run(model, batch[asked].tolist())
+            result[mask] = [answer for prompts in calls for answer in call(model, prompts)]
             yield result
 
     def answers_caught(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = make_model()
         for batch in batches:
-            asked = batch.notna() & (batch != "")
-            result = pd.DataFrame({"value": "", "error": None}, index=batch.index, dtype=object)
-            pairs = run_caught(model, batch[asked].tolist())
-            result.loc[asked, "value"] = pd.Series([v for v, _ in pairs], index=batch.index[asked], dtype=object)
-            result.loc[asked, "error"] = pd.Series([e for _, e in pairs], index=batch.index[asked], dtype=object)
-            yield result
+            mask, calls = asked(batch)
+            results = iter([result for prompts in calls for result in call_caught(model, prompts)])
+            rows = [next(results) if has_prompt else ("", None) for has_prompt in mask]
+            yield pd.DataFrame(rows, columns=["value", "error"], index=batch.index, dtype=object)
 
     if catch:
         udf = F.pandas_udf(answers_caught, "value string, error string")

@@ -18,9 +18,13 @@ def pick_positions(
 ) -> DataFrame:
     """Rows at 0-based ``positions`` of the filtered corpus cut to ``limit`` rows.
 
-    Adds ``pos``; None takes all positions.  Only ``limit`` rows are numbered.
+    Adds ``pos``; None takes all positions.  Only the rows up to the last
+    position are numbered.
     """
-    head = head_corpus(df, order, limit, chars, text, bucket)
+    needed = limit if positions is None else min(limit, max(positions, default=-1) + 1)
+    if needed < 1:
+        return df.limit(0).withColumn("pos", F.lit(None).cast("int"))
+    head = head_corpus(df, order, needed, chars, text, bucket)
     numbered = head.withColumn("pos", F.row_number().over(Window.orderBy(*order)) - 1)
     return numbered if positions is None else numbered.where(F.col("pos").isin(list(positions)))
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Mapping, Sequence
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,7 +27,7 @@ SETTINGS = {
 def read_line_stream(spark: SparkSession, path: str, bytes_per_batch: int = 1 << 30) -> DataFrame:
     """New session lines in a folder of JSON-line files.
 
-    The lines one session adds in one batch are sorted together, so the bytes
+    The lines one session adds in one batch are held together, so the bytes
     taken per batch also bound the memory of the busiest session.
     """
     return (
@@ -43,7 +44,8 @@ def stream_requests(
 
     Lines of one batch are taken by seq; between batches the order of arrival rules.
     """
-    stop_lines, targets = frozenset(stops), dict(commands)
+    stop_lines, targets = list(stops), dict(commands)
+    marked = [*stop_lines, *targets]
 
     class Session(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
@@ -55,20 +57,21 @@ def stream_requests(
             direction, stopped = self.state.get() if self.state.exists() else (start, False)
             if stopped:
                 return
-            batch = pd.concat(list(rows)).sort_values("seq", ignore_index=True)
-            stop_at = batch.index[batch["line"].isin(stop_lines)]
-            if len(stop_at):
-                batch, stopped = batch.iloc[: stop_at[0]].copy(), True
-            switched = batch["line"].map(targets).astype(object)
-            # A command is followed by its own direction until the next one.
-            latest = switched.where(switched.notna(), None).ffill()
-            batch["direction"] = latest.where(latest.notna(), direction)
-            if len(batch):
-                direction = batch["direction"].iloc[-1]
-            self.state.update((direction, stopped))
-            asked = batch[switched.isna() & (batch["line"] != "")]
-            if len(asked):
-                yield asked[["session", "seq", "line", "direction"]]
+            frames = list(rows)
+            # Only commands and stops are put in order; requests look theirs up.
+            marks = pd.concat([f.loc[f["line"].isin(marked), ["seq", "line"]] for f in frames]).sort_values("seq")
+            stops_at = marks.loc[marks["line"].isin(stop_lines), "seq"]
+            end = stops_at.min() if len(stops_at) else None
+            switches = marks[marks["line"].isin(targets) & (True if end is None else marks["seq"] < end)]
+            in_force = np.array([direction, *switches["line"].map(targets)], dtype=object)
+            self.state.update((in_force[-1], end is not None))
+            for frame in frames:
+                asked = frame[~frame["line"].isin(marked) & (frame["line"] != "")]
+                if end is not None:
+                    asked = asked[asked["seq"] < end]
+                if len(asked):
+                    place = np.searchsorted(switches["seq"].to_numpy(), asked["seq"].to_numpy())
+                    yield asked.assign(direction=in_force[place])[["session", "seq", "line", "direction"]]
 
         def close(self) -> None:
             pass

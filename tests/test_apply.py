@@ -86,6 +86,15 @@ def test_model_is_made_once_per_task(spark, tmp_path):
     assert len(list(tmp_path.iterdir())) == 3
 
 
+def test_prompts_per_call(spark):
+    def sizes():
+        return lambda batch: [str(len(batch))] * len(batch)
+
+    frame = spark.range(0, 25, 1, 1).select(F.lit("q").alias("p"))
+    counts = apply_model(frame, "p", sizes, per_call=10).groupBy("output").count().collect()
+    assert {r.output: r["count"] for r in counts} == {"10": 20, "5": 5}
+
+
 @pytest.mark.parametrize("catch", [True, False])
 def test_serve_requests(spark, catch):
     rows = [(1, "ky2ru", " салам "), (2, "ru2ky", "  "), (3, "ru2ky", None), (4, "ru2ky", "x")]
@@ -107,6 +116,7 @@ def test_positions(spark):
     assert [(r.id, r.pos) for r in pick_positions(frame, ["id"], [2], 5).collect()] == [(5, 2)]
     assert sorted((r.id, r.pos) for r in pick_positions(frame, ["id"], None, 3).collect()) == [(1, 0), (3, 1), (5, 2)]
     assert pick_positions(frame, ["id"], [7], 5).count() == 0
+    assert pick_positions(frame, ["id"], [], 5).count() == 0
 
 
 def test_arms(spark):
