@@ -23,8 +23,11 @@ def strip(column: Column | str) -> Column:
 
 
 def has_text(column: Column | str) -> Column:
-    """True when the string holds a character other than whitespace."""
-    return _col(column).rlike(f"[^{WHITESPACE}]")
+    """True when the string holds a character other than whitespace.
+
+    Trimming one end looks at the leading characters only.
+    """
+    return F.ltrim(_col(column), F.lit(WHITESPACE)) != ""
 
 
 def within(column: Column | str, bounds: tuple[int, int]) -> Column:

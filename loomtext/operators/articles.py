@@ -26,9 +26,8 @@ def split_chunks(chunks: DataFrame) -> DataFrame:
     Paragraphs keep their outer spaces.  A chunk may end up with none.
     """
     lines = F.split(required("text", "text"), "\n")
-    return chunks.where(F.col("article").isNotNull()).select(
-        *BLOCK, "ord", F.filter(lines, has_text).alias("paragraphs")
-    )
+    keyed = chunks.where(F.col("article").isNotNull()).withColumn("law", required("law", "law"))
+    return keyed.select(*BLOCK, "ord", F.filter(lines, has_text).alias("paragraphs"))
 
 
 def block_totals(split: DataFrame) -> DataFrame:

@@ -120,9 +120,10 @@ def test_alignment_ignores_partitioning(spark):
     assert results[0] == results[1]
 
 
-def test_null_text_fails(spark):
-    frame = spark.createDataFrame([("ru", "ТК", "1", None, 0, 0)], SCHEMA)
-    with pytest.raises(Exception, match="null in required column text"):
+@pytest.mark.parametrize("law,text,named", [("ТК", None, "text"), (None, "т", "law")])
+def test_null_fails(spark, law, text, named):
+    frame = spark.createDataFrame([("ru", law, "1", text, 0, 0)], SCHEMA)
+    with pytest.raises(Exception, match=f"null in required column {named}"):
         align_pairs(frame).collect()
 
 
