@@ -43,13 +43,15 @@ def read_law_chunks(spark: SparkSession, root: str, suffix: str, lang: str | Non
     start of the split read from it, ord the row within that split.
     """
     lines = _json_lines(spark, f"{root.rstrip('/')}/*_{suffix}.jsonl", LAW_CHUNK)
+    # Spark gives the path with spaces and the like escaped; names sort as they are.
+    file = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
     return lines.select(
         F.lit(lang or suffix).alias("lang"),
         F.col("LawCode").alias("law"),
         F.col("ArticleNumber").alias("article"),
         F.col("Text").alias("text"),
         F.struct(
-            F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")
+            file.alias("file"), F.col("_metadata.file_block_start").alias("start")
         ).alias("blk"),
         F.monotonically_increasing_id().alias("ord"),
     )

@@ -65,6 +65,14 @@ def test_chunk_order_over_files_and_splits(spark, tmp_path, many_splits):
     assert got == expected
 
 
+def test_files_sort_by_their_real_names(spark, tmp_path):
+    names = ["a b_ru.jsonl", "a!_ru.jsonl", "a+_ru.jsonl", "a%_ru.jsonl", "б_ru.jsonl"]
+    for name in names:
+        jsonl(tmp_path / name, [{"LawCode": "ТК", "ArticleNumber": "1", "Text": name}])
+    placed = article_paragraphs(read_law_chunks(spark, str(tmp_path), "ru")).orderBy("pos").collect()
+    assert [r.paragraph for r in placed] == sorted(names)
+
+
 def test_line_separator_stays_in_its_record(spark, tmp_path):
     jsonl(tmp_path / "a_ru.jsonl", [{"LawCode": "ТК", "ArticleNumber": "1", "Text": "а б"}])
     assert [r.text for r in read_law_chunks(spark, str(tmp_path), "ru").collect()] == ["а б"]
