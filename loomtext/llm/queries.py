@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtext.llm.quality import apply_line_rules
+from loomtext.llm.substrings import remove_repeats
 from loomtext.llm.token_counts import count_tokens
 from loomtext.llm.words import read_table
 
@@ -24,6 +25,11 @@ def op6_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_difference_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = remove_repeats(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "unique.n_words", "unique.n_removed", F.sha2("unique.kept", 256).alias("kept_sha256"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = count_tokens(
         read_table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json")
@@ -32,4 +38,4 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_line_rules, op10_token_counts)}
+    return {f.__name__: f for f in (op6_line_rules, op7_difference_cover, op10_token_counts)}
