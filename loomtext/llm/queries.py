@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomtext.llm.language import identify, train
 from loomtext.llm.quality import apply_line_rules
 from loomtext.llm.substrings import remove_repeats
 from loomtext.llm.token_counts import count_tokens
@@ -30,6 +31,15 @@ def op7_difference_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "unique.n_words", "unique.n_removed", F.sha2("unique.kept", 256).alias("kept_sha256"))
 
 
+def op8_output_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    fold = F.crc32(F.col("doc_id").cast("string")) % 4
+    model = train(docs.where(fold != 2))
+    return identify(docs.select("doc_id", "text"), model).select(
+        "doc_id", F.coalesce(fold == 2, F.lit(False)).alias("held_out"), "language.lang_pred", "language.score", "language.ambiguous"
+    )
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = count_tokens(
         read_table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json")
@@ -38,4 +48,4 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_line_rules, op7_difference_cover, op10_token_counts)}
+    return {f.__name__: f for f in (op6_line_rules, op7_difference_cover, op8_output_codes, op10_token_counts)}
