@@ -14,6 +14,8 @@ WORD_BASE = 0xA3B195354A39B70D
 _MASK = (1 << 64) - 1
 _BLANKS = np.zeros(256, dtype=bool)
 _BLANKS[[0x20, *range(0x09, 0x0E)]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[ord("A"):ord("Z") + 1] += 32
 
 
 def mixed(values: np.ndarray) -> np.ndarray:
@@ -73,8 +75,8 @@ class WordBlock:
 class WordHasher:
     """Cuts a column of texts into blocks of whole rows and hashes their words."""
 
-    def __init__(self, block_bytes: int = 1 << 21):
-        self.block_bytes = block_bytes
+    def __init__(self, block_bytes: int = 1 << 21, lower: bool = False):
+        self.block_bytes, self.lower = block_bytes, lower  # lower: A-Z only
         self.byte_powers, self.word_powers = Powers(BYTE_BASE), Powers(WORD_BASE)
 
     def blocks(self, texts: pa.Array) -> Iterator[WordBlock]:
@@ -89,6 +91,8 @@ class WordHasher:
             row = upto
 
     def _block(self, first_row: int, data: np.ndarray, offsets: np.ndarray) -> WordBlock:
+        if self.lower:
+            data = _LOWER[data]
         inside = ~_BLANKS[data]
         before = np.zeros(data.size + 1, dtype=bool)  # whether a word may go on across this border
         before[1:] = inside

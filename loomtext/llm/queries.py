@@ -9,12 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtext.llm.language import identify, train
+from loomtext.llm.near_dedup import near_duplicates
 from loomtext.llm.quality import apply_line_rules
 from loomtext.llm.substrings import remove_repeats
 from loomtext.llm.token_counts import count_tokens
 from loomtext.llm.words import read_table
 
 
+def op5_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = apply_line_rules(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.select(
@@ -48,4 +53,4 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_line_rules, op7_difference_cover, op8_output_codes, op10_token_counts)}
+    return {f.__name__: f for f in (op5_tensored_minhash, op6_line_rules, op7_difference_cover, op8_output_codes, op10_token_counts)}
