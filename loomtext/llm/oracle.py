@@ -2,6 +2,39 @@
 
 from __future__ import annotations
 
+OP4 = """
+WITH doc AS (
+  SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\pL\\pN]+'), lambda t: t <> '') AS w FROM documents
+), item AS (
+  SELECT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\pL\\pN]+'), lambda t: t <> '') AS w FROM benchmark
+), pattern AS (
+  SELECT * FROM (VALUES
+    (0, 12, [0, 1, 2, 4, 6, 7, 9, 11]), (1, 12, [0, 1, 3, 4, 5, 8, 10, 11]), (2, 12, [0, 2, 3, 6, 7, 8, 9, 11])
+  ) AS p(number, span, offsets)
+  UNION ALL
+  SELECT 3 + n, n, range(n) FROM (SELECT DISTINCT len(w) AS n FROM item WHERE len(w) BETWEEN 1 AND 11)
+), item_at AS (
+  SELECT item_id, w, number, span, offsets, unnest(range(len(w) - span + 1)) AS p
+  FROM item, pattern WHERE len(w) >= span AND (number < 3 OR len(w) = span)
+), item_key AS (
+  SELECT item_id, w, number, span, p, least(p, 6) AS l, list_transform(offsets, lambda o: w[p + o + 1]) AS k FROM item_at
+), doc_at AS (
+  SELECT doc_id, w, number, offsets, unnest(range(len(w) - span + 1)) AS p FROM doc, pattern WHERE len(w) >= span
+), doc_key AS (
+  SELECT doc_id, w, number, p, list_transform(offsets, lambda o: w[p + o + 1]) AS k FROM doc_at
+), hit AS (
+  SELECT doc_id, item_id, d.w AS dw, i.w AS iw, d.p - l AS b, i.p - l AS s, l + 6 + span AS n
+  FROM doc_key d JOIN item_key i ON d.number = i.number AND d.k = i.k
+), overlap AS (
+  SELECT doc_id, item_id, dw, iw, b, s, greatest(0, -b) AS lo, least(n, len(iw) - s, len(dw) - b) AS hi FROM hit
+), compared AS (
+  SELECT doc_id, item_id,
+    len(list_filter(range(lo, hi), lambda j: dw[b + j + 1] = iw[s + j + 1]))::DOUBLE / (hi - lo)::DOUBLE AS share
+  FROM overlap
+)
+SELECT doc_id, item_id, count(*) AS hits, max(share) AS similarity FROM compared WHERE share >= 0.75 GROUP BY doc_id, item_id
+"""
+
 
 def registry() -> dict[str, str]:
-    return {}
+    return {"op4_spaced_seeds": OP4}

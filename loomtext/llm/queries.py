@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomtext.llm.decontaminate import contaminated
 from loomtext.llm.language import identify, train
 from loomtext.llm.near_dedup import near_duplicates
 from loomtext.llm.quality import apply_line_rules
@@ -16,6 +17,10 @@ from loomtext.llm.token_counts import count_tokens
 from loomtext.llm.words import read_table
 
 
+def op4_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op5_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -53,4 +58,4 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_tensored_minhash, op6_line_rules, op7_difference_cover, op8_output_codes, op10_token_counts)}
+    return {f.__name__: f for f in (op4_spaced_seeds, op5_tensored_minhash, op6_line_rules, op7_difference_cover, op8_output_codes, op10_token_counts)}
