@@ -5,18 +5,31 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtext.llm.decontaminate import contaminated
 from loomtext.llm.language import identify, train
 from loomtext.llm.near_dedup import near_duplicates
+from loomtext.llm.pii import KINDS, find_personal_data, span_list
 from loomtext.llm.quality import apply_line_rules
 from loomtext.llm.substrings import remove_repeats
 from loomtext.llm.token_counts import count_tokens
 from loomtext.llm.words import read_table
 
 
+def op3_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_personal_data(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("personal", lambda span: span.base)
+
+    def counted(kind: str) -> Column:
+        return F.size(F.filter("base", lambda span: span.kind == KINDS.index(kind))).cast("bigint").alias(f"n_{kind}")
+
+    return found.select("doc_id", "personal", base.alias("base")).select(
+        "doc_id", *map(counted, KINDS), F.sha2(span_list(F.col("base")), 256).alias("base_sha256"), span_list(F.col("personal")).alias("spans")
+    )
+
+
 def op4_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
@@ -58,4 +71,4 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_spaced_seeds, op5_tensored_minhash, op6_line_rules, op7_difference_cover, op8_output_codes, op10_token_counts)}
+    return {f.__name__: f for f in (op3_weak_supervision, op4_spaced_seeds, op5_tensored_minhash, op6_line_rules, op7_difference_cover, op8_output_codes, op10_token_counts)}

@@ -46,3 +46,15 @@ def text_blocks(texts: Iterable[str | None], chars: int) -> Iterator[list[str]]:
         size += len(text)
     if block:
         yield block
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores in front until no column of ``df`` has them."""
+    taken = {column.lower() for column in df.columns}
+    result = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        result.append(name)
+    return result
