@@ -107,3 +107,32 @@ class WordHasher:
 
     def window_hashes(self, block: WordBlock, starts: np.ndarray, size: int) -> np.ndarray:
         return span_hashes(block.hashes, starts, starts + size, self.word_powers)
+
+
+class HashIndex:
+    """Distinct 64-bit keys -> their places, as tables with one key a slot; keys
+    that find their slot taken go to the next table, which hashes otherwise."""
+
+    BITS = 18
+
+    def __init__(self, keys: np.ndarray):
+        self.tables, left = [], np.arange(keys.size)
+        while left.size:
+            multiplier = (0x9E3779B97F4A7C15 * (2 * len(self.tables) + 1)) & _MASK
+            slots, first = np.unique(self._slots(keys[left], multiplier), return_index=True)
+            held, places = np.zeros(1 << self.BITS, dtype=np.int64), np.full(1 << self.BITS, -1, dtype=np.int64)
+            held[slots], places[slots] = keys[left[first]], left[first]
+            self.tables.append((multiplier, held, places))
+            left = np.delete(left, first)
+
+    def _slots(self, keys: np.ndarray, multiplier: int) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(multiplier)) >> np.uint64(64 - self.BITS)).astype(np.int64)
+
+    def lookup(self, keys: np.ndarray) -> np.ndarray:
+        """The place of every key, -1 for others."""
+        result = np.full(keys.size, -1, dtype=np.int64)
+        for multiplier, held, places in self.tables:
+            slot = self._slots(keys, multiplier)
+            hit = np.flatnonzero(held[slot] == keys)
+            result[hit] = np.maximum(result[hit], places[slot[hit]])
+        return result

@@ -13,6 +13,7 @@ from loomtext.llm.language import identify, train
 from loomtext.llm.near_dedup import near_duplicates
 from loomtext.llm.pii import KINDS, find_personal_data, span_list
 from loomtext.llm.quality import apply_line_rules
+from loomtext.llm.sampled_pieces import sample_segmentations
 from loomtext.llm.substrings import remove_repeats
 from loomtext.llm.token_counts import count_tokens
 from loomtext.llm.words import read_table
@@ -63,6 +64,15 @@ def op8_output_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_gumbel_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = sample_segmentations(
+        read_table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model")
+    )
+    return drawn.select(
+        "doc_id", "draw", F.size("ids").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), "score", "log_prob", "log_inclusion", "decodes"
+    )
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = count_tokens(
         read_table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json")
@@ -71,4 +81,4 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_weak_supervision, op4_spaced_seeds, op5_tensored_minhash, op6_line_rules, op7_difference_cover, op8_output_codes, op10_token_counts)}
+    return {f.__name__: f for f in (op3_weak_supervision, op4_spaced_seeds, op5_tensored_minhash, op6_line_rules, op7_difference_cover, op8_output_codes, op9_gumbel_pieces, op10_token_counts)}

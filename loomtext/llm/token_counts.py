@@ -19,6 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomtext.llm.hashing import HashIndex
 from loomtext.llm.words import text_blocks
 
 # How byte-level vocabularies cut text before merging.  Words stand first
@@ -26,7 +27,6 @@ from loomtext.llm.words import text_blocks
 PRE_TOKEN = r" ?\p{L}++| ?\p{N}++|'s|'t|'re|'ve|'m|'ll|'d| ?[^\s\p{L}\p{N}]++|\s+(?!\S)|\s+"
 
 NO_RANK = np.int64(1) << 40
-TABLE_BITS = 18
 
 
 def byte_alphabet() -> list[str]:
@@ -53,7 +53,7 @@ class ArrayMerger:
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.width = max(vocab.values()) + 1
         keys = np.array([vocab[a] * self.width + vocab[b] for a, b in pairs], dtype=np.int64)
-        self.tables = _hash_tables(keys)
+        self.index = HashIndex(keys)
         self.made = np.array([vocab[a + b] for a, b in pairs], dtype=np.int64)
         special = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
@@ -88,12 +88,8 @@ class ArrayMerger:
         key = np.full(symbols.size, -1, dtype=np.int64)
         key[:-1] = symbols[:-1] * self.width + symbols[1:]
         key[ends - 1] = -1
-        rank = np.full(symbols.size, NO_RANK, dtype=np.int64)
-        for multiplier, held, ranks in self.tables:
-            slot = _slots(key, multiplier)
-            hit = np.flatnonzero(held[slot] == key)
-            rank[hit] = ranks[slot[hit]]
-        return rank
+        rank = self.index.lookup(key)
+        return np.where(rank < 0, NO_RANK, rank)
 
     def runs(self, text: str, per_run: int) -> Iterator[tuple[list[str], int]]:
         """The pre-tokens of a text in lists of bounded size, with the number of
@@ -110,24 +106,6 @@ class ArrayMerger:
                     break
 
 
-def _slots(key: np.ndarray, multiplier: int) -> np.ndarray:
-    return ((key.astype(np.uint64) * np.uint64(multiplier)) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
-
-
-def _hash_tables(keys: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """Pair key -> rank as tables with one key a slot; keys that find their slot
-    taken go to the next table, which hashes otherwise."""
-    tables, left = [], np.arange(keys.size)
-    while left.size:
-        multiplier = (0x9E3779B97F4A7C15 * (2 * len(tables) + 1)) % (1 << 64)
-        slots, first = np.unique(_slots(keys[left], multiplier), return_index=True)
-        held, ranks = np.full(1 << TABLE_BITS, -2, dtype=np.int64), np.zeros(1 << TABLE_BITS, dtype=np.int32)
-        held[slots], ranks[slots] = keys[left[first]], left[first]
-        tables.append((multiplier, held, ranks))
-        left = np.delete(left, first)
-    return tables
-
-
 def _leftmost_disjoint(hits: np.ndarray) -> np.ndarray:
     """Of pair positions that follow one another, every second one: the pairs
     of a run such as a a a overlap, and the left one wins."""
