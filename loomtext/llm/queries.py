@@ -11,14 +11,24 @@ from pyspark.sql import functions as F
 from loomtext.llm.decontaminate import contaminated
 from loomtext.llm.language import identify, train
 from loomtext.llm.near_dedup import near_duplicates
+from loomtext.llm.packing import pack_tokens
 from loomtext.llm.pii import KINDS, find_personal_data, span_list
 from loomtext.llm.quality import apply_line_rules
 from loomtext.llm.sampled_pieces import sample_segmentations
+from loomtext.llm.secret_scan import scan
 from loomtext.llm.substrings import remove_repeats
 from loomtext.llm.token_counts import count_tokens
 from loomtext.llm.words import read_table
 
 
+def op1_forest_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(read_table(spark, sf_dir, "documents"), path="source")
+
+
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
 def op3_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_personal_data(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.filter("personal", lambda span: span.base)
@@ -81,4 +91,4 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_weak_supervision, op4_spaced_seeds, op5_tensored_minhash, op6_line_rules, op7_difference_cover, op8_output_codes, op9_gumbel_pieces, op10_token_counts)}
+    return {f.__name__: f for f in (op1_forest_secrets, op2_best_fit_packing, op3_weak_supervision, op4_spaced_seeds, op5_tensored_minhash, op6_line_rules, op7_difference_cover, op8_output_codes, op9_gumbel_pieces, op10_token_counts)}
