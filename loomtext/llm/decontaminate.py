@@ -78,20 +78,31 @@ def contaminated(
             F.slice("tokens", F.col("at") - left + 1, left + EXTENT + F.element_at(F.array(*[F.lit(p[1]) for p in patterns]), F.col("pattern") + 1)).alias("around"),
         )
     )
+    source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    tokenised = source.select("doc_id", token_hashes(F.col("text")).alias("tokens"))
+    places = tokenised.select("doc_id", "tokens", F.explode(_places(F.col("tokens"), least)).alias("at"))
+    keys = F.explode(_keys(F.col("tokens"), F.col("at"), patterns)).alias("key")
     if index.count() <= BROADCAST_ROWS:
-        index = F.broadcast(index)
-
-    places = docs.select(F.col(doc_id).alias("doc_id"), token_hashes(F.col(text)).alias("tokens")).select(
-        "doc_id", "tokens", F.explode(_places(F.col("tokens"), least)).alias("at")
-    )
-    windows = places.select("doc_id", "tokens", "at", F.explode(_keys(F.col("tokens"), F.col("at"), patterns)).alias("key")).where("key IS NOT NULL")
+        # Tokens are copied for hits alone: everything up to the join is one generated loop.
+        hits = places.select("doc_id", "tokens", "at", keys).where("key IS NOT NULL").join(F.broadcast(index), "key")
+    else:
+        # Nothing wide may cross the exchange of all windows; hit rows fetch their tokens by id and digest.
+        digest = F.md5("text")
+        marked = source.select("doc_id", digest.alias("digest"), token_hashes(F.col("text")).alias("tokens"))
+        windows = marked.select("doc_id", "digest", "tokens", F.explode(_places(F.col("tokens"), least)).alias("at"))
+        found = windows.select("doc_id", "digest", "at", keys).where("key IS NOT NULL").join(index, "key")
+        again = marked.distinct().withColumnsRenamed({"doc_id": "_id", "digest": "_digest"})
+        hits = found.join(again, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")))
     begin = F.col("at") - F.col("left")
     own = F.slice("tokens", F.greatest(begin, F.lit(0)) + 1, F.size("around") + F.least(begin, F.lit(0)))
     other = F.slice("around", F.greatest(-begin, F.lit(0)) + 1, F.size("around"))
-    hits = windows.join(index, "key").select("doc_id", "item_id", own.alias("own"), other.alias("other"))
+    compared = hits.select("doc_id", "item_id", own.alias("own"), other.alias("other"))
     equal = F.size(F.filter(F.zip_with("own", "other", lambda x, y: F.coalesce(x == y, F.lit(False))), lambda same: same))
     share = equal / F.least(F.size("own"), F.size("other"))
+    # Judged after the sums: as a filter, the comparison would move into the
+    # join and there stop the generated loop.
+    close = F.count(F.when(F.col("share") >= similarity, 1))
     return (
-        hits.select("doc_id", "item_id", share.alias("share")).where(F.col("share") >= similarity)
-        .groupBy("doc_id", "item_id").agg(F.count("*").alias("hits"), F.max("share").alias("similarity"))
+        compared.select("doc_id", "item_id", share.alias("share")).groupBy("doc_id", "item_id")
+        .agg(close.alias("hits"), F.max("share").alias("similarity")).where("hits > 0")
     )
