@@ -292,7 +292,7 @@ def find_personal_data(docs: DataFrame, text: str = "text", out: str = "personal
     stays empty, extra columns are kept, one named like ``out`` is replaced.
     """
     learnt = train(docs, text).scalar() if weights is None else weights
-    spans, model = free_names(docs, "spans", "model")
+    spans, model = free_names(docs, "spans", "model", beside=out)
 
     def accepted(span: Column) -> Column:
         score = F.aggregate(features(span), F.element_at(F.col(model), "prior"), lambda s, f: s + F.coalesce(F.try_element_at(F.col(model), f), F.lit(0.0)))

@@ -48,9 +48,10 @@ def text_blocks(texts: Iterable[str | None], chars: int) -> Iterator[list[str]]:
         yield block
 
 
-def free_names(df: DataFrame, *names: str) -> list[str]:
-    """The names, with underscores in front until no column of ``df`` has them."""
-    taken = {column.lower() for column in df.columns}
+def free_names(df: DataFrame, *names: str, beside: str = "") -> list[str]:
+    """The names, with underscores in front until no column of ``df`` has them,
+    nor the column ``beside``."""
+    taken = {column.lower() for column in [*df.columns, beside]}
     result = []
     for name in names:
         while name.lower() in taken:
