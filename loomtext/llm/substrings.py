@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomtext.llm.hashing import WordHasher
-from loomtext.llm.words import WORD
+from loomtext.llm.spark_tools import checkpointed
+from loomtext.llm.words import WORD, free_names
 
 # A perfect difference set; each number below the period is the
 # difference of two of its members, modulo the period.
@@ -53,7 +54,7 @@ def _anchors(docs: DataFrame, length: int) -> DataFrame:
 
 
 def _windows(around: DataFrame, length: int, window: int) -> DataFrame:
-    """(hash, doc, place) of the windows that hold a shared anchor of their row.
+    """(hash, place, doc) of the windows that hold a shared anchor of their row.
 
     The place is the number of the first word, with a tag of the text in the
     upper half, so that rows of one id and different texts stay apart.
@@ -81,11 +82,20 @@ def _windows(around: DataFrame, length: int, window: int) -> DataFrame:
                 row = block.row_of(starts)
                 place = (tags[block.first_row + row].astype(np.int64) << 32) + (starts - block.bounds[row])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(hasher.window_hashes(block, starts, window).view(np.int64)),
-                     pa.array(ids[block.first_row + row]), pa.array(place)], names=["hash", "doc", "place"],
+                    [pa.array(hasher.window_hashes(block, starts, window).view(np.int64)), pa.array(place),
+                     pa.array(ids[block.first_row + row])], names=["hash", "place", "doc"],
                 )
 
-    return around.mapInArrow(hashed, "hash bigint, doc bigint, place bigint")
+    return around.mapInArrow(hashed, "hash bigint, place bigint, doc bigint")
+
+
+def _skew_join(rows: DataFrame, sums: DataFrame, key: str) -> DataFrame:
+    """Rows joined with sums by key.  The complement of the key gives the sums an
+    exchange of their own; without it their side of the join cannot be dealt
+    again and adaptive execution could not split a hot key."""
+    name = f"not_{key}"
+    left, right = rows.withColumn(name, F.bitwise_not(key)).drop(key), sums.withColumn(name, F.bitwise_not(key)).drop(key)
+    return left.join(right, name).withColumn(key, F.bitwise_not(name)).drop(name)
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = 50, out: str = "unique") -> DataFrame:
@@ -99,7 +109,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     whether their texts are equal or not.  An empty table stays empty, extra
     columns are kept, one named like ``out`` is replaced.
 
-    Shared anchors are counted with partial sums before the exchange, so a
+    Whole copies are settled first: of equal texts all but the smallest id lose
+    every word, if they have a window at all.  Shared anchors are counted with partial sums before the exchange, so a
     passage that a third of all documents hold costs one row a task there; the
     joins on anchors and windows are plain shuffle joins whose hot keys
     adaptive execution splits.  What is gathered per document is never more
@@ -109,38 +120,60 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     length = window - PERIOD + 1
     if length < 1:
         raise ValueError(f"window must have at least {PERIOD} words")
-    tag = F.crc32(F.col("text")).cast("bigint") % (1 << 31)
-    named = docs.select(F.col(doc_id).cast("bigint").alias("doc"), F.col(text).alias("text")).where("doc IS NOT NULL AND text IS NOT NULL")
-
-    anchors = _anchors(named, length)
+    copy, places = free_names(docs, "copy", "places", beside=out)
+    # No column is renamed before an exchange: then all joins of texts share one.
+    kinds = dict(docs.dtypes)
+    source = docs if kinds[doc_id] == "bigint" else docs.withColumn(doc_id, F.col(doc_id).cast("bigint"))
+    named = source.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull())
+    texts = named.select(doc_id, text)
+
+    # Whole copies: the smallest id stands for all, so its windows need no second look.
+    digests = texts.select(F.col(doc_id).alias("doc"), F.unhex(F.md5(F.col(text))).alias("digest")).distinct()
+    copies = digests.groupBy("digest").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last")
+    several = digests.groupBy("doc").agg(F.count("*").alias("n")).where("n > 1").select("doc")
+    later = digests.join(copies, "digest").where("doc > first").select("doc").join(several, "doc", "left_anti")
+    later = checkpointed(later.select(F.col("doc").alias(doc_id), F.lit(True).alias(copy)))
+
+    originals = texts.join(later, doc_id, "left_anti").select(doc_id, text)
+    anchors = _anchors(originals, length)
     shared = anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    of_doc = anchors.join(shared, "anchor").groupBy("doc").agg(F.collect_set("anchor").alias("shared"))
-    around = named.join(of_doc, "doc").select("doc", "text", "shared", tag.cast("int").alias("tag"))
+    of_doc = _skew_join(anchors, shared, "anchor").groupBy("doc").agg(F.collect_set("anchor").alias("shared"))
+    tag = (F.crc32(F.col(text)) % (1 << 31)).cast("int")
+    around = originals.join(of_doc.withColumnRenamed("doc", doc_id), doc_id).select(doc_id, text, "shared", tag.alias("tag"))
 
     windows = _windows(around, length, window)
     first = windows.groupBy("hash").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").drop("last")
     covered = (
-        windows.join(first, "hash").where("doc > first")
+        _skew_join(windows, first, "hash").where("doc > first")
         .groupBy("doc").agg(F.array_distinct(F.collect_list("place")).alias("places"))
     )
 
     @F.arrow_udf("n_words bigint, n_removed bigint, kept string")
-    def cut(texts: pa.Array, tags: pa.Array, places: pa.Array) -> pa.Array:
-        rows = [_cut(t.as_py() or "", own.as_py(), p, window) for t, own, p in zip(texts, tags, places, strict=True)]
+    def cut(texts: pa.Array, tags: pa.Array, places: pa.Array, copies: pa.Array) -> pa.Array:
+        rows = [
+            _cut(t.as_py() or "", own.as_py(), p, whole.is_valid, window)
+            for t, own, p, whole in zip(texts, tags, places, copies, strict=True)
+        ]
         n_words, n_removed, kept = zip(*rows, strict=True) if rows else ((), (), ())
         return pa.StructArray.from_arrays(
             [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())],
             names=["n_words", "n_removed", "kept"],
         )
 
-    own_tag = F.crc32(F.col(f"d.{text}")).cast("bigint") % (1 << 31)
-    joined = docs.alias("d").join(covered.alias("c"), F.col(f"d.{doc_id}").cast("bigint") == F.col("c.doc"), "left")
-    kept_columns = [F.col(f"d.`{name}`") for name in docs.columns if name.lower() != out.lower()]
-    return joined.select(*kept_columns, cut(F.col(f"d.{text}"), own_tag, F.col("c.places")).alias(out))
+    found = later.join(covered.select(F.col("doc").alias(doc_id), F.col("places").alias(places)), doc_id, "full")
+    judged = named.join(found, doc_id, "left")
+    unnamed = source.where(F.col(doc_id).isNull() | F.col(text).isNull()).select(
+        "*", F.lit(None).cast("boolean").alias(copy), F.lit(None).cast("array<bigint>").alias(places)
+    )
+    own = cut(F.col(text), tag, F.col(places), F.col(copy)).alias(out)
+    kept_columns = [F.col(f"`{name}`").cast(kind).alias(name) for name, kind in docs.dtypes if name.lower() != out.lower()]
+    return judged.unionByName(unnamed).select(*kept_columns, own)
 
 
-def _cut(text: str, tag: int | None, places: pa.ListScalar, window: int) -> tuple[int, int, str]:
+def _cut(text: str, tag: int | None, places: pa.ListScalar, copy: bool, window: int) -> tuple[int, int, str]:
     words = WORD.findall(text)
+    if copy and len(words) >= window:
+        return len(words), len(words), ""
     if not places.is_valid:
         return len(words), 0, " ".join(words)
     starts = places.values.to_numpy(zero_copy_only=False)
