@@ -5,7 +5,7 @@ Only constants (bounds, word lists, prompt texts) are shared with the library.
 
 from __future__ import annotations
 
-from catalog.queries import HEAD, NUMERAL_CAP, ORIGINALS, SAMPLE, WIDE_CHARS
+from catalog.queries import ACCUMULATION, BATCH, HEAD, MARKERS, NUMERAL_CAP, ORIGINALS, SAMPLE, SEQUENCE_BOUNDS, WIDE_CHARS
 from catalog.tables import LEXICON, SHOTS
 from loomtext import defaults as d
 
@@ -227,6 +227,15 @@ mixture as (
 """
 
 
+def words(column: str) -> str:
+    return f"list_filter(string_split_regex(coalesce({column}, ''), '[ \t\n\r]+'), lambda w: w <> '')"
+
+
+def grams(column: str, n: int) -> str:
+    """All n-grams of a list of words."""
+    return f"list_transform(range(1, len({column}) - {n - 2}), lambda i: array_to_string({column}[i:i + {n - 1}], ' '))"
+
+
 def registry() -> dict[str, str]:
     wide = f"""with {ARTICLES}
         select law, article, unit, pos, ru, ky from zipped where {gate("ru", "ky", WIDE_CHARS)}
@@ -297,6 +306,34 @@ def registry() -> dict[str, str]:
         "apply_model_all": "select doc_id, md5(text) as output from documents",
         "apply_model_errors": """select doc_id, case when contains(text, '|') then '' else md5(text) end as value,
             case when contains(text, '|') then 'bar in text' else '' end as error from documents""",
+        "apply_model_dedup": "select doc_id, md5(text) as output from documents",
+        "ab_identical": f"""select count(*) as n, count(*) filter (md5({GROUNDED}) = md5({CORRUPT})) as same
+            from documents where {_context}""",
+        "heldout_anti": "select item_id from benchmark b where not exists (select 1 from documents d where d.text = b.text)",
+        "contamination": f"""with i as (select item_id, ' ' || array_to_string({words('text')}, ' ') || ' ' as phrase from benchmark
+                where len({words('text')}) > 0),
+            c as (select doc_id, ' ' || array_to_string({words('text')}, ' ') || ' ' as line from documents)
+            select item_id, doc_id from i, c where contains(line, phrase)""",
+        "copy_rate": f"""with {SUMMARIES}, w as (select doc_id, {words('summary')} as a, {words('text')} as b from summaries)
+            select doc_id, len(list_distinct({grams('a', 3)}))::int as grams,
+                   len(list_distinct(list_intersect({grams('a', 3)}, {grams('b', 3)})))::int as copied from w""",
+        "fabricated_numbers": f"""with {SUMMARIES}, n as (select doc_id, regexp_extract_all(summary, '\\p{{Nd}}+') as a,
+                regexp_extract_all(text, '\\p{{Nd}}+') as b from summaries)
+            select doc_id, coalesce(array_to_string(list_sort(list_distinct(list_filter(a, lambda x: not list_contains(b, x)))), ','), '')
+                as invented from n""",
+        "marker_language": f"""select lang, count(*) as n, count(*) filter (translate(text, '{MARKERS}', '') <> text) as marked
+            from documents group by lang""",
+        "length_profile": f"""select lang, count(*) as n, count(*) filter (length(text) < {d.CONTEXT_CHARS[0]}) as under,
+            count(*) filter ({_context}) as kept, count(*) filter (length(text) > {d.CONTEXT_CHARS[1]}) as "over",
+            sum(length(text))::bigint as chars, min(length(text))::int as shortest, max(length(text))::int as longest
+            from documents group by lang""",
+        "seq_overflow": " union all ".join(f"""select {bound} as bound, count(*) as n,
+            count(*) filter (len({words('text')}) > {bound}) as "over" from documents""" for bound in SEQUENCE_BOUNDS),
+        "step_budget": f"""select count(*) as n, ceil(count(*) / {BATCH * ACCUMULATION}.0)::bigint as steps
+            from documents where {_corpus}""",
+        "lexicon_coverage": f"""with {PAIRS} {"".join(f"""{'' if i == 1 else ' union all'}
+            select {i} as ord, count(*) filter (contains(ru, {quote(r)})) as n_ru, count(*) filter (contains(ky, {quote(k)})) as n_ky,
+                count(*) filter (contains(ru, {quote(r)}) and contains(ky, {quote(k)})) as n_both from pair""" for i, (r, k) in enumerate(LEXICON, 1))}""",
         "serve_requests": f"""with {REQUESTS}, prompted as (select *, {ASK} as prompt from requests)
             select conv_id, turn, case when prompt = '' then '' else md5(prompt) end as value,
                    '' as error from prompted""",

@@ -11,9 +11,9 @@ from catalog import tables as t
 from catalog.models import digest_model, picky_model
 from loomtext import plans
 from loomtext.defaults import CONTEXT_CHARS, SEED, TASK_SUMMARY_2_3
-from loomtext.operators import align, articles, compare, corpus, lexicon, mixture, numerals, ordering, prompts, sessions
+from loomtext.operators import align, articles, compare, corpus, evaluate, lexicon, mixture, numerals, ordering, prompts, sessions
 from loomtext.operators import split as splits
-from loomtext.operators.apply import apply_model
+from loomtext.operators.apply import apply_model, apply_model_once
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,10 @@ SAMPLE = 300
 NUMERAL_CAP = 100
 ORIGINALS = 1000
 WIDE_CHARS = (10, 2000)
+# Parameters of the reports.
+MARKERS = "äöüß"
+SEQUENCE_BOUNDS = (256, 512, 1024)
+BATCH, ACCUMULATION = 2, 8
 
 
 def length_filter(spark, sf):
@@ -199,6 +203,50 @@ def apply_model_all(spark, sf):
     return apply_model(t.corpus(spark, sf), "text", digest_model).drop("text")
 
 
+def apply_model_dedup(spark, sf):
+    return apply_model_once(t.corpus(spark, sf), "text", digest_model).drop("text")
+
+
+def ab_identical(spark, sf):
+    return evaluate.identical_outputs(ab_stored(spark, sf), "out_grounded", "out_corrupt")
+
+
+def heldout_anti(spark, sf):
+    return evaluate.held_out(t.benchmark(spark, sf), t.corpus(spark, sf)).select("item_id")
+
+
+def contamination(spark, sf):
+    return evaluate.contamination(t.benchmark(spark, sf), t.corpus(spark, sf), "item_id", "doc_id")
+
+
+def copy_rate(spark, sf):
+    return evaluate.copy_rate(t.summaries(spark, sf), "summary", "text").select("doc_id", "grams", "copied")
+
+
+def fabricated_numbers(spark, sf):
+    return evaluate.fabricated_numbers(t.summaries(spark, sf), "summary", "text").select("doc_id", "invented")
+
+
+def marker_language(spark, sf):
+    return evaluate.marker_language(t.table(spark, sf, "documents"), "lang", MARKERS)
+
+
+def length_profile(spark, sf):
+    return evaluate.length_profile(t.table(spark, sf, "documents"), "lang", CONTEXT_CHARS)
+
+
+def seq_overflow(spark, sf):
+    return evaluate.overflow(t.corpus(spark, sf), SEQUENCE_BOUNDS)
+
+
+def step_budget(spark, sf):
+    return evaluate.step_budget(cpt_corpus(spark, sf), BATCH, ACCUMULATION)
+
+
+def lexicon_coverage(spark, sf):
+    return evaluate.lexicon_coverage(t.turn_pairs(spark, sf), t.LEXICON)
+
+
 def _no_nulls(*names):
     return [F.coalesce(name, F.lit("")).alias(name.split(".")[-1]) for name in names]
 
@@ -242,6 +290,8 @@ ALL: list[Query] = [
     prompt_zero_shot, prompt_few_shot, prompt_variants, request_prompts,
     heldout_pick, heldout_all, ab_outputs, ab_picked, ab_stored, apply_model_all, apply_model_errors, serve_requests,
     session_direction, session_take_while, session_requests, serve_sessions, serve_chat,
+    apply_model_dedup, ab_identical, heldout_anti, contamination, copy_rate, fabricated_numbers, marker_language,
+    length_profile, seq_overflow, step_budget, lexicon_coverage,
 ]
 
 

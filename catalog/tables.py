@@ -20,6 +20,7 @@ SHOTS = [("The bridge was closed in May for repairs and opened again in June.",
 SCHEMAS = {
     "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
     "conversations": "conv_id bigint, turn bigint, role string, text string",
+    "benchmark": "item_id bigint, text string",
     "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
 }
 
@@ -32,6 +33,10 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
+def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark")
+
+
 def _law() -> list:
     return [
         F.concat(F.lit("c"), F.expr("conv_id div 100").cast("string")).alias("law"),

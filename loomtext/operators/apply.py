@@ -70,3 +70,17 @@ def apply_model(
     else:
         udf = F.pandas_udf(answers, "string")
     return df.withColumn(out, udf(F.col(prompt)))
+
+
+def apply_model_once(
+    df: DataFrame, prompt: str, make_model: Callable[[], Model], out: str = "output", per_call: int = 64,
+) -> DataFrame:
+    """As ``apply_model``, with one call for each different prompt.
+
+    For models whose answer depends on the prompt alone.  Prompts are made
+    distinct with partial sums before the exchange; the answers come back by a
+    join whose hot prompts adaptive execution splits.
+    """
+    answers = apply_model(df.select(prompt).distinct(), prompt, make_model, out, per_call=per_call)
+    asked = answers.select(F.col(prompt).alias("_asked"), out)
+    return df.join(asked, F.col(prompt).eqNullSafe(F.col("_asked")), "left").drop("_asked")
