@@ -88,7 +88,8 @@ def signatures(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def candidate_pairs(classes: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of classes that meet in a table, from (id, keys).
+    """Distinct pairs (a, b, star) of classes that meet in a table, from (id,
+    keys); with ``star``, b is the centre of a large bucket.
 
     First each of the 2 x 10 keys is counted on its own: a table key can only be
     shared if both its halves are, so the 100 combinations are formed of shared
@@ -110,19 +111,19 @@ def candidate_pairs(classes: DataFrame) -> DataFrame:
     ).select("id", "weight", F.xxhash64("x.side", "x.half", "y.side", "y.half").alias("key"))
     tables = checkpointed(tables)
     buckets = tables.groupBy("key").agg(
-        F.count("*").alias("n"), F.max(F.struct("weight", (-F.col("id")).alias("minus_id"))).alias("top")
-    ).where("n > 1").select("key", "n", (-F.col("top.minus_id")).alias("centre"))
+        F.count("*").alias("n"), F.max(F.struct("weight", F.xxhash64("key", "id").alias("turn"), "id")).alias("top")
+    ).where("n > 1").select("key", "n", F.col("top.id").alias("centre"))
     met = tables.join(buckets, "key").select("key", "id", "n", "centre")
     large = met.where((F.col("n") > SMALL_BUCKET) & (F.col("id") != F.col("centre"))).select(
-        F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")
+        F.col("id").alias("a"), F.col("centre").alias("b"), F.lit(True).alias("star")
     )
     small = met.where(F.col("n") <= SMALL_BUCKET).groupBy("key").agg(F.collect_list("id").alias("ids"))
-    pairs = small.select("ids", F.explode("ids").alias("a")).select("a", F.explode(F.filter("ids", lambda other: other > F.col("a"))).alias("b"))
+    pairs = small.select("ids", F.explode("ids").alias("a")).select("a", F.explode(F.filter("ids", lambda other: other > F.col("a"))).alias("b"), F.lit(False).alias("star"))
     return large.union(pairs).distinct()
 
 
-def confirmed(docs: DataFrame, pairs: DataFrame, doc_id: str, text: str, percent: int) -> DataFrame:
-    """The pairs (a, b) of document ids whose full sets reach the similarity."""
+def shingle_lists(docs: DataFrame, pairs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(id, set): the full sorted sets of all documents that some pair names."""
     needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,21 +136,47 @@ def confirmed(docs: DataFrame, pairs: DataFrame, doc_id: str, text: str, percent
                     [batch.column(0).slice(block.first_row, len(rows)), pa.array(rows, pa.binary())], names=["id", "set"]
                 )
 
-    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    source = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).alias("text"))
+    # Rows of one id are one document: any of its texts may confirm a link.
+    return checkpointed(source.join(needed, "id", "left_semi").mapInArrow(listed, "id bigint, set binary"))
+
+
+def compared(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """(a, b, star, share, linked) of every pair, from the full sets."""
+
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for left, right in zip(batch.column(2), batch.column(3), strict=True):
+            shares, linked = [], []
+            for left, right in zip(batch.column(3), batch.column(4), strict=True):
                 one, two = (np.frombuffer(side.as_buffer(), dtype=np.uint64) for side in (left, right))
                 common = np.intersect1d(one, two, assume_unique=True).size
-                keep.append(100 * common >= percent * (one.size + two.size - common))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                union = one.size + two.size - common
+                shares.append(common / max(union, 1))
+                linked.append(100 * common >= percent * union)
+            columns = [*batch.columns[:3], pa.array(shares, pa.float64()), pa.array(linked, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "star", "share", "linked"])
 
-    source = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).alias("text"))
-    # Rows of one id are one document: any of its texts may confirm a link.
-    sets = checkpointed(source.join(needed, "id", "left_semi").mapInArrow(listed, "id bigint, set binary"))
     one = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
     both = one.join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
-    return both.select("a", "b", "set_a", "set_b").mapInArrow(compared, "a bigint, b bigint")
+    return both.select("a", "b", "star", "set_a", "set_b").mapInArrow(measured, "a bigint, b bigint, star boolean, share double, linked boolean")
+
+
+def links(docs: DataFrame, pairs: DataFrame, doc_id: str, text: str, percent: int) -> DataFrame:
+    """(a, b) of the confirmed pairs.
+
+    Copies of one text agree less among themselves than with that text, and a
+    centre may be such a copy.  So what fails to link with a centre is compared
+    with the nearest of the documents that did: of many copies, the nearest to
+    any is the text they come from.
+    """
+    sets = shingle_lists(docs, pairs, doc_id, text)
+    first = checkpointed(compared(sets, pairs, percent))
+    nearest = first.where("star AND linked").groupBy("b").agg(F.max(F.struct("share", (-F.col("a")).alias("minus"))).alias("top"))
+    again = first.where("star AND NOT linked").select("a", F.col("b").alias("centre")).join(
+        nearest.select(F.col("b").alias("centre"), (-F.col("top.minus")).alias("b")), "centre"
+    ).where("a <> b").select("a", "b", F.lit(False).alias("star")).distinct()
+    second = compared(sets, again, percent)
+    return first.where("linked").select("a", "b").union(second.where("linked").select("a", "b"))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
@@ -172,8 +199,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     classed = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = checkpointed(classed.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("id"), F.min("keys").alias("keys")))
     pairs = checkpointed(candidate_pairs(classes.select("id", "keys")))
-    links = confirmed(docs, pairs, doc_id, text, percent)
-    reached = components(links)
+    reached = components(links(docs, pairs, doc_id, text, percent))
     of_class = classes.select("set_a", "set_b", "id").join(reached, "id", "left").select(
         "set_a", "set_b", F.coalesce("component", "id").alias("component_id")
     )
