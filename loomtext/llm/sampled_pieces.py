@@ -15,6 +15,7 @@ are arrays.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -131,7 +132,7 @@ class Lattices:
         piece = np.full((n, width), -1, dtype=np.int32)
         weight = np.full((n, width), -np.inf)
         values = chars.astype(np.uint64) + np.uint64(1)
-        nodes, found = np.arange(n), model.single[chars]
+        nodes, found, reached = np.arange(n), model.single[chars], 1
         for extra in range(width):
             if extra:
                 nodes = nodes[left[nodes] > extra]
@@ -139,6 +140,9 @@ class Lattices:
                 nodes, found = nodes[prefix >= 0], model.whole[prefix[prefix >= 0]]
             there = found >= 0
             piece[nodes[there], extra], weight[nodes[there], extra] = model.ids[found[there]], model.weights[found[there]]
+            reached = extra + 1 if there.any() else reached
+        width = max(reached, 1)  # of the pieces that occur, mostly much less than the longest
+        piece, weight = piece[:, :width], weight[:, :width]
         single = np.flatnonzero(weight[:, 0] == -np.inf)
         piece[single, 0], weight[single, 0] = -1 - chars[single].astype(np.int32), model.byte_weight
         mass, paths = np.zeros(n + width + 1), np.ones(n + width + 1)
@@ -172,13 +176,17 @@ class Lattices:
             edge = (rows < u[:, None]).sum(axis=1)
             chance[active] += self.log_chance[node, edge]
             owners.append(active)
-            pieces.append(self.piece[node, edge].astype(np.int64))
+            pieces.append(self.piece[node, edge])
             going = self.left[node] > edge + 1
             active, node, step = active[going], node[going] + edge[going] + 1, step + 1
-        owner = np.concatenate(owners) if owners else np.zeros(0, dtype=np.int64)
-        order = np.argsort(owner, kind="stable")
-        flat = np.concatenate(pieces)[order] if pieces else np.zeros(0, dtype=np.int64)
-        return chance, flat, np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=units.size))))
+        counts = np.zeros(units.size, dtype=np.int64)
+        for active in owners:
+            counts[active] += 1
+        begins = np.concatenate(([0], np.cumsum(counts)))
+        flat = np.empty(begins[-1], dtype=np.int64)
+        for step, (active, found) in enumerate(zip(owners, pieces, strict=True)):
+            flat[begins[active] + step] = found
+        return chance, flat, begins
 
     def lengths(self, pieces: np.ndarray) -> list[int]:
         return np.where(pieces < 0, 1, self.model.length_of[np.maximum(pieces, 0)]).tolist()
@@ -198,14 +206,16 @@ class Lattices:
         while True:
             left = int(self.left[node])
             masses, options = [], []
-            for edge in np.flatnonzero(self.log_chance[node, :left] > -np.inf).tolist():
-                after = [path for path in live if path[len(lengths)] == edge + 1]
-                rest = node + edge + 1
-                n_paths = self.paths[rest] if edge + 1 < left else 1.0
-                if len(after) >= n_paths:
+            for edge, log_chance in enumerate(self.log_chance[node, :left].tolist()):
+                if log_chance == -math.inf:
                     continue
-                gone = sum(np.exp(self._rest_of(rest, path[len(lengths) + 1:])) for path in after)
-                masses.append(np.exp(self.log_chance[node, edge]) * max(1.0 - gone, 1e-15))
+                after = [path for path in live if path[len(lengths)] == edge + 1]
+                rest, gone = node + edge + 1, 0.0
+                if after:
+                    if len(after) >= (self.paths[rest] if edge + 1 < left else 1.0):
+                        continue
+                    gone = sum(math.exp(self._rest_of(rest, path[len(lengths) + 1:])) for path in after)
+                masses.append(math.exp(log_chance) * max(1.0 - gone, 1e-15))
                 options.append((edge + 1, after))
             sums = np.cumsum(masses)
             u = float(unit_interval(drawn(np.asarray(seed), 1_000_003, step))) * sums[-1]
@@ -235,18 +245,27 @@ class LatticeStore:
     """Lattices that one block after another shares, up to a number of nodes;
     beyond it the store starts anew.  Only time depends on what it holds."""
 
-    def __init__(self, model: PieceModel, max_nodes: int = 1 << 20):
+    def __init__(self, model: PieceModel, max_nodes: int = 1 << 19):
         self.model, self.max_nodes = model, max_nodes
         self._clear(max_nodes)
 
     def _clear(self, nodes: int) -> None:
-        wide = (nodes, self.model.longest)
         self.lattices = Lattices(
-            self.model, np.zeros(0, dtype=np.int64), np.zeros(nodes, dtype=np.int64), np.zeros(wide, dtype=np.int32),
-            np.empty(wide, dtype=np.float32), np.empty(wide, dtype=np.float32), np.zeros(nodes),
+            self.model, np.zeros(0, dtype=np.int64), np.zeros(nodes, dtype=np.int64), np.zeros((nodes, 0), dtype=np.int32),
+            np.zeros((nodes, 0), dtype=np.float32), np.zeros((nodes, 0), dtype=np.float32), np.zeros(nodes),
         )
         self.used, self.known = 0, np.zeros(0, dtype=np.uint64)  # known[i]: hash of unit i
 
+    def _widen(self, width: int) -> None:
+        """Room for longer pieces: no chance, and nothing beyond the shorter ones."""
+        all_, extra = self.lattices, width - self.lattices.piece.shape[1]
+        if extra > 0:
+            rows = len(all_.left)
+            last = all_.upto[:, -1:] if all_.upto.shape[1] else np.ones((rows, 1), dtype=np.float32)
+            all_.piece = np.concatenate((all_.piece, np.zeros((rows, extra), dtype=np.int32)), axis=1)
+            all_.log_chance = np.concatenate((all_.log_chance, np.full((rows, extra), -np.inf, dtype=np.float32)), axis=1)
+            all_.upto = np.concatenate((all_.upto, np.repeat(last, extra, axis=1)), axis=1)
+
     def units(self, points: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """The number of every unit, after building the lattices of new ones."""
         hashes = span_hashes(points.astype(np.uint64) + np.uint64(1), starts, starts + sizes, self.model.powers)
@@ -259,6 +278,7 @@ class LatticeStore:
         fresh = np.flatnonzero(number < 0)
         if fresh.size:
             new = Lattices.build(self.model, points, starts[sample[fresh]], sizes[sample[fresh]])
+            self._widen(new.piece.shape[1])
             all_, rows, columns = self.lattices, slice(self.used, self.used + new.left.size), slice(0, new.piece.shape[1])
             all_.left[rows], all_.paths[rows] = new.left, new.paths
             all_.piece[rows, columns], all_.log_chance[rows, columns], all_.upto[rows, columns] = new.piece, new.log_chance, new.upto
@@ -294,11 +314,34 @@ class Path:
         return flat[ends[number] - self.sizes[number]:ends[number]]
 
 
-def search(lattices: Lattices, units: np.ndarray, draws: list[tuple], seed: np.uint64, k: int) -> tuple[list[Path], float]:
+@dataclass
+class Draw:
+    """One independent path for each of many units: its log chance, the log
+    chance of any other path of the unit, Gumbel noise, and the pieces."""
+
+    chances: np.ndarray
+    others: np.ndarray
+    noise: np.ndarray
+    pieces: np.ndarray
+    begins: np.ndarray
+
+    @classmethod
+    def of(cls, lattices: Lattices, units: np.ndarray, seeds: np.ndarray, number: int) -> Draw:
+        chances, pieces, begins = lattices.sample(units, drawn(seeds, number))
+        with np.errstate(divide="ignore"):
+            others = np.log(-np.expm1(np.minimum(chances, 0.0)))
+        others[lattices.paths[lattices.first[units]] <= 1] = -np.inf
+        return cls(chances, others, gumbel(drawn(seeds, 99, number)), pieces, begins)
+
+    def part(self, first: int, last: int) -> Draw:
+        return Draw(self.chances[first:last], self.others[first:last], self.noise[first:last], self.pieces, self.begins[first:last + 1])
+
+
+def search(lattices: Lattices, units: np.ndarray, draws: list[Draw], seed: np.uint64, k: int) -> tuple[list[Path], float]:
     """The k best perturbed paths of one text and the bound of the next.
 
-    ``draws[r]`` is (log chances, pieces, bounds) of independent draws of all
-    its units; path r takes from it what follows the unit where it departs.
+    ``draws[r]`` has independent draws of all its units; path r takes from it
+    what follows the unit where it departs.
     """
     paths: list[Path] = []
     bounds: list[np.ndarray] = []  # for every path, the regions that depart from it at each unit
@@ -306,7 +349,8 @@ def search(lattices: Lattices, units: np.ndarray, draws: list[tuple], seed: np.u
     top, parent, depart = float(gumbel(drawn(np.asarray(seed), 77))), -1, 0
     while len(paths) < k and top > -np.inf:
         number = len(paths)
-        chances, pieces, cuts = draws[number]
+        draw = draws[number]
+        chances, pieces, cuts = draw.chances, draw.pieces, draw.begins
         sizes = np.diff(cuts)
         if parent < 0:
             path = Path(top, float(chances.sum()), chances, [pieces[cuts[0]:cuts[-1]]], sizes)
@@ -325,10 +369,8 @@ def search(lattices: Lattices, units: np.ndarray, draws: list[tuple], seed: np.u
         if units.size == 0:
             return paths, -np.inf
         # Every later unit may depart; regions share no path.
-        with np.errstate(divide="ignore"):
-            mass = np.cumsum(path.chances) - path.chances + np.log(-np.expm1(np.minimum(path.chances, 0.0)))
-        mass[lattices.paths[lattices.first[units]] <= 1] = -np.inf
-        fresh = -np.logaddexp(-top, -(mass + gumbel(drawn(np.asarray(seed), 99, number, np.arange(units.size)))))
+        mass = np.cumsum(path.chances) - path.chances + draw.others
+        fresh = -np.logaddexp(-top, -(mass + draw.noise))
         if parent >= 0:
             fresh[:depart + 1] = -np.inf  # those belong to the parent
         bounds.append(fresh)
@@ -376,12 +418,11 @@ def encode_block(store: LatticeStore, texts: list[str], seeds: np.ndarray, k: in
     counts = np.diff(cuts)
     place = np.arange(starts.size) - np.repeat(cuts[:-1], counts)
     unit_seeds = drawn(np.repeat(seeds, counts), place)
-    draws = [lattices.sample(unit, drawn(unit_seeds, number)) for number in range(k)]
+    draws = [Draw.of(lattices, unit, unit_seeds, number) for number in range(k)]
     result = []
     for row, text in enumerate(texts):
-        part = slice(cuts[row], cuts[row + 1])
-        own = [(chance[part], pieces, begins[cuts[row]:cuts[row + 1] + 1]) for chance, pieces, begins in draws]
-        paths, threshold = search(lattices, unit[part], own, seeds[row], k)
+        first, last = int(cuts[row]), int(cuts[row + 1])
+        paths, threshold = search(lattices, unit[first:last], [draw.part(first, last) for draw in draws], seeds[row], k)
         found = []
         for path in paths:
             ids = _with_bytes(model, np.concatenate(path.parts))
@@ -409,7 +450,7 @@ def _with_bytes(model: PieceModel, pieces: np.ndarray) -> np.ndarray:
 
 def sample_segmentations(
     docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text", k: int = 2, temperature: float = 4096.0,
-    seed: int = 0, block_chars: int = 1 << 19,
+    seed: int = 0, block_chars: int = 1 << 18,
 ) -> DataFrame:
     """(key, draw, ids, score, log_prob, log_inclusion, decodes): up to ``k``
     different segmentations of every text, drawn without replacement.
