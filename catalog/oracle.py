@@ -33,8 +33,8 @@ def stripped(column: str) -> str:
     return f"trim({column}, {quote(d.WHITESPACE)})"
 
 
-def rank(*parts: str) -> str:
-    joined = ", ".join(f"({p})::varchar" for p in (str(d.SEED), *parts))
+def rank(*parts: str, seed: int | str = d.SEED) -> str:
+    joined = ", ".join(f"({p})::varchar" for p in (quote(str(seed)), *parts))
     return f"('0x' || substr(md5(concat_ws(':', {joined})), 1, 15))::bigint"
 
 
@@ -116,7 +116,7 @@ _digits = "[" + ", ".join(quote(n) for n in d.NUMERAL_DIGITS) + "]"
 _words = ", ".join(f"({i}, {quote(r)}, {quote(k)})" for i, (r, k) in enumerate(d.NUMERALS, 1))
 
 
-def numerals(pairs: str, key: list[str]) -> str:
+def numerals(pairs: str, key: list[str], cap: int | str = NUMERAL_CAP) -> str:
     """Candidates and their variants, from a subquery with ru, ky and a key."""
     keys = ", ".join(key)
     return f"""
@@ -129,7 +129,7 @@ found as (
         from {pairs})
     where d is not null
 ),
-chosen as (select * from found order by {rank(*key)}, {keys} limit {NUMERAL_CAP}),
+chosen as (select * from found order by {rank(*key, seed=f'{d.SEED}:cap')}, {keys} limit {cap}),
 drawn as (
     select chosen.*, ord, wr, wk,
            row_number() over (partition by {keys} order by {rank(*key, "ord")}, ord) as place
@@ -213,9 +213,11 @@ all_pairs as (
 )
 """
 _key = ["kind", "k", "turn"]
-MIXTURE = f"""
-{PAIRS}, {PARTS}, {_all_pairs}, {lexicon("all_pairs")}, {numerals("all_pairs", _key)},
-original as (select * from all_pairs order by {rank(*_key)}, kind, k, turn limit {ORIGINALS}),
+def mixture(cap: int | str = NUMERAL_CAP, originals: int | str = ORIGINALS) -> str:
+    """The three components; "null" is no limit."""
+    return f"""
+{PAIRS}, {PARTS}, {_all_pairs}, {lexicon("all_pairs")}, {numerals("all_pairs", _key, cap)},
+original as (select * from all_pairs order by {rank(*_key)}, kind, k, turn limit {originals}),
 mixture as (
     select 'lexicon' as component, kind, k, turn, ord, new_ru as ru, new_ky as ky,
            unnest(range(1, {d.LEXICON_COPIES} + 1))::int as copy from substituted
@@ -274,8 +276,9 @@ def registry() -> dict[str, str]:
         "numeral_candidates": f"with {PARTS}, {numerals('parts', ['k'])} select k, d, ru, ky from found",
         "numeral_augment": f"with {PARTS}, {numerals('parts', ['k'])} select k, ord, ru, ky from numeral",
         "sample_n": f"select doc_id from documents order by {rank('doc_id')}, doc_id limit {SAMPLE}",
-        "augment_mixture": f"with {MIXTURE} select component, kind, k, turn, ord, ru, ky, copy from mixture",
-        "mixture_report": f"with {MIXTURE} select component, count(*) as n from mixture group by component",
+        "augment_mixture": f"with {mixture()} select component, kind, k, turn, ord, ru, ky, copy from mixture",
+        "mixture_report": f"with {mixture()} select component, count(*) as n from mixture group by component",
+        "augment_mixture_all": f"with {mixture('null', 'null')} select component, kind, k, turn, ord, ru, ky, copy from mixture",
         "sft_translate_examples": f"""with {PAIRS}
             select conv_id, turn, 'ky2ru' as direction,
                    {filled(d.TO_RUSSIAN, "ky")} || ' ' || ru || '</s>' as text from pair

@@ -118,6 +118,11 @@ def augment_mixture(spark, sf):
     return _mixture(spark, sf, shuffle=True)
 
 
+def augment_mixture_all(spark, sf):
+    """Without caps: every candidate and every original pair."""
+    return plans.augmented_mixture(t.all_pairs(spark, sf), ["kind", "k", "turn"], lexicon=t.LEXICON, shuffle=False)
+
+
 def mixture_report(spark, sf):
     return mixture.mixture_report(_mixture(spark, sf, shuffle=False))
 
@@ -290,7 +295,7 @@ ALL: list[Query] = [
     prompt_zero_shot, prompt_few_shot, prompt_variants, request_prompts,
     heldout_pick, heldout_all, ab_outputs, ab_picked, ab_stored, apply_model_all, apply_model_errors, serve_requests,
     session_direction, session_take_while, session_requests, serve_sessions, serve_chat,
-    apply_model_dedup, ab_identical, heldout_anti, contamination, copy_rate, fabricated_numbers, marker_language,
+    augment_mixture_all, apply_model_dedup, ab_identical, heldout_anti, contamination, copy_rate, fabricated_numbers, marker_language,
     length_profile, seq_overflow, step_budget, lexicon_coverage,
 ]
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomtext.defaults import CONTEXT_CHARS
@@ -24,8 +24,7 @@ def pick_positions(
     needed = limit if positions is None else min(limit, max(positions, default=-1) + 1)
     if needed < 1:
         return df.limit(0).withColumn("pos", F.lit(None).cast("int"))
-    head = head_corpus(df, order, needed, chars, text, bucket)
-    numbered = head.withColumn("pos", F.row_number().over(Window.orderBy(*order)) - 1)
+    numbered = head_corpus(df, order, needed, chars, text, bucket, pos="pos")
     return numbered if positions is None else numbered.where(F.col("pos").isin(list(positions)))
 
 
@@ -45,7 +44,10 @@ def run_arms(
 
 def side_by_side(outputs: DataFrame, context: str, arms: Sequence[str]) -> DataFrame:
     """Stored outputs (context, arm, output) as one row per context that has all
-    arms, columns ``out_<arm>``."""
-    wide = outputs.groupBy(context).pivot("arm", list(arms)).agg(F.max("output"))
+    arms, columns ``out_<arm>``.  A second output of one arm for one context
+    fails the job; number the runs and pass them as contexts of their own."""
+    repeated = F.raise_error(F.lit("an arm has several outputs for one context")).cast("string")
+    only = F.when(F.count("output") > 1, repeated).otherwise(F.max("output"))
+    wide = outputs.groupBy(context).pivot("arm", list(arms)).agg(only)
     complete = wide.dropna(subset=list(arms))
     return complete.withColumnsRenamed({arm: f"out_{arm}" for arm in arms})

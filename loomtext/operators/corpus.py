@@ -27,18 +27,18 @@ def keep_summary_lengths(
 
 def head_corpus(
     df: DataFrame, order: Sequence[str], limit: int | None,
-    chars: tuple[int, int] = CORPUS_CHARS, text: str = "text", bucket: Column | None = None,
+    chars: tuple[int, int] = CORPUS_CHARS, text: str = "text", bucket: Column | None = None, pos: str | None = None,
 ) -> DataFrame:
     """The first ``limit`` texts of fitting length; no limit (or 0) keeps them all.
 
-    ``order`` and ``bucket`` as in ``first_n``.
+    ``order``, ``bucket`` and ``pos`` as in ``first_n``; ``pos`` needs a limit.
     """
     kept = keep_lengths(df, chars, text)
     if not limit:
         return kept
     # The smallest order value comes from the unfiltered table: it reads one column only.
     start = df.agg(F.min(order[0])).scalar() if bucket is None else None
-    return first_n(kept, order, limit, bucket, start)
+    return first_n(kept, order, limit, bucket, start, pos)
 
 
 def append_eos(df: DataFrame, eos: str = EOS, text: str = "text") -> DataFrame:

@@ -18,11 +18,17 @@ def _required(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({name: required(name, name) for name in names})
 
 
+def _file_name() -> Column:
+    """The path of a row's file.  Spark gives it with spaces and the like
+    escaped; names sort as they are."""
+    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+
+
 def read_corpus(spark: SparkSession, path: str, text: str = "text") -> DataFrame:
     """One text column of a Parquet corpus, with its place (``CORPUS_ORDER``)."""
-    return spark.read.parquet(path).select(
+    return spark.read.schema(f"`{text}` string").parquet(path).select(
         F.col(text).alias("text"),
-        F.col("_metadata.file_path").alias("src_file"),
+        _file_name().alias("src_file"),
         F.col("_metadata.row_index").alias("src_row"),
     )
 
@@ -43,8 +49,7 @@ def read_law_chunks(spark: SparkSession, root: str, suffix: str, lang: str | Non
     start of the split read from it, ord the row within that split.
     """
     lines = _json_lines(spark, f"{root.rstrip('/')}/*_{suffix}.jsonl", LAW_CHUNK)
-    # Spark gives the path with spaces and the like escaped; names sort as they are.
-    file = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    file = _file_name()
     return lines.select(
         F.lit(lang or suffix).alias("lang"),
         F.col("LawCode").alias("law"),

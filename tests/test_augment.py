@@ -3,11 +3,9 @@
 import random
 import re
 
-import pytest
 from pyspark.sql import functions as F
 
 from loomtext.defaults import FRACTIONS, NUMERAL_DIGITS, NUMERALS
-from loomtext.operators import lexicon as lex
 from loomtext.operators.lexicon import mine, substitute
 from loomtext.operators.mixture import mixture_report, weighted_union
 from loomtext.operators.numerals import candidates, variants
@@ -47,9 +45,7 @@ def wanted_variants(pairs, lexicon):
                 yield i, o, ru.replace(fr, r), ky.replace(fk, k)
 
 
-@pytest.mark.parametrize("chain", [256, 0], ids=["conditions", "array"])
-def test_lexicon(spark, monkeypatch, chain):
-    monkeypatch.setattr(lex, "_CHAIN_FORMS", chain)
+def test_lexicon(spark):
     frame = pair_frame(spark, PAIRS)
     mined = mine(frame, FRACTIONS)
     assert sorted(map(tuple, mined.collect())) == sorted(wanted_mined(PAIRS, FRACTIONS))
