@@ -248,7 +248,7 @@ def registry() -> dict[str, str]:
         "cpt_corpus_head": f"select doc_id, text from documents where {_corpus} order by doc_id limit {HEAD}",
         "cpt_corpus_eos": f"select doc_id, text || '</s>' as text from documents where {_corpus}",
         "article_paragraphs": f"""with {ARTICLES},
-            mine as (select *, case role when 'user' then 'ru' else 'ky' end as lang from art where role <> 'system')
+            mine as (select *, case role when 'user' then 'ru' when 'assistant' then 'ky' else 'en' end as lang from art)
             select law, article, lang, i - 1 as pos, ps[i] as paragraph
             from (select *, unnest(range(1, len(ps) + 1)) as i from mine)
             union all select law, article, lang, -1, '' from mine where len(ps) = 0""",

@@ -1,4 +1,7 @@
-"""The library's inputs, derived from the test tables.  Every row of a table is used.
+"""The library's inputs, derived from the test tables.
+
+Turn pairs are turns with the answer after them, and summaries come from
+documents of several lines; all other inputs use every row of their table.
 
 The twins of these frames in SQL are the named subqueries of ``oracle.py``.
 """
@@ -45,12 +48,12 @@ def _law() -> list:
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """User and assistant turns as the chunks of articles in two languages; one
-    conversation is one article."""
-    lang = F.when(F.col("role") == "user", "ru").when(F.col("role") == "assistant", "ky")
+    """Turns as the chunks of articles in two languages, system turns as a third;
+    one conversation is one article."""
+    lang = F.when(F.col("role") == "user", "ru").when(F.col("role") == "assistant", "ky").otherwise("en")
     return table(spark, sf_dir, "conversations").select(
         lang.alias("lang"), *_law(), "text", F.expr("turn div 65536").alias("blk"), F.col("turn").alias("ord")
-    ).where(F.col("lang").isNotNull())
+    )
 
 
 def turn_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@ from loomtext.functions.text import (
     good_pair,
     has_text,
     number_once,
+    present,
     put_number,
     required,
     fill,
@@ -16,6 +17,7 @@ __all__ = [
     "good_pair",
     "has_text",
     "number_once",
+    "present",
     "put_number",
     "required",
     "shuffle_rank",

@@ -17,6 +17,11 @@ def required(column: Column | str, name: str) -> Column:
     return F.coalesce(_col(column), F.raise_error(F.lit(f"null in required column {name}")).cast("string"))
 
 
+def present(column: Column | str, name: str) -> Column:
+    """As ``required``, for a column of any type."""
+    return F.coalesce(_col(column), F.raise_error(F.lit(f"null in required column {name}")))
+
+
 def strip(column: Column | str) -> Column:
     """Remove Unicode whitespace at both ends; null becomes the empty string."""
     return F.coalesce(F.trim(_col(column), F.lit(WHITESPACE)), F.lit(""))

@@ -57,57 +57,52 @@ def _per_article(blocks: DataFrame) -> DataFrame:
     )
 
 
-def _routed(split: DataFrame, blocks: DataFrame, route: str) -> DataFrame:
-    return place_paragraphs(split, with_start(blocks.where(F.col("route") == route)))
+def _two_languages(chunks: DataFrame) -> DataFrame:
+    """Split chunks of the two languages; a third has no part in the pairs."""
+    return split_chunks(chunks).where(F.col("lang").isin(RU, KY))
 
 
-def _zip_sides(rows: DataFrame) -> DataFrame:
-    """Bring the two languages of each (law, article, pos) into one row.
+def _placed_pairs(split: DataFrame, blocks: DataFrame, routes: list[str], chars: Bounds | None) -> DataFrame:
+    """(law, article, route, pos, ru, ky): paragraph i with paragraph i, or all
+    of an article at pos 0.
 
-    Such a group holds at most two rows, so one exchange and a look at the next
-    row do it, and a long article spreads over all partitions.
+    Both routes share the placing of paragraphs and one exchange: by position
+    for paragraphs, so a long article spreads over all partitions, and by
+    article for whole ones.  Those have passed the gate already, so what is
+    collected here holds at most that many characters.  Paragraphs out of range
+    are dropped before the exchange; ``chars`` None leaves the gate out.
     """
-    by_side = Window.partitionBy(*ARTICLE, "pos").orderBy(F.col("lang").desc())
-    return (
-        rows.withColumns({"ky": F.lead("text").over(by_side), "ky_chars": F.lead("chars").over(by_side)})
-        .where(F.col("ky_chars").isNotNull())
-        .withColumnsRenamed({"text": "ru", "chars": "ru_chars"})
-    )
-
-
-def _paragraph_pairs(split: DataFrame, blocks: DataFrame, chars: Bounds | None, ratio: Ratio) -> DataFrame:
-    """Paragraph i with paragraph i.  Texts out of range are dropped before the
-    exchange; ``chars`` None leaves the gate out."""
-    rows = _routed(split, blocks, BY_PARAGRAPH).withColumn("chars", F.length("paragraph"))
-    if chars is None:
-        return _zip_sides(rows.withColumnRenamed("paragraph", "text"))
-    rows = rows.where(F.col("chars").between(*chars)).withColumnRenamed("paragraph", "text")
-    return _zip_sides(rows).where(good_pair(F.col("ru_chars"), F.col("ky_chars"), chars, ratio))
+    rows = place_paragraphs(split, with_start(blocks.where(F.col("route").isin(routes))), keep=["route"])
+    by_paragraph = F.col("route") == BY_PARAGRAPH
+    if chars is not None:
+        rows = rows.where(~by_paragraph | F.length("paragraph").between(*chars))
+    rows = rows.withColumn("at", F.when(by_paragraph, F.col("pos")).otherwise(0))
 
+    def joined(lang: str) -> Column:
+        mine = F.collect_list(F.when(F.col("lang") == lang, F.struct("pos", "paragraph")))
+        text = F.array_join(F.transform(F.array_sort(mine), lambda p: p["paragraph"]), " ")
+        # A side without its paragraph is no pair; a whole article may be blank.
+        return F.when((F.size(mine) > 0) | ~F.first(by_paragraph), text).alias(lang)
 
-def _article_pairs(split: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Whole articles.  Their joined length has passed the gate already, so the
-    lists collected here hold at most that many characters."""
+    pairs = rows.groupBy(*ARTICLE, "route", "at").agg(joined(RU), joined(KY)).withColumnRenamed("at", "pos")
+    return pairs.where(F.col("ru").isNotNull() & F.col("ky").isNotNull())
 
-    def joined(lang: str) -> Column:
-        mine = F.when(F.col("lang") == lang, F.struct("pos", "paragraph"))
-        ordered = F.array_sort(F.collect_list(mine))
-        return F.array_join(F.transform(ordered, lambda p: p["paragraph"]), " ").alias(lang)
 
-    return _routed(split, blocks, BY_ARTICLE).groupBy(*ARTICLE).agg(joined(RU), joined(KY))
+def _gated(pairs: DataFrame, chars: Bounds, ratio: Ratio) -> DataFrame:
+    return pairs.where((F.col("route") == BY_ARTICLE) | good_pair(F.length("ru"), F.length("ky"), chars, ratio))
 
 
 def common_articles(chunks: DataFrame) -> DataFrame:
     """Articles present in both languages with their paragraph counts, sorted."""
-    articles = _per_article(_routed_blocks(split_chunks(chunks), PAIR_CHARS, PAIR_RATIO))
+    articles = _per_article(_routed_blocks(_two_languages(chunks), PAIR_CHARS, PAIR_RATIO))
     return articles.where(F.col("route").isNotNull()).drop("route").orderBy(*ARTICLE)
 
 
 def zip_paragraphs(chunks: DataFrame) -> DataFrame:
     """All paragraph pairs of articles with equal paragraph counts, before the gate."""
-    split = split_chunks(chunks)
+    split = _two_languages(chunks)
     blocks = _routed_blocks(split, PAIR_CHARS, PAIR_RATIO)
-    return _paragraph_pairs(split, blocks, None, PAIR_RATIO).select(*ARTICLE, "pos", "ru", "ky")
+    return _placed_pairs(split, blocks, [BY_PARAGRAPH], None).select(*ARTICLE, "pos", "ru", "ky")
 
 
 def align_pairs(chunks: DataFrame, chars: Bounds = PAIR_CHARS, ratio: Ratio = PAIR_RATIO) -> DataFrame:
@@ -116,15 +111,11 @@ def align_pairs(chunks: DataFrame, chars: Bounds = PAIR_CHARS, ratio: Ratio = PA
     ``unit`` is 'paragraph' or 'article'.  No article gives both, so
     (law, article, pos) tells pairs apart; pos is 0 for a whole article.
     """
-    split = split_chunks(chunks)
+    split = _two_languages(chunks)
     blocks = _routed_blocks(split, chars, ratio)
 
-    def unit(df: DataFrame, name: str) -> DataFrame:
-        return df.select(*ARTICLE, F.lit(name).alias("unit"), "pos", "ru", "ky")
-
-    paragraphs = _paragraph_pairs(split, blocks, chars, ratio)
-    articles = _article_pairs(split, blocks).withColumn("pos", F.lit(0).cast("bigint"))
-    return unit(paragraphs, BY_PARAGRAPH).unionByName(unit(articles, BY_ARTICLE))
+    pairs = _gated(_placed_pairs(split, blocks, [BY_PARAGRAPH, BY_ARTICLE], chars), chars, ratio)
+    return pairs.select(*ARTICLE, F.col("route").alias("unit"), "pos", "ru", "ky")
 
 
 def align_report(chunks: DataFrame, chars: Bounds = PAIR_CHARS, ratio: Ratio = PAIR_RATIO) -> DataFrame:
@@ -132,9 +123,9 @@ def align_report(chunks: DataFrame, chars: Bounds = PAIR_CHARS, ratio: Ratio = P
 
     ``articles_skipped`` counts articles with unequal paragraph counts that
     fail the gate; equal-count articles whose paragraphs all fail are not
-    counted.  Texts are reduced to lengths before they are shuffled.
+    counted.
     """
-    split = split_chunks(chunks)
+    split = _two_languages(chunks)
     blocks = _routed_blocks(split, chars, ratio)
     route = F.col("route")
     counters = {
@@ -145,7 +136,8 @@ def align_report(chunks: DataFrame, chars: Bounds = PAIR_CHARS, ratio: Ratio = P
         "articles_skipped": F.count_if(route == SKIPPED),
     }
     articles = _per_article(blocks).agg(*[c.alias(name) for name, c in counters.items()])
-    paragraphs = _paragraph_pairs(split, blocks, chars, ratio).agg(F.count(F.lit(1)).alias("n"))
+    pairs = _gated(_placed_pairs(split, blocks, [BY_PARAGRAPH], chars), chars, ratio)
+    paragraphs = pairs.agg(F.count(F.lit(1)).alias("n"))
     return articles.unpivot([], list(counters), "metric", "n").unionByName(
         paragraphs.select(F.lit("paragraph_pairs").alias("metric"), "n")
     )

@@ -11,10 +11,12 @@ numbered from there.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomtext.functions import has_text, required
+from loomtext.functions import has_text, present, required
 
 ARTICLE = ["law", "article"]
 BLOCK = ["law", "article", "lang", "blk"]
@@ -26,7 +28,9 @@ def split_chunks(chunks: DataFrame) -> DataFrame:
     Paragraphs keep their outer spaces.  A chunk may end up with none.
     """
     lines = F.split(required("text", "text"), "\n")
-    keyed = chunks.where(F.col("article").isNotNull()).withColumn("law", required("law", "law"))
+    keyed = chunks.where(F.col("article").isNotNull()).withColumns({
+        "law": required("law", "law"), "lang": required("lang", "lang"), "blk": present("blk", "blk"),
+    })
     return keyed.select(*BLOCK, "ord", F.filter(lines, has_text).alias("paragraphs"))
 
 
@@ -42,18 +46,18 @@ def with_start(blocks: DataFrame) -> DataFrame:
     return blocks.withColumn("start", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
 
 
-def place_paragraphs(split: DataFrame, blocks: DataFrame) -> DataFrame:
+def place_paragraphs(split: DataFrame, blocks: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """One row per paragraph with its position in the article, counted from 0.
 
-    ``blocks`` has the block key and ``start``.  It may hold fewer articles
-    than ``split``; only those come out.
+    ``blocks`` has the block key and ``start``, and any columns to ``keep``.  It
+    may hold fewer articles than ``split``; only those come out.
     """
     earlier = Window.partitionBy(*BLOCK).orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum(F.size("paragraphs")).over(earlier), F.lit(0))
-    joined = split.where(F.size("paragraphs") > 0).join(blocks.select(*BLOCK, "start"), BLOCK)
+    joined = split.where(F.size("paragraphs") > 0).join(blocks.select(*BLOCK, "start", *keep), BLOCK)
     started = joined.withColumn("start", F.col("start") + before)
-    return started.select(*ARTICLE, "lang", "start", F.posexplode("paragraphs").alias("i", "paragraph")).select(
-        *ARTICLE, "lang", (F.col("start") + F.col("i")).alias("pos"), "paragraph"
+    return started.select(*ARTICLE, "lang", *keep, "start", F.posexplode("paragraphs").alias("i", "paragraph")).select(
+        *ARTICLE, "lang", *keep, (F.col("start") + F.col("i")).alias("pos"), "paragraph"
     )
 
 

@@ -15,13 +15,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomtext.defaults import BLOCK_ROWS, CHAT_STOPS, COMMANDS, START_DIRECTION, TRANSLATOR_STOPS
-from loomtext.functions import strip
+from loomtext.functions import present, strip
 
 _BLOCK = ["session", "_blk"]
 
 
 def _with_block(lines: DataFrame, block_rows: int) -> DataFrame:
-    return lines.withColumns({"line": strip("line"), "_blk": F.expr(f"seq div {int(block_rows)}")})
+    keyed = lines.withColumns({"session": present("session", "session"), "seq": present("seq", "seq")})
+    return keyed.withColumns({"line": strip("line"), "_blk": F.expr(f"seq div {int(block_rows)}")})
 
 
 def _is_stop(stops: Sequence[str], stop_at_blank: bool, ignore_case: bool) -> Column:

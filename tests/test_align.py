@@ -148,3 +148,24 @@ def test_no_article_in_both_splits(spark):
     frame = aligned_pairs(chunks(spark, random_rows(4)), modulus=2)
     per_article = frame.groupBy("law", "article").agg(F.count_distinct("split").alias("n")).collect()
     assert len(per_article) > 5 and all(r.n == 1 for r in per_article)
+
+
+def test_a_third_language_makes_no_pairs(spark):
+    text = "x" * 60
+    rows = [("ru", "l", "1", text + "r"), ("ky", "l", "1", text + "k"), ("en", "l", "1", text + "e"), ("en", "l", "2", text), ("ky", "l", "2", text)]
+    assert [(r.ru[-1], r.ky[-1]) for r in align_pairs(chunks(spark, rows)).collect()] == [("r", "k")]
+    report = {r.metric: r.n for r in align_report(chunks(spark, rows)).collect()}
+    assert report["articles_common"] == report["paragraph_pairs"] == 1
+
+
+@pytest.mark.parametrize("column", [0, 4])
+def test_null_language_or_block_fails(spark, column):
+    row = ["ru", "l", "1", "text", 0, 0]
+    row[column] = None
+    with pytest.raises(Exception, match="null in required column"):
+        article_paragraphs(spark.createDataFrame([tuple(row)], SCHEMA)).collect()
+
+
+def test_pairs_take_two_scans(spark, small):
+    plan = align_pairs(spark.read.schema(SCHEMA).parquet(f"{small}/part.parquet"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") <= 2
