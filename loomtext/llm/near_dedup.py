@@ -22,6 +22,7 @@ SHINGLE = 5
 SIDE_KEYS = 10  # keys in each collection
 KEY_MINHASHES = 2  # minhashes in a key
 SMALL_BUCKET = 16
+BLOCK_SHINGLES = 1 << 18  # about so many shingles in a block of documents that are compared with another
 
 
 def shingle_sets(hasher: WordHasher, block) -> tuple[np.ndarray, np.ndarray]:
@@ -95,7 +96,8 @@ def candidate_pairs(classes: DataFrame) -> DataFrame:
     shared if both its halves are, so the 100 combinations are formed of shared
     halves alone.  Classes of a small bucket all meet.  In a large one all meet
     its centre, the member whose halves are shared most often: copies of one
-    text agree less among themselves than with the text they come from.
+    text agree less among themselves than with the text they come from.  The
+    other pairs of a large bucket are left to ``family_links``.
     """
     halves = classes.select("id", F.posexplode("keys").alias("side", "half"))
     shared = halves.groupBy("side", "half").agg(F.count("*").alias("n")).where("n > 1")
@@ -162,12 +164,14 @@ def compared(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
 
 
 def links(docs: DataFrame, pairs: DataFrame, doc_id: str, text: str, percent: int) -> DataFrame:
-    """(a, b) of the confirmed pairs.
+    """(a, b): confirmed pairs with the same components as all links among the
+    pairs that meet in a table.
 
     Copies of one text agree less among themselves than with that text, and a
     centre may be such a copy.  So what fails to link with a centre is compared
     with the nearest of the documents that did: of many copies, the nearest to
-    any is the text they come from.
+    any is the text they come from.  What is still apart then is compared with
+    everything it meets (``family_links``).
     """
     sets = shingle_lists(docs, pairs, doc_id, text)
     first = checkpointed(compared(sets, pairs, percent))
@@ -176,7 +180,91 @@ def links(docs: DataFrame, pairs: DataFrame, doc_id: str, text: str, percent: in
         nearest.select(F.col("b").alias("centre"), (-F.col("top.minus")).alias("b")), "centre"
     ).where("a <> b").select("a", "b", F.lit(False).alias("star")).distinct()
     second = compared(sets, again, percent)
-    return first.where("linked").select("a", "b").union(second.where("linked").select("a", "b"))
+    found = first.where("linked").select("a", "b").union(second.where("linked").select("a", "b"))
+    if first.where("star AND NOT linked").isEmpty():
+        return found
+    found = checkpointed(found)
+    rest = family_links(sets, first.where("star").select("a", "b"), components(found), percent)
+    return found if rest is None else found.union(rest)
+
+
+def block_links(percent: int):
+    """A function from the members (id, own, block, lo, hi, set) of two blocks,
+    or of one if ``lo`` = ``hi``, to links (a, b) between members of different
+    ``own``: enough of them to join all that any links join."""
+
+    def linked(table: pa.Table) -> pa.Table:
+        sets = [np.frombuffer(value.as_buffer(), dtype=np.uint64) for value in table.column("set")]
+        order = np.argsort([one.size for one in sets], kind="stable")
+        sets = [sets[row] for row in order]
+        ids, own, block = (table.column(name).to_numpy()[order] for name in ("id", "own", "block"))
+        single = table.column("lo")[0] == table.column("hi")[0]
+        left = np.flatnonzero(block == table.column("lo")[0].as_py())
+        right = np.flatnonzero(block == table.column("hi")[0].as_py())
+        ends = np.cumsum([0, *(one.size for one in sets)])
+        values, numbers = np.unique(np.concatenate(sets), return_inverse=True)
+        other = np.concatenate([numbers[ends[row]:ends[row + 1]] for row in right]) if right.size else numbers[:0]
+        sizes = np.diff(ends)
+        bounds, lengths = np.cumsum([0, *sizes[right]]), sizes[right]
+        mark, label, pairs = np.zeros(values.size, dtype=np.uint8), own.copy(), []
+        for at, row in enumerate(left):
+            # Sets whose sizes differ too much cannot be linked.
+            low = np.searchsorted(100 * lengths, percent * sizes[row])
+            high = np.searchsorted(percent * lengths, 100 * sizes[row], side="right")
+            low = max(low, at + 1) if single else low
+            if low >= high or not (apart := label[right[low:high]] != label[row]).any():
+                continue
+            mine = numbers[ends[row]:ends[row + 1]]
+            mark[mine] = 1
+            common = np.add.reduceat(mark[other[bounds[low]:bounds[high]]], bounds[low:high] - bounds[low], dtype=np.int64)
+            mark[mine] = 0
+            hit = right[low:high][apart & (100 * common >= percent * (sizes[row] + lengths[low:high] - common))]
+            joined, firsts = np.unique(label[hit], return_index=True)
+            pairs += [(ids[row], ids[one]) for one in hit[firsts]]
+            label[np.isin(label, joined)] = label[row]
+        found = np.array(pairs, dtype=np.int64).reshape(-1, 2)
+        return pa.table({"a": pa.array(found[:, 0].copy()), "b": pa.array(found[:, 1].copy())})
+
+    return linked
+
+
+def family_links(sets: DataFrame, stars: DataFrame, reached: DataFrame, percent: int) -> DataFrame | None:
+    """Links (a, b) between different components of ``reached`` (id, component)
+    that share a large bucket, or None if no bucket is of several components.
+
+    ``stars`` are the pairs of a member and the centre of a large bucket.
+    Components that meet in a bucket are of one family.  All members of a family
+    that are not in its largest component are compared with all members of other
+    components, in blocks of bounded size: two blocks are one group of their
+    own, so a large family is spread over many tasks.
+    """
+    named = stars.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(reached, "id", "left")
+    named = checkpointed(named.select("id", F.coalesce("component", "id").alias("own")))
+    across = stars.join(named.select(F.col("id").alias("a"), F.col("own").alias("x")), "a").join(
+        named.select(F.col("id").alias("b"), F.col("own").alias("y")), "b"
+    ).where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    across = checkpointed(across.distinct())
+    if across.isEmpty():
+        return None
+    families = components(across).select(F.col("id").alias("own"), F.col("component").alias("family"))
+    filled = sets.where(F.length("set") > 0)
+    sized = filled.groupBy("id").agg((F.sum(F.length("set")) / 8).cast("bigint").alias("n"))
+    members = checkpointed(named.join(families, "own").join(sized, "id").select("id", "own", "family", "n"))
+    of_own = members.groupBy("family", "own").agg(F.sum("n").alias("n"))
+    of_family = of_own.groupBy("family").agg(F.sum("n").alias("n"), F.max(F.struct("n", "own")).alias("top"))
+
+    def blocks(shingles: Column) -> Column:
+        return F.ceil(shingles / BLOCK_SHINGLES).cast("bigint")
+
+    planned = members.select("id", "own", "family").join(of_family.select(
+        "family", F.col("top.own").alias("top"), blocks(F.col("n") - F.col("top.n")).alias("n_left"), blocks(F.col("top.n")).alias("n_top")
+    ), "family")
+    drawn, in_top = F.xxhash64("id"), F.col("own") == F.col("top")
+    placed = planned.select(
+        "id", "own", "family", F.when(in_top, F.col("n_left") + F.pmod(drawn, "n_top")).otherwise(F.pmod(drawn, "n_left")).alias("block"),
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_left") - 1 + F.when(in_top, 0).otherwise(F.col("n_top")))).alias("with"),
+    ).select("id", "own", "family", "block", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"))
+    return placed.join(filled, "id").groupBy("family", "lo", "hi").applyInArrow(block_links(percent), "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:

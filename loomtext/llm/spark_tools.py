@@ -5,9 +5,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+LOCAL_EDGES = 20_000  # up to so many directed edges, components are found on the driver
+
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """The frame written to the shared checkpoint folder and read from there.
@@ -36,9 +39,13 @@ def components(edges: DataFrame) -> DataFrame:
     Every round hooks the parents of both ends of an edge to the smaller
     grandparent and shortens all paths, so the rounds grow with the logarithm of
     the longest chain.  Each step is a join or a minimum with partial sums; a
-    vertex with very many edges is never collected.
+    vertex with very many edges is never collected.  Up to ``LOCAL_EDGES`` edges
+    are joined on the driver, with the same result.
     """
     edges = checkpointed(edges.select("a", "b").union(edges.select("b", "a")).distinct())
+    few = edges.limit(LOCAL_EDGES + 1).toArrow()
+    if few.num_rows <= LOCAL_EDGES:
+        return edges.sparkSession.createDataFrame(_components_of(few))
     parent = edges.groupBy(F.col("a").alias("id")).agg(F.least("id", F.min("b")).alias("up"))
     parent = checkpointed(parent)
     while True:
@@ -54,3 +61,27 @@ def components(edges: DataFrame) -> DataFrame:
         parent = after.select("id", "up")
         if after.where("moved").isEmpty():
             return parent.select("id", F.col("up").alias("component"))
+
+
+def _components_of(edges: pa.Table) -> pa.Table:
+    up: dict[int, int] = {}
+
+    def root(vertex: int) -> int:
+        while up.setdefault(vertex, vertex) != vertex:
+            up[vertex] = up[up[vertex]]
+            vertex = up[vertex]
+        return vertex
+
+    for a, b in zip(edges["a"].to_pylist(), edges["b"].to_pylist(), strict=True):
+        low, high = sorted((root(a), root(b)))
+        up[high] = low
+    return pa.table({"id": pa.array(list(up), pa.int64()), "component": pa.array([root(vertex) for vertex in list(up)], pa.int64())})
+
+
+def smallest_marks(rows: DataFrame, kind: str, mark: str, n: int, salts: int = 16) -> DataFrame:
+    """(kind, mark, rank) of the ``n`` smallest distinct marks of every kind.
+    Each kind is first ranked in ``salts`` parts, so no task gets all of it."""
+    distinct = rows.select(F.col(kind).alias("kind"), F.col(mark).alias("mark")).distinct()
+    part = Window.partitionBy("kind", F.pmod("mark", F.lit(salts))).orderBy("mark")
+    parted = distinct.withColumn("rank", F.row_number().over(part)).where(F.col("rank") <= n).drop("rank")
+    return parted.withColumn("rank", F.row_number().over(Window.partitionBy("kind").orderBy("mark"))).where(F.col("rank") <= n)

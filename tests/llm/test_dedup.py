@@ -5,6 +5,7 @@ import random
 
 from helpers import clashing, empty, near_components, numbered, odd, removed_words
 
+from loomtext.llm import near_dedup, spark_tools
 from loomtext.llm.near_dedup import near_duplicates
 from loomtext.llm.spark_tools import components
 from loomtext.llm.substrings import COVER, PERIOD, remove_repeats
@@ -75,7 +76,28 @@ def test_copies_of_one_text_find_their_centre(spark):
     assert _near(frame) == near_components(rows)
 
 
+def test_copies_whose_source_is_missing(spark, monkeypatch):
+    """Links among members of a large bucket that none of them has with its centre."""
+    monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", 5_000, raising=False)  # several blocks
+    rng = random.Random(3)
+    rows = []
+    for k in range(400):
+        own = [f"b{i}" for i in range(200)]
+        for at in rng.sample(range(200), rng.randint(3, 6)):
+            own[at] = f"x{k}_{at}"
+        rows.append((k, " ".join(own)))
+    assert _near(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)) == near_components(rows)
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(100, 140)] + [(5, 9), (9, 5)], "a bigint, b bigint")
     got = {r.id: r.component for r in components(edges).collect()}
     assert got == {**{i: 100 for i in range(100, 141)}, 5: 5, 9: 5}
+
+
+def test_components_on_the_driver_agree(spark, monkeypatch):
+    rng = random.Random(2)
+    edges = spark.createDataFrame([(rng.randrange(60), rng.randrange(60)) for _ in range(40)], "a bigint, b bigint")
+    here = {(r.id, r.component) for r in components(edges).collect()}
+    monkeypatch.setattr(spark_tools, "LOCAL_EDGES", 0)
+    assert here == {(r.id, r.component) for r in components(edges).collect()}
