@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomtext.llm.hashing import mixed
+from loomtext.llm.spark_tools import checkpointed, smallest_marks
 
 UNDETERMINED = "und"
 
@@ -158,8 +159,9 @@ def train(
     labelled: DataFrame, text: str = "text", lang: str = "lang", sample_rows: int = 2400, max_languages: int = 64,
     dimensions: int = 4096, steps: int = 200,
 ) -> CodeModel:
-    """Fit on a bounded sample of whole texts: about ``sample_rows`` rows in all,
-    as many of each language (all, if it has fewer), chosen by a hash of the text.
+    """Fit on a bounded sample of whole texts: at most ``sample_rows`` distinct
+    texts in all (one of each language at least), as many of each language (all,
+    if it has fewer), those of the smallest hashes.  Copies count once.
 
     Rows with a letterless or null text or a null language are left out.
     Without a usable row the model knows no language and every text is
@@ -172,18 +174,21 @@ def train(
         return pa.array([gram_shares(text.as_py(), dimensions).tobytes() for text in texts], pa.binary())
 
     usable = labelled.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
-    counts = {row.lang: row.n for row in usable.groupBy("lang").agg(F.count("*").alias("n")).limit(max_languages + 1).collect()}
-    if len(counts) > max_languages:
+    marked = usable.withColumn("mark", F.xxhash64(F.lit(17), "text"))
+    smallest = checkpointed(smallest_marks(marked, "lang", "mark", sample_rows))
+    found = [row.kind for row in smallest.select("kind").distinct().limit(max_languages + 1).collect()]
+    if len(found) > max_languages:
         raise ValueError(f"more than {max_languages} languages")
-    if not counts:
+    if not found:
         return fit([], np.zeros((0, dimensions), dtype=np.float32), steps)
-    steps_of_draw = 1 << 30
-    bound = F.create_map(*[
-        F.lit(part) for name, n in counts.items() for part in (name, int(min(1.0, sample_rows / len(counts) / n) * steps_of_draw))
-    ])
-    draw = F.pmod(F.xxhash64(F.lit(17), "text"), F.lit(steps_of_draw))
-    sample = usable.where(draw < bound[F.col("lang")]).select("lang", F.xxhash64("text").alias("mark"), shares_of("text").alias("shares"))
+    each = max(1, sample_rows // len(found))
+    last = {row.kind: row.last for row in smallest.where(F.col("rank") <= each).groupBy("kind").agg(F.max("mark").alias("last")).collect()}
+    bound = F.create_map(*[F.lit(part) for name in found for part in (name, last[name])])
+    drawn = marked.where(F.col("mark") <= bound[F.col("lang")]).groupBy("lang", "mark").agg(F.first("text").alias("text"))
+    sample = drawn.select("lang", "mark", shares_of("text").alias("shares"))
     rows = sorted((row.lang, row.mark, bytes(row.shares)) for row in sample.collect())
+    if missing := set(found) - {row[0] for row in rows}:
+        raise RuntimeError(f"no text drawn of {sorted(missing)}")
     shares = np.frombuffer(b"".join(row[2] for row in rows), dtype=np.float32).reshape(len(rows), dimensions)
     return fit([row[0] for row in rows], shares, steps)
 

@@ -20,6 +20,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomtext.llm.spark_tools import smallest_marks
+
 # A value after an assigned name, or a run of key characters with a digit.
 CANDIDATE = re.compile(
     r"(?P<name>[A-Za-z_][A-Za-z0-9_.-]{0,63})[\"']?\s{0,3}(?:=|:=|:|=>)\s{0,3}[\"']?(?P<value>[A-Za-z0-9+/_.~-]{8,512}={0,2})"
@@ -134,14 +136,19 @@ def find_candidates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 def train(findings: DataFrame, sample_rows: int = 20_000, trees: int = 24, depth: int = 6, seed: int = 11) -> RandomForestClassificationModel | None:
     """A forest on labelled findings (label 0 or 1, features), or None if they
-    are of one kind only.  About ``sample_rows`` findings are used, as many of
-    each kind, chosen by a hash of their features."""
-    counts = {row.label: row.n for row in findings.where("label IN (0, 1)").groupBy("label").agg(F.count("*").alias("n")).collect()}
-    if len(counts) < 2:
+    are of one kind only.  At most ``sample_rows`` distinct findings are used, as
+    many of each kind (all, if it has fewer), those of the smallest hashes of
+    their features.  Copies count once.
+    """
+    marked = findings.where("label IN (0, 1)").select("label", "features", F.xxhash64(F.lit(seed), "features").alias("mark"))
+    smallest = smallest_marks(marked, "label", "mark", max(1, sample_rows // 2))
+    last = {row.kind: row.last for row in smallest.groupBy("kind").agg(F.max("mark").alias("last")).collect()}
+    if len(last) < 2:
         return None
-    share = F.element_at(F.create_map(*[F.lit(part) for label, n in counts.items() for part in (label, min(1.0, sample_rows / 2 / n))]), F.col("label"))
-    draw = F.pmod(F.xxhash64(F.lit(seed), "features"), F.lit(1 << 30)) / float(1 << 30)
-    sample = findings.where("label IN (0, 1)").where(draw < share).select(F.col("label").cast("double").alias("label"), array_to_vector("features").alias("features"))
+    # The bound of a label is the mark of one of its findings, so both labels are drawn.
+    bound = F.create_map(*[F.lit(part) for pair in sorted(last.items()) for part in pair])
+    drawn = marked.where(F.col("mark") <= bound[F.col("label")]).groupBy("label", "mark").agg(F.first("features").alias("features"))
+    sample = drawn.select(F.col("label").cast("double").alias("label"), array_to_vector("features").alias("features"))
     forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt")
     # One partition of a bounded sample: the same trees whatever the input's partitions.
     return forest.fit(sample.coalesce(1).sortWithinPartitions(vector_to_array("features"), "label"))

@@ -2,6 +2,7 @@
 
 import numpy as np
 from helpers import clashing, empty, odd
+from pyspark.ml.linalg import Vectors
 
 from loomtext.llm import language, secret_scan
 from loomtext.llm.queries import op1_forest_secrets, op8_output_codes
@@ -62,3 +63,15 @@ def test_forest_generalises_to_findings_it_has_not_seen(spark):
 def test_secrets_of_odd_documents(spark):
     assert secret_scan.scan(clashing(odd(spark))).where("secret").count() == 0
     assert secret_scan.scan(empty(spark)).count() == 0
+
+
+def test_languages_of_many_copies_are_drawn(spark):
+    rows = [(f"das ist text nummer {chr(97 + i % 26)}{chr(97 + i // 26)}", "de") for i in range(60)] + [("this is the only one", "en")] * 4000
+    model = language.train(spark.createDataFrame(rows, "text string, lang string"), sample_rows=20, dimensions=256)
+    assert model.languages == ["de", "en"]
+
+
+def test_labels_of_many_copies_are_drawn(spark):
+    rows = [(1, [1.0] * 21)] * 4000 + [(0, [0.0] * 20 + [float(i)]) for i in range(60)]
+    model = secret_scan.train(spark.createDataFrame(rows, "label int, features array<double>"), sample_rows=20)
+    assert model.numClasses == 2 and model.predict(Vectors.dense([1.0] * 21)) == 1.0
