@@ -22,10 +22,11 @@ from pyspark.sql import functions as F
 
 from loomtext.llm.spark_tools import smallest_marks
 
-# A value after an assigned name, or a run of key characters with a digit.
+# A value after an assigned name, or a run of key characters with a digit.  Both
+# are whole runs of any length; the possessive repeats keep the search linear.
 CANDIDATE = re.compile(
-    r"(?P<name>[A-Za-z_][A-Za-z0-9_.-]{0,63})[\"']?\s{0,3}(?:=|:=|:|=>)\s{0,3}[\"']?(?P<value>[A-Za-z0-9+/_.~-]{8,512}={0,2})"
-    r"|(?<![A-Za-z0-9+/_-])(?P<bare>(?=[A-Za-z+/_-]{0,63}[0-9])[A-Za-z0-9+/_-]{16,512}={0,2})(?![A-Za-z0-9+/_=-])"
+    r"(?P<name>[A-Za-z_][A-Za-z0-9_.-]{0,63})[\"']?\s{0,3}(?:=|:=|:|=>)\s{0,3}[\"']?(?P<value>[A-Za-z0-9+/_.~-]{8,}+={0,2})"
+    r"|(?<![A-Za-z0-9+/_-])(?P<bare>(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+={0,2})(?![A-Za-z0-9+/_=-])"
 )
 # Formats that issuers document; a match is a labelled finding of a secret.
 ISSUED = re.compile(

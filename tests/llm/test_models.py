@@ -75,3 +75,12 @@ def test_labels_of_many_copies_are_drawn(spark):
     rows = [(1, [1.0] * 21)] * 4000 + [(0, [0.0] * 20 + [float(i)]) for i in range(60)]
     model = secret_scan.train(spark.createDataFrame(rows, "label int, features array<double>"), sample_rows=20)
     assert model.numClasses == 2 and model.predict(Vectors.dense([1.0] * 21)) == 1.0
+
+
+def test_candidates_are_whole_runs():
+    key, late = "aB3" * 200, "k" * 100 + "7" * 30
+    for text, kind, value in (
+        (f"see {key} there", "bare", key), (f"see {late} there", "bare", late), (f"token = '{key}'", "value", key),
+        (f"auth: {'a1.' * 325}zz", "value", "a1." * 325 + "zz"),
+    ):
+        assert [match[kind] for match in secret_scan.CANDIDATE.finditer(text)] == [value]
