@@ -1,3 +1,4 @@
+from loomtext.sources.lines import read_lines
 from loomtext.sources.readers import (
     CORPUS_ORDER,
     corpus_bucket,
@@ -14,6 +15,7 @@ __all__ = [
     "corpus_bucket",
     "read_corpus",
     "read_law_chunks",
+    "read_lines",
     "read_pairs",
     "read_prompt_answers",
     "read_summary_split",

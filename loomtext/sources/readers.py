@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from loomtext.functions import required
+from loomtext.functions import has_text, required
+from loomtext.sources.lines import read_lines
 from loomtext.sources.schemas import LAW_CHUNK, PAIR, PROMPT_ANSWER
 
 
@@ -14,6 +15,12 @@ def _json_lines(spark: SparkSession, path: str, schema: StructType) -> DataFrame
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
+def _placed_json_lines(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The fields of JSON lines with ``file`` and ``place``; blank lines are no records."""
+    lines = read_lines(spark, path).where(has_text("line"))
+    return lines.select("file", "place", F.from_json("line", schema, {"mode": "FAILFAST"}).alias("_record")).select("file", "place", "_record.*")
+
+
 def _required(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({name: required(name, name) for name in names})
 
@@ -45,31 +52,26 @@ def corpus_bucket() -> Column:
 def read_law_chunks(spark: SparkSession, root: str, suffix: str, lang: str | None = None) -> DataFrame:
     """All ``*_{suffix}.jsonl`` under ``root`` as chunks (lang, law, article, text, blk, ord).
 
-    Files are ordered by name and lines by their place: blk is the file and the
-    start of the split read from it, ord the row within that split.
+    Files are ordered by name and lines by their place: ord is the offset of the
+    line in its file, blk the file and a stretch of 64 MB of it.  Neither
+    depends on how the files are cut into tasks.
     """
-    lines = _json_lines(spark, f"{root.rstrip('/')}/*_{suffix}.jsonl", LAW_CHUNK)
-    file = _file_name()
+    lines = _placed_json_lines(spark, f"{root.rstrip('/')}/*_{suffix}.jsonl", LAW_CHUNK)
     return lines.select(
         F.lit(lang or suffix).alias("lang"),
         F.col("LawCode").alias("law"),
         F.col("ArticleNumber").alias("article"),
         F.col("Text").alias("text"),
-        F.struct(
-            file.alias("file"), F.col("_metadata.file_block_start").alias("start")
-        ).alias("blk"),
-        F.monotonically_increasing_id().alias("ord"),
+        F.struct("file", F.shiftright("place", 26).alias("start")).alias("blk"),
+        F.col("place").alias("ord"),
     )
 
 
 def read_pairs(spark: SparkSession, path: str) -> DataFrame:
-    """Pairs (law, article, ru, ky) with ``row``, a key that tells rows apart."""
-    pairs = _required(_json_lines(spark, path, PAIR), "ru", "ky")
-    place = F.concat_ws(
-        ":", "_metadata.file_name", F.col("_metadata.file_block_start").cast("string"),
-        F.monotonically_increasing_id().cast("string"),
-    )
-    return pairs.select("law", "article", "ru", "ky", place.alias("row"))
+    """Pairs (law, article, ru, ky) with ``row``, the file and offset of each: a
+    key that tells rows apart and stays the same however the files are read."""
+    pairs = _required(_placed_json_lines(spark, path, PAIR), "ru", "ky")
+    return pairs.select("law", "article", "ru", "ky", F.concat_ws(":", "file", F.col("place").cast("string")).alias("row"))
 
 
 def read_prompt_answers(spark: SparkSession, path: str) -> DataFrame:
@@ -79,4 +81,4 @@ def read_prompt_answers(spark: SparkSession, path: str) -> DataFrame:
 
 def read_summary_split(spark: SparkSession, root: str, lang: str, split: str) -> DataFrame:
     """(text, summary) of one language and split of a Parquet collection."""
-    return spark.read.parquet(f"{root.rstrip('/')}/{lang}/{split}").select("text", "summary")
+    return spark.read.schema("text string, summary string").parquet(f"{root.rstrip('/')}/{lang}/{split}")

@@ -1,17 +1,21 @@
+import gzip
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from loomtext.operators.corpus import head_corpus
 from loomtext.operators.articles import article_paragraphs
+from loomtext.operators.ordering import sample_n
 from loomtext.plans import aligned_pairs, augmented_mixture, pretraining_corpus, summary_examples, translation_texts
 from loomtext.sources import (
     CORPUS_ORDER,
     corpus_bucket,
     read_corpus,
     read_law_chunks,
+    read_lines,
     read_pairs,
     read_prompt_answers,
     read_summary_split,
@@ -65,6 +69,45 @@ def test_chunk_order_over_files_and_splits(spark, tmp_path, many_splits):
     assert got == expected
 
 
+def _some_lines(rng, n):
+    ends = ["\n", "\n", "\r\n", "\n\n"]
+    return "".join("ёжик" * rng.choice([0, 1, 5, 40]) + rng.choice(["", "x", " 🙂\u2028"]) + rng.choice(ends) for _ in range(n))
+
+
+def test_places_of_lines_for_any_ranges(spark, tmp_path):
+    rng = random.Random(8)
+    texts = {"a b": _some_lines(rng, 90), "b": _some_lines(rng, 30) + "no end", "c": "", "d": "\n", "e": "one", "_hidden": "x\n", ".x": "y\n"}
+    for name, text in texts.items():
+        (tmp_path / name).write_bytes(text.encode())
+    with gzip.open(tmp_path / "z.gz", "wb") as packed:
+        packed.write(texts["b"].encode())
+    wanted = []
+    for name, text in [*texts.items(), ("z.gz", texts["b"])]:
+        at = 0
+        for line in re.findall(rb"[^\n]*\n|[^\n]+", text.encode()):
+            if name[0] not in "._":
+                wanted.append((name, at, line.decode()))
+            at += len(line)
+    for size in (1, 7, 64, 1000, 1 << 20):
+        frame = read_lines(spark, str(tmp_path), size)
+        assert sorted(map(tuple, frame.collect())) == sorted(wanted)
+    assert {r.file for r in read_lines(spark, str(tmp_path / "[ab]*")).collect()} == {"a b", "b"}
+    with pytest.raises(Exception, match="no such file"):
+        read_lines(spark, str(tmp_path / "absent")).collect()
+
+
+def test_keys_and_draws_do_not_depend_on_the_split_size(spark, tmp_path):
+    jsonl(tmp_path / "p.jsonl", [{"law": "a", "article": str(i % 7), "ru": "р" * (i % 90), "ky": "к"} for i in range(700)])
+    jsonl(tmp_path / "q.jsonl", [{"law": "b", "article": None, "ru": "р", "ky": "к"}] * 50)
+    results = []
+    for size in ("500", "4096b", "128m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        pairs = read_pairs(spark, str(tmp_path))
+        results.append((sorted(map(tuple, pairs.collect())), sorted(map(tuple, sample_n(pairs, 60, ["row"], 3).collect()))))
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert results[0] == results[1] == results[2] and len({row[-1] for row in results[0][0]}) == 750
+
+
 def test_files_sort_by_their_real_names(spark, tmp_path):
     names = ["a b_ru.jsonl", "a!_ru.jsonl", "a+_ru.jsonl", "a%_ru.jsonl", "б_ru.jsonl"]
     for name in names:
