@@ -3,13 +3,15 @@
 import random
 import re
 
+import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from loomtext.defaults import FRACTIONS, NUMERAL_DIGITS, NUMERALS
 from loomtext.operators.lexicon import mine, substitute
 from loomtext.operators.mixture import mixture_report, weighted_union
 from loomtext.operators.numerals import candidates, variants
-from loomtext.plans import augmented_mixture
+from loomtext.plans import augmentation_report, augmented_mixture
 
 PAIRS = [
     ("взыскивается одна четверть заработка", "кирешенин төрттөн бири"),
@@ -127,6 +129,22 @@ def test_mixture_size_and_order(spark):
     assert {r.component: r.n for r in few} == {"lexicon": 20 * a, "numeral": 12, "original": 5}
 
 
+@pytest.mark.parametrize("limits", [{}, {"numeral_cap": 1, "originals": 5}, {"numeral_cap": 10_000, "originals": 0}, {"copies": (0, 2)}])
+def test_report_and_observed_counts_agree_with_the_rows(spark, limits):
+    frame = pair_frame(spark, PAIRS + NUMBERED)
+    seen = Observation()
+    mixed = augmented_mixture(frame, ["id"], observation=seen, **limits).collect()
+    by_component = {kind: sum(r.component == kind for r in mixed) for kind in ("lexicon", "numeral", "original")}
+    assert seen.get == {**by_component, "total": len(mixed)}
+    report = {r.metric: r.n for r in augmentation_report(frame, ["id"], **limits).collect()}
+    assert {name: report[name] for name in seen.get} == seen.get
+    n = len(PAIRS + NUMBERED)
+    assert report["pairs"] == n and report["original_left_out"] == n - report["original"]
+    assert report["mined"] == len(list(wanted_mined(PAIRS + NUMBERED, FRACTIONS))) and report["candidates"] == len(list(wanted_candidates(PAIRS + NUMBERED)))
+    assert report["mined"] + report["substituted"] == len(list(wanted_variants(PAIRS + NUMBERED, FRACTIONS)))
+    assert report["numeral_left_out"] == max(report["candidates"] - limits.get("numeral_cap", 10**9), 0)
+
+
 def test_mixture_without_hits(spark):
     mixed = augmented_mixture(pair_frame(spark, [("а", "б")]), ["id"])
     assert [(r.component, r.ru, r.ky) for r in mixed.collect()] == [("original", "а", "б")]
