@@ -151,6 +151,23 @@ summaries as (
 )
 """
 
+NORMALISED = "regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g')"
+
+
+def held_grams(text: str, name: str) -> str:
+    """Grams of each item, and how many of them some document holds."""
+    return f"""
+item_{name} as (select item_id, {words(text)} as a, least(len({words(text)}), 5) as n from benchmark),
+gram_{name} as (select distinct item_id, array_to_string(a[i:i + n - 1], ' ') as gram
+    from (select *, unnest(range(1, len(a) - n + 2)) as i from item_{name} where n > 0)),
+line_{name} as (select {words(text)} as a from documents),
+corpus_{name} as (select distinct array_to_string(a[i:i + n - 1], ' ') as gram
+    from (select a, n, unnest(range(1, len(a) - n + 2)) as i from line_{name}, (select distinct n from item_{name} where n > 0))),
+count_{name} as (select item_id, count(*) as grams, count(c.gram) as held
+    from gram_{name} g left join corpus_{name} c on g.gram = c.gram group by item_id)
+"""
+
+
 _context = f"length(text) between {d.CONTEXT_CHARS[0]} and {d.CONTEXT_CHARS[1]}"
 _corpus = f"text is not null and text <> '' and length(text) between {d.CORPUS_CHARS[0]} and {d.CORPUS_CHARS[1]}"
 
@@ -278,6 +295,15 @@ def registry() -> dict[str, str]:
         "sample_n": f"select doc_id from documents order by {rank('doc_id')}, doc_id limit {SAMPLE}",
         "augment_mixture": f"with {mixture()} select component, kind, k, turn, ord, ru, ky, copy from mixture",
         "mixture_report": f"with {mixture()} select component, count(*) as n from mixture group by component",
+        "augmentation_report": f"""with {mixture()}
+            select 'pairs' as metric, count(*) as n from all_pairs
+            union all select 'mined', count(*) from mined
+            union all select 'substituted', count(*) from substituted where ord > 0
+            union all select 'candidates', count(*) from found
+            union all select 'numeral_left_out', (select count(*) from found) - (select count(*) from chosen)
+            union all select 'original_left_out', (select count(*) from all_pairs) - (select count(*) from original)
+            union all select 'total', count(*) from mixture
+            union all select component, count(*) from mixture group by component""",
         "augment_mixture_all": f"with {mixture('null', 'null')} select component, kind, k, turn, ord, ru, ky, copy from mixture",
         "sft_translate_examples": f"""with {PAIRS}
             select conv_id, turn, 'ky2ru' as direction,
@@ -328,8 +354,18 @@ def registry() -> dict[str, str]:
             from documents group by lang""",
         "length_profile": f"""select lang, count(*) as n, count(*) filter (length(text) < {d.CONTEXT_CHARS[0]}) as under,
             count(*) filter ({_context}) as kept, count(*) filter (length(text) > {d.CONTEXT_CHARS[1]}) as "over",
-            sum(length(text))::bigint as chars, min(length(text))::int as shortest, max(length(text))::int as longest
+            sum(length(text))::bigint as chars, min(length(text))::int as shortest, max(length(text))::int as longest,
+            {", ".join(f"quantile_disc(length(text), {q / 100})::int as q{q}" for q in (25, 50, 75, 95))}
             from documents group by lang""",
+        "ratio_profile": f"""with {SUMMARIES}, pair as (select 'doc' as law, doc_id::varchar as article,
+                length(summary)::double / nullif(length(text), 0) as ratio from summaries),
+            placed as (select *, {SPLIT} as split from pair)
+            select split, count(ratio) as n, {", ".join(f"quantile_disc(ratio, {q / 100}) as q{q}" for q in (25, 50, 75, 95))}
+            from placed where ratio is not null group by split""",
+        "containment": f"""with {held_grams('text', '')}, {held_grams(NORMALISED, '_normalised')}
+            select item_id, coalesce(a.grams, 0) as grams, coalesce(a.held, 0) as held, a.held / a.grams as share,
+                   coalesce(b.grams, 0) as grams_normalised, coalesce(b.held, 0) as held_normalised, b.held / b.grams as share_normalised
+            from benchmark left join count_ a using (item_id) left join count__normalised b using (item_id)""",
         "seq_overflow": " union all ".join(f"""select {bound} as bound, count(*) as n,
             count(*) filter (len({words('text')}) > {bound}) as "over" from documents""" for bound in SEQUENCE_BOUNDS),
         "step_budget": f"""select count(*) as n, ceil(count(*) / {BATCH * ACCUMULATION}.0)::bigint as steps

@@ -127,6 +127,12 @@ def mixture_report(spark, sf):
     return mixture.mixture_report(_mixture(spark, sf, shuffle=False))
 
 
+def augmentation_report(spark, sf):
+    return plans.augmentation_report(
+        t.all_pairs(spark, sf), ["kind", "k", "turn"], lexicon=t.LEXICON, numeral_cap=NUMERAL_CAP, originals=ORIGINALS,
+    )
+
+
 def sft_translate_examples(spark, sf):
     return prompts.translation_examples(t.turn_pairs(spark, sf).select("conv_id", "turn", "ru", "ky"))
 
@@ -224,6 +230,10 @@ def contamination(spark, sf):
     return evaluate.contamination(t.benchmark(spark, sf), t.corpus(spark, sf), "item_id", "doc_id")
 
 
+def containment(spark, sf):
+    return evaluate.containment(t.benchmark(spark, sf), t.corpus(spark, sf), "item_id")
+
+
 def copy_rate(spark, sf):
     return evaluate.copy_rate(t.summaries(spark, sf), "summary", "text").select("doc_id", "grams", "copied")
 
@@ -240,6 +250,11 @@ def length_profile(spark, sf):
     return evaluate.length_profile(t.table(spark, sf, "documents"), "lang", CONTEXT_CHARS)
 
 
+def ratio_profile(spark, sf):
+    pairs = t.summaries(spark, sf).select(F.lit("doc").alias("law"), F.col("doc_id").cast("string").alias("article"), "summary", "text")
+    return evaluate.ratio_profile(splits.hash_split(pairs), "split", "summary", "text")
+
+
 def seq_overflow(spark, sf):
     return evaluate.overflow(t.corpus(spark, sf), SEQUENCE_BOUNDS)
 
@@ -297,6 +312,7 @@ ALL: list[Query] = [
     session_direction, session_take_while, session_requests, serve_sessions, serve_chat,
     augment_mixture_all, apply_model_dedup, ab_identical, heldout_anti, contamination, copy_rate, fabricated_numbers, marker_language,
     length_profile, seq_overflow, step_budget, lexicon_coverage,
+    containment, ratio_profile, augmentation_report,
 ]
 
 

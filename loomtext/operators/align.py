@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from loomtext.defaults import PAIR_CHARS, PAIR_RATIO
 from loomtext.functions import good_pair
-from loomtext.operators.articles import ARTICLE, block_totals, place_paragraphs, split_chunks, with_start
+from loomtext.operators.articles import ARTICLE, BLOCK, block_totals, place_paragraphs, split_chunks, with_start
+from loomtext.session import stored_aside
 
 Bounds = tuple[int, int]
 Ratio = tuple[float, float]
@@ -28,12 +29,16 @@ def _routed_blocks(split: DataFrame, chars: Bounds, ratio: Ratio) -> DataFrame:
     ``route`` is null for articles of one language only.  Whole-article pairs
     are decided from lengths, so a long article is skipped without its text.
     """
+    return _routed(block_totals(split), chars, ratio)
+
+
+def _routed(totals: DataFrame, chars: Bounds, ratio: Ratio) -> DataFrame:
     article = Window.partitionBy(*ARTICLE)
 
     def total(column: str, lang: str) -> Column:
         return F.sum(F.when(F.col("lang") == lang, F.col(column))).over(article)
 
-    blocks = block_totals(split).withColumns({
+    blocks = totals.withColumns({
         "n_ru": total("n", RU), "n_ky": total("n", KY), "c_ru": total("chars", RU), "c_ky": total("chars", KY),
     })
 
@@ -124,23 +129,38 @@ def align_report(chunks: DataFrame, chars: Bounds = PAIR_CHARS, ratio: Ratio = P
     ``articles_skipped`` counts articles with unequal paragraph counts that
     fail the gate; equal-count articles whose paragraphs all fail are not
     counted.
+
+    Every counter depends on lengths alone, so chunks are read once, as arrays
+    of paragraph lengths that are stored aside.  Each block and each pair of
+    lengths then adds its share to one tagged aggregate.
     """
-    split = _two_languages(chunks)
-    blocks = _routed_blocks(split, chars, ratio)
+    lengths = F.transform("paragraphs", lambda p: F.length(p))
+    narrow = stored_aside(_two_languages(chunks).select(*BLOCK, "ord", lengths.alias("lengths")))
+    totals = narrow.groupBy(*BLOCK).agg(
+        F.sum(F.size("lengths")).alias("n"),
+        F.sum(F.aggregate("lengths", F.lit(0).cast("bigint"), lambda total, n: total + n)).alias("chars"),
+    )
+    blocks = stored_aside(_routed(totals, chars, ratio))
     route = F.col("route")
-    counters = {
-        "articles_ru": F.count("n_ru"),
-        "articles_ky": F.count("n_ky"),
-        "articles_common": F.count("route"),
-        "article_pairs": F.count_if(route == BY_ARTICLE),
-        "articles_skipped": F.count_if(route == SKIPPED),
+    articles = {
+        "articles_ru": F.col("n_ru").isNotNull(), "articles_ky": F.col("n_ky").isNotNull(), "articles_common": route.isNotNull(),
+        "article_pairs": route == BY_ARTICLE, "articles_skipped": route == SKIPPED,
     }
-    articles = _per_article(blocks).agg(*[c.alias(name) for name, c in counters.items()])
-    pairs = _gated(_placed_pairs(split, blocks, [BY_PARAGRAPH], chars), chars, ratio)
-    paragraphs = pairs.agg(F.count(F.lit(1)).alias("n"))
-    return articles.unpivot([], list(counters), "metric", "n").unionByName(
-        paragraphs.select(F.lit("paragraph_pairs").alias("metric"), "n")
-    )
+    tags = F.array(*[F.struct(F.lit(name).alias("metric"), F.coalesce(one.cast("bigint"), F.lit(0).cast("bigint")).alias("n")) for name, one in articles.items()])
+
+    by_paragraph = with_start(blocks.where(route == BY_PARAGRAPH))
+    placed = place_paragraphs(narrow.withColumnRenamed("lengths", "paragraphs"), by_paragraph).withColumnRenamed("paragraph", "length")
+    placed = placed.where(F.col("length").between(*chars))
+
+    def side(lang: str) -> Column:
+        return F.max(F.when(F.col("lang") == lang, F.col("length"))).alias(lang)
+
+    pairs = placed.groupBy(*ARTICLE, "pos").agg(side(RU), side(KY))
+    good = F.coalesce(good_pair(F.col(RU), F.col(KY), chars, ratio).cast("bigint"), F.lit(0).cast("bigint"))
+    counted = _per_article(blocks).select(F.inline(tags)).unionByName(pairs.select(F.lit("paragraph_pairs").alias("metric"), good.alias("n")))
+    zeros = F.array(*[F.struct(F.lit(name).alias("metric"), F.lit(0).cast("bigint").alias("n")) for name in [*articles, "paragraph_pairs"]])
+    every = counted.sparkSession.range(1).select(F.inline(zeros))  # an empty collection has all counters too
+    return counted.unionByName(every).groupBy("metric").agg(F.sum("n").alias("n"))
 
 
 def gate(pairs: DataFrame, chars: Bounds = PAIR_CHARS, ratio: Ratio = PAIR_RATIO) -> Column:

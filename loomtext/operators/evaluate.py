@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from loomtext.functions import within
+from loomtext.session import stored_aside
 
 _GRAM_WORDS = 5
-# Item grams up to this many, counted first, may be broadcast.
-_BROADCAST_GRAMS = 100_000
+# Bits of a filter of item grams: 16 a gram, between these powers of two.  The
+# upper one, 16 MB, bounds what comes to every task; with more grams the filter
+# lets more pass, which costs time but no result.
+_FILTER_BITS = (16, 27)
+_PROBES = 4
 
 
 def words(text: Column | str) -> Column:
@@ -27,52 +33,154 @@ def word_grams(tokens: Column, n: int) -> Column:
 
 
 def held_out(items: DataFrame, corpus: DataFrame, text: str = "text", corpus_text: str = "text") -> DataFrame:
-    """Items whose whole text is no text of the corpus; a null text is held out."""
-    digests = corpus.select(F.sha2(corpus_text, 256).alias("_digest")).distinct()
+    """Items whose whole text is no text of the corpus; a null text is held out.
+    Only digests that some item has are exchanged."""
     marked = items.withColumn("_digest", F.sha2(text, 256))
+    sought = marked.select("_digest").distinct()
+    digests = corpus.select(F.sha2(corpus_text, 256).alias("_digest")).join(sought, "_digest", "left_semi").distinct()
     return marked.join(digests, "_digest", "left_anti").select(*items.columns)
 
 
+def normalised(text: Column | str) -> Column:
+    """The text in lower case, with all but letters and digits as spaces."""
+    column = F.col(text) if isinstance(text, str) else text
+    return F.regexp_replace(F.lower(column), r"[^\p{L}\p{N}]+", " ")
+
+
+def gram_hashes(tokens: Column, n: int) -> Column:
+    """A 64-bit hash of every run of n words; ``tokens`` must be a plain column."""
+    starts = F.when(F.size(tokens) >= n, F.slice(tokens, F.lit(1), F.size(tokens) - (n - 1))).otherwise(F.array().cast("array<string>"))
+    return F.transform(starts, lambda word, i: F.xxhash64(word, *[F.get(tokens, i + k) for k in range(1, n)]))
+
+
+def _probes(h: Column, bits: int) -> list[Column]:
+    return [F.xxhash64(h, F.lit(k)).bitwiseAND(F.lit(bits - 1).cast("bigint")) for k in range(_PROBES)]
+
+
+def gram_filter(hashes: DataFrame, column: str, bits: int) -> DataFrame:
+    """One row, one array: a Bloom filter of ``bits`` bits, a power of two, in
+    64-bit words.  Bits are set by partial aggregates, word by word."""
+    spark = hashes.sparkSession
+    place = hashes.select(F.explode(F.array(*_probes(F.col(column), bits))).alias("bit"))
+    ones = place.select(F.shiftright("bit", 6).alias("word"), F.expr("shiftleft(1L, cast(bit & 63 as int))").alias("ones"))
+    zeros = spark.range(bits >> 6).select(F.col("id").alias("word"), F.lit(0).cast("bigint").alias("ones"))
+    words_of = zeros.union(ones).groupBy("word").agg(F.expr("bit_or(ones)").alias("ones"))
+    return words_of.agg(F.transform(F.array_sort(F.collect_list(F.struct("word", "ones"))), lambda w: w.ones).alias("filter"))
+
+
+def might_hold(filter_words: Column, h: Column, bits: int) -> Column:
+    """Whether the filter may hold ``h``: never false for one it was made of."""
+    tests = [
+        F.call_function("getbit", F.get(filter_words, F.shiftright(place, 6).cast("int")), place.bitwiseAND(F.lit(63).cast("bigint")).cast("int")) == 1
+        for place in _probes(h, bits)
+    ]
+    return reduce(lambda a, b: a & b, tests)
+
+
+def _item_filter(hashes: DataFrame, column: str) -> tuple[Column, int]:
+    """The filter of all values of a column, as a scalar, and its bits."""
+    least, most = _FILTER_BITS
+    bits = 1 << min(max((16 * hashes.count()).bit_length(), least), most)
+    return gram_filter(hashes, column, bits).scalar(), bits
+
+
+def _gram_hits(corpus: DataFrame, doc: str, tokens: Column, known: DataFrame, sizes: Sequence[int], reach: int) -> DataFrame:
+    """(doc, n, hash, around, lead): the places of the corpus whose gram of n
+    words may be one of ``known`` (column ``hash``), with up to ``reach`` words
+    on either side; the gram begins after the first ``lead`` of them.
+
+    The filter is tested where the text is read, so other grams cross no
+    exchange, and the few that pass are stored: the corpus is read once.
+    """
+    scalar, bits = _item_filter(known, "hash")
+    split = corpus.select(F.col(doc).alias("doc"), tokens.alias("w"))
+
+    def placed(n: int) -> Column:
+        return F.transform(gram_hashes(F.col("w"), n), lambda h, i: F.struct(F.lit(n).alias("n"), h.alias("hash"), i.alias("at")))
+
+    hits = split.select("doc", "w", F.explode(F.concat(*map(placed, sizes))).alias("hit")).where(might_hold(scalar, F.col("hit.hash"), bits))
+    lead = F.least("hit.at", F.lit(reach))
+    around = F.slice("w", F.col("hit.at") - lead + 1, lead + max(reach, max(sizes)))
+    return stored_aside(hits.select("doc", "hit.n", "hit.hash", around.alias("around"), lead.alias("lead")))
+
+
+def _items(items: DataFrame, item: str, tokens: Column) -> DataFrame:
+    """(item, w, n): the words of every item that has some, and its gram size."""
+    sought = items.select(F.col(item).alias("item"), tokens.alias("w")).where(F.size("w") > 0)
+    return sought.withColumn("n", F.least(F.size("w"), F.lit(_GRAM_WORDS)))
+
+
+def _item_grams(sought: DataFrame, sizes: Sequence[int]) -> DataFrame:
+    """(item, w, n, at, hash): all grams of every item, of the item's own size."""
+    hashes = F.when(F.lit(False), F.array().cast("array<bigint>"))
+    for size in sizes:
+        hashes = hashes.when(F.col("n") == size, gram_hashes(F.col("w"), size))
+    return sought.select("item", "w", "n", F.posexplode(hashes).alias("at", "hash"))
+
+
 def contamination(
     items: DataFrame, corpus: DataFrame, item: str, doc: str, text: str = "text", corpus_text: str = "text",
 ) -> DataFrame:
     """(item, doc) for each item whose words stand in a row in a document.
 
     Of every item the gram that is rarest in the corpus is sought, by exact
-    counts; documents that hold it are then searched for the whole item.  No
+    counts; where a document holds it, the words around it are compared.  No
     gram is too frequent: an item made of frequent grams alone still has a
-    rarest one.  Items without a word are in no document.
+    rarest one.  Items without a word are in no document.  The corpus is read
+    once; a Bloom filter of the items' grams keeps all others out of the
+    exchange, and a place takes no more words with it than the longest item has.
     """
-    sought = items.select(F.col(item).alias("item"), words(text).alias("w")).where(F.size("w") > 0)
-    n = F.least(F.size("w"), F.lit(_GRAM_WORDS))
-    sizes = sorted(row.n for row in sought.select(n.alias("n")).distinct().collect())  # five at most
-    if not sizes:
-        return items.join(corpus.select(doc), F.lit(False)).select(item, doc)
-
-    def grams(tokens: Column) -> Column:
-        return F.array_distinct(F.concat(*[word_grams(tokens, size) for size in sizes]))
-
-    of_item = sought.select("item", F.array_join("w", " ").alias("phrase"), F.explode(F.array_distinct(
-        F.element_at(F.array(*[word_grams(F.col("w"), size) for size in range(1, _GRAM_WORDS + 1)]), n)
-    )).alias("gram"))
-    known = of_item.select("gram").distinct()
-    if known.count() <= _BROADCAST_GRAMS:
-        known, of_item = F.broadcast(known), F.broadcast(of_item)
-    tokens = words(corpus_text)
-    # Words are a column of their own: within the lambda of the grams they would be split again for each.
-    split = corpus.select(F.col(doc).alias("doc"), tokens.alias("w"))
-    hits = split.select("doc", F.explode(grams(F.col("w"))).alias("gram")).join(known, "gram", "left_semi")
-    counts = hits.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    sought = _items(items, item, words(text))
+    bounds = sought.groupBy("n").agg(F.max(F.size("w")).alias("longest")).collect()  # five rows at most
+    if not bounds:
+        schema = StructType([*items.select(item).schema, *corpus.select(doc).schema])
+        return items.sparkSession.createDataFrame([], schema)
+    sizes, reach = sorted(row.n for row in bounds), max(row.longest for row in bounds)
+    grams = _item_grams(sought, sizes)
+    hits = _gram_hits(corpus, doc, words(corpus_text), grams.select("hash").distinct(), sizes, reach)
+    counts = hits.groupBy("n", "hash").agg(F.count(F.lit(1)).alias("count"))
     # An item with a gram that no document holds is in no document.
-    rarest = of_item.join(counts, "gram", "left").groupBy("item", "phrase").agg(
-        F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("least")
-    ).where("least.n > 0").select("item", "phrase", F.col("least.gram").alias("gram"))
-    candidates = hits.join(rarest, "gram").select("item", "phrase", "doc")
-    line = corpus.select(F.col(doc).alias("doc"), F.concat(F.lit(" "), F.array_join(tokens, " "), F.lit(" ")).alias("line"))
-    found = candidates.join(line, "doc").where(F.contains("line", F.concat(F.lit(" "), "phrase", F.lit(" "))))
+    rarest = grams.join(counts, ["n", "hash"], "left").groupBy("item", "w").agg(
+        F.min(F.struct(F.coalesce("count", F.lit(0)).alias("count"), "hash", "at", "n")).alias("least")
+    ).where("least.count > 0").select("item", "w", "least.hash", "least.at", "least.n")
+    begin = F.col("lead") - F.col("at")
+    same = (begin >= 0) & (F.slice("around", F.greatest(begin, F.lit(0)) + 1, F.size("w")) == F.col("w"))
+    found = hits.join(rarest, ["n", "hash"]).where(same)
     return found.select(F.col("item").alias(item), F.col("doc").alias(doc)).distinct()
 
 
+def containment(items: DataFrame, corpus: DataFrame, item: str, text: str = "text", corpus_text: str = "text") -> DataFrame:
+    """(item, grams, held, share, grams_normalised, held_normalised,
+    share_normalised): the different word grams of every item, how many of them
+    some text of the corpus holds, and their share; as the texts are and with
+    both sides ``normalised``.
+
+    A gram is a run of five words, or all words of a shorter item.  Items
+    without a word have no grams and a null share.  Grams are compared as words;
+    hashes only keep those that no item has out of the exchange.
+    """
+    result = items.select(F.col(item).alias("item"))
+    for name, change in (("", lambda column: F.col(column)), ("_normalised", normalised)):
+        counted = _held_grams(items, corpus, item, words(change(text)), words(change(corpus_text)))
+        share = F.col("held") / F.col("grams")
+        result = result.join(counted.withColumn("share", share).toDF("item", *[f"{column}{name}" for column in ("grams", "held", "share")]), "item", "left")
+    counts = [c for c in result.columns if c.startswith(("grams", "held"))]
+    return result.select(F.col("item").alias(item), *[F.coalesce(c, F.lit(0)).alias(c) if c in counts else F.col(c) for c in result.columns[1:]])
+
+
+def _held_grams(items: DataFrame, corpus: DataFrame, item: str, tokens: Column, corpus_tokens: Column) -> DataFrame:
+    """(item, grams, held) of every item with words."""
+    sought = _items(items, item, tokens)
+    sizes = sorted(row.n for row in sought.select("n").distinct().collect())  # five at most
+    if not sizes:
+        return sought.select("item", F.lit(0).cast("bigint").alias("grams"), F.lit(0).cast("bigint").alias("held"))
+    grams = _item_grams(sought, sizes)
+    own = grams.select("item", "hash", F.array_join(F.slice("w", F.col("at") + 1, F.col("n")), " ").alias("gram")).distinct()
+    hits = _gram_hits(corpus.withColumn("_row", F.lit(None)), "_row", corpus_tokens, grams.select("hash").distinct(), sizes, 0)
+    held = hits.select(F.array_join(F.slice("around", F.lit(1), F.col("n")), " ").alias("gram")).distinct().withColumn("found", F.lit(1))
+    return own.join(held, "gram", "left").groupBy("item").agg(F.count(F.lit(1)).alias("grams"), F.count("found").alias("held"))
+
+
 def identical_outputs(outputs: DataFrame, one: str, two: str) -> DataFrame:
     """(n, same): contexts, and those where both arms gave the same bytes."""
     return outputs.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(one) == F.col(two)).alias("same"))
@@ -103,17 +211,75 @@ def marker_language(texts: DataFrame, group: str, letters: str, text: str = "tex
     return texts.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.count_if(held).alias("marked"))
 
 
+# Names and percents of the quantiles in the reports.
+QUANTILES = {"q25": 25, "q50": 50, "q75": 75, "q95": 95}
+
+
 def length_profile(texts: DataFrame, group: str, chars: tuple[int, int], text: str = "text") -> DataFrame:
     """By group: rows, rows under, within and over the bounds, and the sum,
-    least and largest of the lengths.  A null text counts in ``n`` alone."""
-    length = F.length(text)
-    return texts.groupBy(group).agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(length < chars[0]).alias("under"), F.count_if(within(text, chars)).alias("kept"),
-        F.count_if(length > chars[1]).alias("over"), F.sum(length.cast("bigint")).alias("chars"),
-        F.min(length).alias("shortest"), F.max(length).alias("longest"),
+    least, largest and exact quantiles (``QUANTILES``) of the lengths.  A null
+    text counts in ``n`` alone.
+
+    Rows are counted by group and length before the exchange; all else comes
+    from these counts, of which a group has as many as it has lengths.
+    """
+    counts = texts.groupBy(group, F.length(text).alias("_length")).agg(F.count(F.lit(1)).alias("_n"))
+    known = F.when(F.col("_length").isNotNull(), F.col("_n"))
+    of_group = Window.partitionBy(group)
+    placed = counts.withColumns({
+        "_upto": F.sum(known).over(of_group.orderBy("_length")), "_total": F.sum(known).over(of_group),
+    })
+    length, lo, hi = F.col("_length"), *chars
+
+    def rows(condition: Column) -> Column:
+        return F.coalesce(F.sum(F.when(condition, F.col("_n"))), F.lit(0))
+
+    quantiles = [
+        F.min(F.when((known > 0) & (F.col("_upto") * 100 >= F.col("_total") * percent), length)).alias(name) for name, percent in QUANTILES.items()
+    ]
+    return placed.groupBy(group).agg(
+        F.sum("_n").alias("n"), rows(length < lo).alias("under"), rows(length.between(lo, hi)).alias("kept"), rows(length > hi).alias("over"),
+        F.sum(length.cast("bigint") * F.col("_n")).alias("chars"), F.min("_length").alias("shortest"), F.max("_length").alias("longest"), *quantiles,
     )
 
 
+def exact_quantiles(rows: DataFrame, group: str, value: str, percents: Mapping[str, int] = QUANTILES, steps: int = 64) -> DataFrame:
+    """By group: ``n``, the values that are not null, and their exact quantiles,
+    for numbers from 0 up that may all be different.
+
+    A first pass counts by group and coarse bucket, ``steps`` for each doubling;
+    a second one counts the different values of the buckets that hold a
+    quantile.  No task gets the values of a group, only their counts.
+    """
+    known = rows.select(F.col(group).alias("_group"), F.col(value).cast("double").alias("_value")).where("_value IS NOT NULL")
+    bucketed = known.withColumn("_bucket", F.coalesce(F.floor(F.log2("_value") * steps).cast("int"), F.lit(-(1 << 30))))
+    of_group = Window.partitionBy("_group")
+    begins = bucketed.groupBy("_group", "_bucket").agg(F.count(F.lit(1)).alias("_n")).withColumns({
+        "_upto": F.sum("_n").over(of_group.orderBy("_bucket")), "_total": F.sum("_n").over(of_group),
+    })
+    asked = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(percent).alias("percent")) for name, percent in percents.items()])
+    rank = F.greatest(F.ceil(F.col("_total") * F.col("_asked.percent") / 100), F.lit(1))
+    sought = begins.withColumn("_asked", F.explode(asked)).withColumn("_rank", rank - (F.col("_upto") - F.col("_n"))).where(
+        F.col("_rank").between(1, F.col("_n"))
+    ).select(F.col("_group").alias("g"), F.col("_bucket").alias("b"), F.col("_asked.name").alias("_name"), "_rank", F.col("_total").alias("_all"))
+    here = F.col("_group").eqNullSafe(F.col("g")) & (F.col("_bucket") == F.col("b"))
+    near = bucketed.join(sought.select("g", "b").distinct(), here, "left_semi")
+    values = near.groupBy("_group", "_bucket", "_value").agg(F.count(F.lit(1)).alias("_n")).withColumn(
+        "_upto", F.sum("_n").over(Window.partitionBy("_group", "_bucket").orderBy("_value"))
+    )
+    found = values.join(sought, here & (F.col("_rank") > F.col("_upto") - F.col("_n")) & (F.col("_rank") <= F.col("_upto")))
+    return found.groupBy(F.col("_group").alias(group)).agg(
+        F.max("_all").alias("n"), *[F.max(F.when(F.col("_name") == name, F.col("_value"))).alias(name) for name in percents]
+    )
+
+
+def ratio_profile(pairs: DataFrame, group: str, output: str, source: str) -> DataFrame:
+    """By group: pairs with a source that is not empty, and exact quantiles of
+    the length of ``output`` over that of ``source``."""
+    ratio = F.try_divide(F.length(output).cast("double"), F.length(source).cast("double"))
+    return exact_quantiles(pairs.select(group, ratio.alias("_ratio")), group, "_ratio")
+
+
 def overflow(texts: DataFrame, bounds: Sequence[int], text: str = "text") -> DataFrame:
     """(bound, n, over): rows, and rows with more words than each bound."""
     counted = texts.select(F.size(words(text)).alias("size"))

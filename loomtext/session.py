@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime re-planning, split of skewed join partitions, UTC timestamps.  The
 # last one spares the call-site lookup for each of the many small expressions
@@ -32,3 +34,20 @@ def checkpoint_root(spark: SparkSession) -> str:
     if not root:
         raise ValueError("spark.checkpoint.dir is not set; name a folder all executors share")
     return root.rstrip("/")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """Where jobs put what later steps read: the folder named for checkpoints.
+    Only a local session may do without and gets a temporary one."""
+    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.master.startswith("local["):
+        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="checkpoint-"))
+    return checkpoint_root(spark)
+
+
+def stored_aside(df: DataFrame) -> DataFrame:
+    """The frame written to the shared folder and read from there: later steps
+    neither repeat its work nor lose it with an executor."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint()
