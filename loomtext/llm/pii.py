@@ -47,7 +47,7 @@ CONTEXT = 24  # characters looked at before a span
 LABELERS = 6
 ITERATIONS = 25
 
-MATCH_TYPE = "array<struct<start:int,end:int,value:string,before:string,after:string>>"
+MATCH_TYPE = "array<struct<kind:int,start:int,end:int,base:boolean,value:string,before:string,after:string>>"
 SPAN_TYPE = "array<struct<kind:int,start:int,end:int,base:boolean,votes:array<int>,shape:array<string>>>"
 
 
@@ -56,20 +56,26 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def running_sums(numbers: Column, block: int = 256) -> Column:
-    """Sums of the first 1, 2, ... numbers; blocks keep long arrays from quadratic time."""
-    def total(part: Column) -> Column:
-        return F.aggregate(part, F.lit(0), lambda a, x: a + x)
+def scan(values: Column, zero: Column, combine: Callable[[Column, Column], Column], levels: int = 2) -> Column:
+    """What ``combine`` makes of the first 1, 2, ... values.
 
-    n_blocks = ((F.size(numbers) + (block - 1)) / block).cast("int")
-    block_sums = F.transform(F.sequence(F.lit(0), n_blocks - 1), lambda b: total(F.slice(numbers, b * block + 1, block)))
-    return let(block_sums, lambda sums: let(
-        F.transform(sums, lambda _, b: total(F.slice(sums, 1, b))),
-        lambda before: F.transform(numbers, lambda _, i: (
-            F.get(before, F.floor(i / block).cast("int"))
-            + total(F.slice(numbers, F.floor(i / block).cast("int") * block + 1, i % block + 1))
-        )),
-    ))
+    Each value is combined with its own block of 64 and with what the same does
+    for all blocks before, so the work a value is bounded up to millions of them.
+    Arrays used in lambdas are bound first: else they are made anew each time.
+    """
+    def fold(part: Column) -> Column:
+        return F.aggregate(part, zero, lambda a, x: combine(a, x))
+
+    def short(own: Column) -> Column:
+        return F.transform(own, lambda _, i: fold(F.slice(own, 1, i + 1)))
+
+    def long(own: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.shiftright(F.size(own) - 1, 6)), lambda b: fold(F.slice(own, b * 64 + 1, 64)))
+        return let(scan(blocks, zero, combine, levels - 1), lambda upto: F.transform(own, lambda _, i: combine(
+            F.coalesce(F.get(upto, F.shiftright(i, 6) - 1), zero), fold(F.slice(own, i - i % 64 + 1, i % 64 + 1))
+        )))
+
+    return let(values, short if levels == 0 else lambda own: F.when(F.size(own) <= 64, short(own)).otherwise(long(own)))
 
 
 def _digits(value: Column) -> Column:
@@ -134,19 +140,12 @@ def _shape(kind: str, strict: bool, value: Column, before: Column, after: Column
     )
 
 
-def _found(text: Column, kind: str, strict: bool) -> Column:
-    """(start, end, value, before, after) of every match of one pattern."""
+def _pieces(text: Column, kind: str, strict: bool) -> Column:
+    """(values, gaps): the matches of one pattern and what stands around them; null without any."""
     pattern = (STRICT if strict else LOOSE)[kind]
-    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-
-    def placed(values: Column, gaps: Column) -> Column:
-        lengths = F.transform(values, lambda value, i: F.length(F.get(gaps, i)) + F.length(value))
-        return let(running_sums(lengths), lambda ends: F.transform(values, lambda value, i: F.struct(
-            (F.get(ends, i) - F.length(value)).alias("start"), F.get(ends, i).alias("end"), value.alias("value"),
-            F.right(F.get(gaps, i), F.lit(CONTEXT)).alias("before"), F.left(F.get(gaps, i + 1), F.lit(1)).alias("after"),
-        )))
-
-    found = let(values, lambda v: F.when(F.size(v) > 0, let(F.split(text, pattern, -1), lambda gaps: placed(v, gaps))))
+    found = let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda values: F.when(
+        F.size(values) > 0, F.struct(values.alias("values"), F.split(text, pattern, -1).alias("gaps"))
+    ))
     need = NEEDS.get((kind, strict))
     return found if need is None else F.when(F.contains(text, F.lit(need)), found)
 
@@ -155,35 +154,88 @@ def candidate_spans(text: Column) -> Column:
     """All proposed spans of a text with their votes, by kind and start; loose
     spans that touch a valid strict one are left out."""
     sources = [(kind, True) for kind in KINDS] + [(kind, False) for kind in KINDS if kind in LOOSE]
-    raw = F.struct(*[_found(text, kind, strict).alias(f"{kind}{int(strict)}") for kind, strict in sources])
-
-    def placed(found: Column, kind: str, strict: bool) -> Column:
-        matches = F.coalesce(found[f"{kind}{int(strict)}"], F.array().cast(MATCH_TYPE))
-        return F.transform(matches, lambda m: F.struct(
-            m.start.alias("start"), m.end.alias("end"), (_valid(kind, m.value) if strict else F.lit(False)).alias("base"),
-            m.value.alias("value"), m.before.alias("before"), m.after.alias("after"),
+    names = [f"{kind}{int(strict)}" for kind, strict in sources]
+    raw = F.struct(*[_pieces(text, *source).alias(name) for source, name in zip(sources, names, strict=True)])
+
+    def lengths(found: Column, name: str) -> Column:
+        each = F.transform(found[name].values, lambda value, i: F.length(F.get(found[name].gaps, i)) + F.length(value))
+        return F.coalesce(each, F.array().cast("array<int>"))
+
+    def placed(found: Column, ends: Column, place: int) -> Column:
+        """The matches of one pattern; ``ends`` are the running sums of all patterns, one after the other."""
+        (kind, strict), own = sources[place], found[names[place]]
+        before = sum((F.coalesce(F.size(found[name].values), F.lit(0)) for name in names[:place]), F.lit(0))
+        spans = let(F.struct(before.alias("first"), F.coalesce(F.get(ends, before - 1), F.lit(0)).alias("upto")), lambda at: F.transform(
+            own.values, lambda value, i: F.struct(
+                F.lit(KINDS.index(kind)).alias("kind"), (F.get(ends, at.first + i) - at.upto - F.length(value)).alias("start"),
+                (F.get(ends, at.first + i) - at.upto).alias("end"), (_valid(kind, value) if strict else F.lit(False)).alias("base"),
+                value.alias("value"), F.right(F.get(own.gaps, i), F.lit(CONTEXT)).alias("before"), F.left(F.get(own.gaps, i + 1), F.lit(1)).alias("after"),
+            )
         ))
+        return F.coalesce(F.when(own.isNotNull(), spans), F.array().cast(MATCH_TYPE))
 
     def labelled(kind: str, strict: bool, matches: Column, several: Column) -> Column:
         return F.transform(matches, lambda m: F.struct(
-            F.lit(KINDS.index(kind)).alias("kind"), m.start.alias("start"), m.end.alias("end"), m.base.alias("base"),
+            m.kind.alias("kind"), m.start.alias("start"), m.end.alias("end"), m.base.alias("base"),
             _votes(kind, strict, m.value, m.before, m.after, several).alias("votes"),
             _shape(kind, strict, m.value, m.before, m.after).alias("shape"),
         ))
 
-    def apart(loose: Column, strict: Column) -> Column:
-        return F.filter(loose, lambda m: ~F.exists(strict, lambda s: s.base & (s.start < m.end) & (m.start < s.end)))
+    def of_kind(matches: Column, kind: str) -> Column:
+        return F.filter(matches, lambda m: m.kind == KINDS.index(kind))
+
+    def split(found: Column, ends: Column) -> Column:
+        matches = {source: placed(found, ends, place) for place, source in enumerate(sources)}
+        return F.struct(
+            *[matches[kind, True].alias(kind) for kind in KINDS], F.concat(*[matches[kind, False] for kind in LOOSE]).alias("loose"),
+        )
+
+    def judged(own: Column) -> Column:
+        n = sum((F.size(own[kind]) for kind in KINDS), F.lit(0))
+        base = F.filter(F.concat(*[own[kind] for kind in KINDS]), lambda s: s.base)
+        return let(F.struct((n > 1).alias("several"), (n > 0).alias("any"), apart(own.loose, base).alias("free")), lambda known: F.concat(
+            *[labelled(kind, True, own[kind], known.several) for kind in KINDS],
+            *[labelled(kind, False, of_kind(known.free, kind), known.any) for kind in LOOSE],
+        ))
+
+    def all_of(found: Column) -> Column:
+        sums = scan(F.concat(*[lengths(found, name) for name in names]), F.lit(0), lambda a, x: a + x)
+        return let(let(sums, lambda ends: split(found, ends)), judged)
+
+    def some(found: Column) -> Column:
+        return sum((found[name].isNotNull().cast("int") for name in names), F.lit(0)) > 0
+
+    # Texts without a match are done here.
+    return let(raw, lambda found: F.when(some(found), all_of(found)).otherwise(F.array().cast(SPAN_TYPE))).cast(SPAN_TYPE)
+
 
-    def judged(found: Column) -> Column:
-        strict = {kind: placed(found, kind, True) for kind in KINDS}
-        n = sum((F.size(matches) for matches in strict.values()), F.lit(0))
-        together = F.concat(*strict.values())
-        return F.concat(
-            *[labelled(kind, True, matches, n > 1) for kind, matches in strict.items()],
-            *[labelled(kind, False, apart(placed(found, kind, False), together), n > 0) for kind in LOOSE],
+def apart(loose: Column, base: Column) -> Column:
+    """The spans of ``loose`` that touch none of ``base``, by start, by one sort
+    of both and a scan from either side."""
+    farthest = F.lit(-(1 << 31) + 1)
+
+    def merged(both: Column) -> Column:
+        marked = F.concat(
+            F.transform(both.base, lambda s: F.struct(s.start.alias("start"), F.lit(0).alias("own"), s.end.alias("end"))),
+            F.transform(both.loose, lambda m, i: F.struct(m.start.alias("start"), (i + 1).alias("own"), m.end.alias("end"))),
         )
+        return let(F.sort_array(marked), lambda events: let(F.struct(
+            # The last end of a base span that starts no later, and the first start of one that does.
+            scan(F.transform(events, lambda e: F.when(e.own == 0, e.end).otherwise(0)), F.lit(0), F.greatest).alias("before"),
+            scan(F.transform(F.reverse(events), lambda e: F.when(e.own == 0, -e.start).otherwise(farthest)), farthest, F.greatest).alias("after"),
+        ), lambda near: F.transform(
+            F.filter(
+                F.transform(events, lambda e, i: F.when(
+                    (e.own > 0) & (F.get(near.before, i) <= e.start) & (-F.get(near.after, F.size(near.after) - 1 - i) >= e.end), e.own
+                )),
+                lambda place: place.isNotNull(),
+            ),
+            lambda place: F.get(both.loose, place - 1),
+        )))
 
-    return let(raw, judged).cast(SPAN_TYPE)
+    return let(F.struct(loose.alias("loose"), base.alias("base")), lambda both: (
+        F.when((F.size(both.loose) > 0) & (F.size(both.base) > 0), merged(both)).otherwise(both.loose)
+    ))
 
 
 def features(span: Column) -> Column:
@@ -313,19 +365,29 @@ def span_list(spans: Column) -> Column:
 
 def masked(text: Column, spans: Column) -> Column:
     """The text with every span replaced by its kind in angle brackets; of spans
-    that overlap, the one that starts first, and of those the longest."""
+    that overlap, the one that starts first, and of those the longest.
+
+    The text is cut into pieces first, so that no cut walks it from its start.
+    """
+    size = 1024
     names = F.array(*[F.lit(f"<{kind.upper()}>") for kind in KINDS])
     ordered = F.sort_array(F.transform(spans, lambda s: F.struct(s.start.alias("start"), (-s.end).alias("minus_end"), s.kind.alias("kind"))))
-    state = "struct<upto:int,parts:array<string>>"
-    first = F.struct(F.lit(0).alias("upto"), F.array().cast("array<string>").alias("parts")).cast(state)
-
-    def taken(done: Column, s: Column) -> Column:
-        return F.when(s.start < done.upto, F.struct(F.greatest(done.upto, -s.minus_end).alias("upto"), done.parts.alias("parts")).cast(state)).otherwise(F.struct(
-            (-s.minus_end).alias("upto"),
-            F.concat(done.parts, F.array(F.substring(text, done.upto + 1, s.start - done.upto), F.get(names, s.kind))).alias("parts"),
-        ).cast(state))
 
-    whole = let(F.aggregate(ordered, first, taken), lambda done: F.concat(
-        F.array_join(done.parts, ""), F.substring(text, done.upto + 1, F.length(text) - done.upto)
+    def cut(pieces: Column, start: Column, end: Column) -> Column:
+        first = F.shiftright(start, 10)
+        near = F.array_join(F.slice(pieces, first + 1, F.shiftright(end, 10) - first + 1), "")
+        return F.substring(near, start % size + 1, end - start)
+
+    def whole(pieces: Column, order: Column, upto: Column) -> Column:
+        parts = F.transform(order, lambda s, i: let(F.coalesce(F.get(upto, i - 1), F.lit(0)), lambda begin: F.when(
+            s.start >= begin, F.concat(cut(pieces, begin, s.start), F.get(names, s.kind))
+        ).otherwise("")))
+        last = F.element_at(upto, -1)
+        return F.concat(F.array_join(parts, ""), let(last, lambda begin: F.when(
+            F.shiftright(begin, 10) < F.size(pieces), F.substring(F.array_join(F.slice(pieces, F.shiftright(begin, 10) + 1, F.size(pieces)), ""), begin % size + 1, F.length(text))
+        ).otherwise("")))
+
+    parted = let(F.struct(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{size}}}"), F.lit(0)).alias("pieces"), ordered.alias("order")), lambda own: let(
+        scan(F.transform(own.order, lambda s: -s.minus_end), F.lit(0), F.greatest), lambda upto: whole(own.pieces, own.order, upto)
     ))
-    return F.when(F.size(spans) > 0, whole).otherwise(text)
+    return F.when(F.size(spans) > 0, parted).otherwise(text)

@@ -1,6 +1,8 @@
 """Personal data (3) and benchmark passages (4)."""
 
+import itertools
 import random
+import time
 
 import pytest
 from helpers import base_spans, clashing, empty, odd
@@ -32,6 +34,66 @@ def test_base_spans_of_the_table_and_odd_documents(spark, small):
     assert _base(empty(spark)).count() == 0
 
 
+def test_many_spans_take_a_fixed_time_each(spark):
+    """Texts of 30,000 and 100,000 numbers and of as many spans to mask."""
+    times = []
+    for n in (30_000, 100_000):
+        rows = [(1, " ".join(f"w{i}" for i in range(n))), (2, "(040) 555-1234 x 1.2.3.4 " * (n // 2))]
+        frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(2)
+        begin = time.perf_counter()
+        found = pii.find_personal_data(frame)
+        got = {r.doc_id: (r.text, r.base, r.m) for r in found.select(
+            "doc_id", "text", pii.span_list(F.filter("personal", lambda s: s.base)).alias("base"), pii.masked(F.col("text"), F.col("personal")).alias("m")
+        ).collect()}
+        times.append((time.perf_counter() - begin) / n)
+        assert all(base == base_spans(text) for text, base, _ in got.values())
+        assert got[1][2] == got[1][0] and got[2][2].count("<IP>") == n // 2 and "1.2.3.4" not in got[2][2]
+    assert times[1] < 3 * times[0] and times[1] < 1e-3
+
+
+def _plain_apart(loose, base):
+    return [m for m in loose if not any(s < m[1] and m[0] < e for s, e in base)]
+
+
+def test_loose_spans_apart_from_strict_ones(spark):
+    rng = random.Random(3)
+    rows = []
+    for k in range(300):
+        cuts = sorted(rng.sample(range(400), 2 * rng.randrange(40)))
+        loose = list(zip(cuts[::2], cuts[1::2], strict=True))
+        base = [(s, s + rng.randint(1, 30)) for s in (rng.randrange(400) for _ in range(rng.randrange(60)))]
+        rows.append((k, loose, base))
+    kinds = "array<struct<start:int,end:int>>"
+    frame = spark.createDataFrame(rows, f"k int, loose {kinds}, base {kinds}").repartition(3)
+    for r in frame.select("k", pii.apart(F.col("loose"), F.col("base")).alias("free")).collect():
+        assert [tuple(m) for m in r.free] == _plain_apart(*rows[r.k][1:])
+
+
+def test_scans_of_any_length(spark):
+    sizes = [0, 1, 31, 32, 33, 64, 65, 1023, 1025, 40_000]
+    frame = spark.createDataFrame([(n, [(7 * i) % 11 for i in range(n)]) for n in sizes], "n int, v array<int>")
+    for r in frame.select("n", "v", pii.scan(F.col("v"), F.lit(0), lambda a, x: a + x).alias("s"), pii.scan(F.col("v"), F.lit(0), F.greatest).alias("m")).collect():
+        assert r.s == list(itertools.accumulate(r.v)) and r.m == list(itertools.accumulate(r.v, max))
+
+
+def test_masking_of_overlapping_spans(spark):
+    rng = random.Random(5)
+    rows = []
+    for k in range(200):
+        text = "".join(rng.choice("abc é🙂\n") for _ in range(rng.choice([0, 5, 1023, 1024, 1025, 3000])))
+        spans = [(rng.randrange(4), s, min(s + rng.randint(1, 1500), len(text))) for s in (rng.randrange(max(len(text), 1)) for _ in range(rng.randrange(6))) if s < len(text)]
+        rows.append((k, text, spans))
+    frame = spark.createDataFrame(rows, "k int, text string, spans array<struct<kind:int,start:int,end:int>>")
+    for r in frame.select("k", pii.masked(F.col("text"), F.col("spans")).alias("m")).collect():
+        _, text, spans = rows[r.k]
+        parts, upto = [], 0
+        for s, minus_end, kind in sorted((s, -e, kind) for kind, s, e in spans):
+            if s >= upto:
+                parts += [text[upto:s], f"<{pii.KINDS[kind].upper()}>"]
+            upto = max(upto, -minus_end)
+        assert r.m == "".join(parts) + text[upto:]
+
+
 def test_votes_admit_likely_spans_only(spark):
     rows = [(i, f"please call +1 (40{i % 10}) 555-12{i % 100:02d} or mail a{i}@mail.com, card 4111111111111111 used") for i in range(60)]
     rows += [(100, "card 4111111111111112 used"), (101, "order 7777777777777777x9"), (102, "version 300.400.500.600")]
