@@ -22,7 +22,16 @@ def _define():
 
         return lambda batch: [checked(text) for text in batch]
 
-    return digest_model, picky_model
+    def token_model():
+        """Says the prompt again, then 1 to 32 hexadecimal digits, one by one."""
 
+        def tokens(text):
+            yield text
+            yield from answer(text)[:1 + len(text) % 32]
 
-digest_model, picky_model = _define()
+        return lambda batch: [tokens(text) for text in batch]
+
+    return digest_model, picky_model, token_model
+
+
+digest_model, picky_model, token_model = _define()

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 Model = Callable[[Sequence[str]], Sequence[str]]
+# For each prompt the tokens of its output as they are made.
+TokenModel = Callable[[Sequence[str]], Iterable[Iterable[str]]]
 
 
 def apply_model(
@@ -72,6 +74,67 @@ def apply_model(
     return df.withColumn(out, udf(F.col(prompt)))
 
 
+def apply_model_capped(
+    df: DataFrame, prompt: str, make_model: Callable[[], TokenModel], max_tokens: int, out: str = "output",
+    echoes: bool = False, per_call: int = 64,
+) -> DataFrame:
+    """Add a struct ``out`` (answer, cut, tokens, error): the first ``max_tokens``
+    tokens of the model's output put together, whether it had more, and how many
+    were taken.
+
+    The model gives tokens as it makes them, and is asked for one more than the
+    bound at most, so an output without an end ends there.  With ``echoes`` the
+    output begins with the prompt, which is taken off and not counted; it is an
+    error if it does not.  An empty or null prompt gives "" without a call.  A
+    failure becomes the error of its own row, the others of its call are asked
+    again; answer, cut and tokens are null there.
+    """
+    if max_tokens < 0:
+        raise ValueError("max_tokens must not be negative")
+    kind = "answer string, cut boolean, tokens int, error string"
+
+    def taken(text: str, tokens: Iterable[str]) -> tuple[str, bool, int, None]:
+        stream, first = iter(tokens), ""
+        if echoes:
+            while len(first) < len(text):
+                piece = next(stream, None)
+                if piece is None:
+                    break
+                first += piece
+            if not first.startswith(text):
+                raise ValueError("output does not begin with its prompt")
+            first = first[len(text):]
+        # What the echo's last token holds beyond the prompt is a token of the answer.
+        parts, cut = [first] if first else [], False
+        for piece in stream:
+            if len(parts) == max_tokens:
+                cut = True
+                break
+            parts.append(piece)
+        return "".join(parts[:max_tokens]), cut or len(parts) > max_tokens, min(len(parts), max_tokens), None
+
+    def call(model: TokenModel, prompts: list[str]) -> list[tuple]:
+        try:
+            outputs = iter(model(prompts))
+            return [taken(text, next(outputs)) for text in prompts]
+        except Exception as failure:
+            if len(prompts) == 1:
+                return [(None, None, None, str(failure) or type(failure).__name__)]
+            return [result for text in prompts for result in call(model, [text])]
+
+    def answers(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        model = make_model()
+        for batch in batches:
+            mask = batch.notna() & (batch != "")
+            prompts = batch[mask].tolist()
+            results = iter([row for i in range(0, len(prompts), per_call) for row in call(model, prompts[i:i + per_call])])
+            rows = [next(results) if has_prompt else ("", False, 0, None) for has_prompt in mask]
+            frame = pd.DataFrame(rows, columns=["answer", "cut", "tokens", "error"], index=batch.index, dtype=object)
+            yield frame.astype({"cut": "boolean", "tokens": "Int32"})
+
+    return df.withColumn(out, F.pandas_udf(answers, kind)(F.col(prompt)))
+
+
 def apply_model_once(
     df: DataFrame, prompt: str, make_model: Callable[[], Model], out: str = "output", per_call: int = 64,
 ) -> DataFrame:

@@ -3,7 +3,7 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
-from loomtext.operators.apply import apply_model
+from loomtext.operators.apply import apply_model, apply_model_capped
 from loomtext.operators.compare import pick_positions, run_arms, side_by_side
 from loomtext.plans import compare_arms, serve_requests
 
@@ -48,6 +48,46 @@ def test_apply(frame):
     assert [(r.id, r.p, r.output) for r in rows] == [(i, p, (p or "").upper()) for i, p in enumerate(PROMPTS)]
 
 
+def endless():
+    import itertools
+
+    def tokens(text):
+        if text == "bad":
+            raise ValueError("cannot")
+        yield from text[:1]
+        yield from text[1:] + "|"
+        yield from itertools.repeat("x") if text != "b" else ["y", "z"]
+
+    return lambda batch: [tokens(text) for text in batch]
+
+
+@pytest.mark.parametrize("cap", [0, 1, 2, 5])
+@pytest.mark.parametrize("per_call", [1, 3, 64])
+def test_capped_answers(frame, cap, per_call):
+    rows = apply_model_capped(frame.repartition(3), "p", endless, cap, echoes=True, per_call=per_call).orderBy("id").collect()
+    for row in rows:
+        if not row.p:
+            assert tuple(row.output) == ("", False, 0, None)
+        elif row.p == "bad":
+            assert tuple(row.output) == (None, None, None, "cannot")
+        else:
+            whole = "|yz" if row.p == "b" else "|" + "x" * 50
+            assert tuple(row.output) == (whole[:cap], len(whole) > cap, min(cap, len(whole)), None)
+
+
+def pieces():
+    return lambda batch: [["a", "nswer", " of ", text] for text in batch]
+
+
+def test_the_echo_may_share_a_token_with_the_answer(spark):
+    frame = spark.createDataFrame([("ans",), ("answer",), ("other",), ("answer of answer of ans and more",)], "p string")
+    got = {r.p: tuple(r.output) for r in apply_model_capped(frame, "p", pieces, 2, echoes=True).collect()}
+    assert got["ans"] == ("wer of ", True, 2, None) and got["answer"] == (" of answer", False, 2, None)
+    assert got["other"][3] and got["answer of answer of ans and more"][3]
+    got = {r.p: tuple(r.output) for r in apply_model_capped(frame, "p", pieces, 9).collect()}
+    assert got["ans"] == ("answer of ans", False, 4, None)
+
+
 def test_failure_ends_the_job(frame):
     with pytest.raises(Exception, match="cannot"):
         apply_model(frame, "p", picky).collect()
