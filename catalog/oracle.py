@@ -5,7 +5,7 @@ Only constants (bounds, word lists, prompt texts) are shared with the library.
 
 from __future__ import annotations
 
-from catalog.queries import ACCUMULATION, BATCH, HEAD, MARKERS, NUMERAL_CAP, ORIGINALS, SAMPLE, SEQUENCE_BOUNDS, WIDE_CHARS
+from catalog.queries import ACCUMULATION, BATCH, HEAD, MARKERS, MAX_TOKENS, NUMERAL_CAP, ORIGINALS, SAMPLE, SEQUENCE_BOUNDS, WIDE_CHARS
 from catalog.tables import LEXICON, SHOTS
 from loomtext import defaults as d
 
@@ -174,18 +174,25 @@ _corpus = f"text is not null and text <> '' and length(text) between {d.CORPUS_C
 REQUESTS = """
 requests as (
     select conv_id, turn, case when length(text) < 150 then 'ky2ru' else 'ru2ky' end as direction,
-           ' ' || chr(10) || ' ' || case when role = 'system' then '' else text || ' ' || chr(10) || ' ' end as text
+           ' ' || chr(10) || ' ' || text || ' ' || chr(10) || ' ' as text
     from conversations
+    union all
+    select conv_id, -1 - turn, case when length(text) < 150 then 'ky2ru' else 'ru2ky' end, ' ' || chr(10) || ' '
+    from conversations where role = 'system'
 )
 """
 
 LINES = f"""
-lines as (
-    select conv_id::varchar as session, turn as seq, {stripped('''
-        case when length(text) < 120 then ':ky' when length(text) < 250 then ':ru'
-             when length(text) > 1500 then ':q' when length(text) > 1400 then 'Exit' else text end''')} as line
+command as (
+    select conv_id::varchar as session, 2 * turn as seq,
+           case when (conv_id + turn) % 5 = 0 then ':ky' when (conv_id + turn) % 5 = 1 then ':ru'
+                when (conv_id + 3 * turn) % 23 = 0 then ':q' when (conv_id + 3 * turn) % 23 = 1 then 'Exit' end as line
     from conversations
 ),
+lines as (
+    select * from command where line is not null
+    union all select conv_id::varchar, 2 * turn + 1, {stripped('text')} from conversations
+),
 directed as (
     select *, coalesce(last_value(case line when ':ky' then 'ru2ky' when ':ru' then 'ky2ru' end ignore nulls)
         over (partition by session order by seq rows between unbounded preceding and 1 preceding), 'ky2ru') as direction
@@ -333,6 +340,9 @@ def registry() -> dict[str, str]:
         "ab_stored": f"""select doc_id, md5({GROUNDED}) as out_grounded, md5({CORRUPT}) as out_corrupt
             from documents where {_context}""",
         "apply_model_all": "select doc_id, md5(text) as output from documents",
+        "capped_answers": f"""select doc_id, case when coalesce(text, '') = '' then '' else substr(md5(text), 1, least(1 + length(text) % 32, {MAX_TOKENS})) end as answer,
+            coalesce(length(text) > 0 and 1 + length(text) % 32 > {MAX_TOKENS}, false) as cut,
+            case when coalesce(text, '') = '' then 0 else least(1 + length(text) % 32, {MAX_TOKENS}) end::int as tokens from documents""",
         "apply_model_errors": """select doc_id, case when contains(text, '|') then '' else md5(text) end as value,
             case when contains(text, '|') then 'bar in text' else '' end as error from documents""",
         "apply_model_dedup": "select doc_id, md5(text) as output from documents",

@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalog import tables as t
-from catalog.models import digest_model, picky_model
+from catalog.models import digest_model, picky_model, token_model
 from loomtext import plans
 from loomtext.defaults import CONTEXT_CHARS, SEED, TASK_SUMMARY_2_3
 from loomtext.operators import align, articles, compare, corpus, evaluate, lexicon, mixture, numerals, ordering, prompts, sessions
 from loomtext.operators import split as splits
-from loomtext.operators.apply import apply_model, apply_model_once
+from loomtext.operators.apply import apply_model, apply_model_capped, apply_model_once
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +27,7 @@ WIDE_CHARS = (10, 2000)
 MARKERS = "äöüß"
 SEQUENCE_BOUNDS = (256, 512, 1024)
 BATCH, ACCUMULATION = 2, 8
+MAX_TOKENS = 20
 
 
 def length_filter(spark, sf):
@@ -218,6 +219,11 @@ def apply_model_dedup(spark, sf):
     return apply_model_once(t.corpus(spark, sf), "text", digest_model).drop("text")
 
 
+def capped_answers(spark, sf):
+    answered = apply_model_capped(t.corpus(spark, sf), "text", token_model, MAX_TOKENS, echoes=True)
+    return answered.select("doc_id", "output.answer", "output.cut", "output.tokens")
+
+
 def ab_identical(spark, sf):
     return evaluate.identical_outputs(ab_stored(spark, sf), "out_grounded", "out_corrupt")
 
@@ -312,7 +318,7 @@ ALL: list[Query] = [
     session_direction, session_take_while, session_requests, serve_sessions, serve_chat,
     augment_mixture_all, apply_model_dedup, ab_identical, heldout_anti, contamination, copy_rate, fabricated_numbers, marker_language,
     length_profile, seq_overflow, step_budget, lexicon_coverage,
-    containment, ratio_profile, augmentation_report,
+    containment, ratio_profile, augmentation_report, capped_answers,
 ]
 
 

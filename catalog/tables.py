@@ -1,7 +1,8 @@
 """The library's inputs, derived from the test tables.
 
 Turn pairs are turns with the answer after them, and summaries come from
-documents of several lines; all other inputs use every row of their table.
+documents of several lines; all other inputs use every row of their table, and
+no text is cut or replaced.
 
 The twins of these frames in SQL are the named subqueries of ``oracle.py``.
 """
@@ -96,22 +97,24 @@ def summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every turn as a request, padded with spaces; system turns are blank."""
-    pad = F.lit(" \n ")
-    return table(spark, sf_dir, "conversations").select(
-        "conv_id", "turn",
-        F.when(F.length("text") < 150, "ky2ru").otherwise("ru2ky").alias("direction"),
-        F.when(F.col("role") == "system", pad).otherwise(F.concat(pad, "text", pad)).alias("text"),
+    """Every turn as a request, whole and padded with spaces; beside each system
+    turn stands a blank one, with a negative turn number."""
+    pad = F.lit(" \n ")
+    turns = table(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", F.when(F.length("text") < 150, "ky2ru").otherwise("ru2ky").alias("direction"), "role", F.concat(pad, "text", pad).alias("text"),
     )
+    asked = F.struct("turn", "text")
+    blank = F.struct((-1 - F.col("turn")).alias("turn"), pad.alias("text"))
+    both = F.when(F.col("role") == "system", F.array(asked, blank)).otherwise(F.array(asked))
+    return turns.select("conv_id", "direction", F.inline(both)).select("conv_id", "turn", "direction", "text")
 
 
 def session_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations as sessions: turns of certain lengths become commands."""
-    chars = F.length("text")
-    line = (
-        F.when(chars < 120, ":ky").when(chars < 250, ":ru").when(chars > 1500, ":q").when(chars > 1400, "Exit")
-        .otherwise(F.concat("text", F.lit("  ")))
-    )
-    return table(spark, sf_dir, "conversations").select(
-        F.col("conv_id").cast("string").alias("session"), F.col("turn").alias("seq"), line.alias("line")
-    )
+    """Conversations as sessions: every whole turn is a line, and before some of
+    them stands a command that their numbers decide."""
+    fifth, rare = F.pmod(F.col("conv_id") + F.col("turn"), F.lit(5)), F.pmod(F.col("conv_id") + 3 * F.col("turn"), F.lit(23))
+    command = F.when(fifth == 0, ":ky").when(fifth == 1, ":ru").when(rare == 0, ":q").when(rare == 1, "Exit")
+    line = F.struct((2 * F.col("turn") + 1).alias("seq"), F.concat("text", F.lit("  ")).alias("line"))
+    before = F.struct((2 * F.col("turn")).alias("seq"), command.alias("line"))
+    both = F.when(command.isNotNull(), F.array(before, line)).otherwise(F.array(line))
+    return table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("session"), F.inline(both))

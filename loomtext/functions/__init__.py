@@ -8,6 +8,7 @@ from loomtext.functions.text import (
     required,
     fill,
     strip,
+    text_array,
     within,
 )
 
@@ -22,5 +23,6 @@ __all__ = [
     "required",
     "shuffle_rank",
     "strip",
+    "text_array",
     "within",
 ]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,14 @@ def _col(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def text_array(values: Sequence[str]) -> Column:
+    """A constant array of strings, as one literal however many there are."""
+    values = list(values)
+    if not values or any("\0" in value for value in values):
+        return F.lit(values) if values else F.array().cast("array<string>")
+    return F.split(F.lit("\0".join(values)), "\0", -1)
+
+
 def required(column: Column | str, name: str) -> Column:
     """The column itself; the job fails on the first null instead of hiding it."""
     return F.coalesce(_col(column), F.raise_error(F.lit(f"null in required column {name}")).cast("string"))

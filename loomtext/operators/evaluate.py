@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from loomtext.functions import within
+from loomtext.operators.lexicon import lexicon_rows
 from loomtext.session import stored_aside
 
 _GRAM_WORDS = 5
@@ -94,13 +95,17 @@ def _gram_hits(corpus: DataFrame, doc: str, tokens: Column, known: DataFrame, si
     """
     scalar, bits = _item_filter(known, "hash")
     split = corpus.select(F.col(doc).alias("doc"), tokens.alias("w"))
+    # One row a word, made and tested within one generated loop: no arrays of grams.
+    at = split.select("doc", "w", F.posexplode("w").alias("at", "word"))
 
-    def placed(n: int) -> Column:
-        return F.transform(gram_hashes(F.col("w"), n), lambda h, i: F.struct(F.lit(n).alias("n"), h.alias("hash"), i.alias("at")))
+    def found(n: int) -> Column:
+        h = F.xxhash64("word", *[F.get("w", F.col("at") + k) for k in range(1, n)])
+        return F.when((F.col("at") <= F.size("w") - n) & might_hold(scalar, h, bits), F.struct(F.lit(n).alias("n"), h.alias("hash")))
 
-    hits = split.select("doc", "w", F.explode(F.concat(*map(placed, sizes))).alias("hit")).where(might_hold(scalar, F.col("hit.hash"), bits))
-    lead = F.least("hit.at", F.lit(reach))
-    around = F.slice("w", F.col("hit.at") - lead + 1, lead + max(reach, max(sizes)))
+    some = at.where(reduce(lambda a, b: a | b, [found(n).isNotNull() for n in sizes]))
+    hits = some.select("doc", "w", "at", F.explode(F.array_compact(F.array(*map(found, sizes)))).alias("hit"))
+    lead = F.least("at", F.lit(reach))
+    around = F.slice("w", F.col("at") - lead + 1, lead + max(reach, max(sizes)))
     return stored_aside(hits.select("doc", "hit.n", "hit.hash", around.alias("around"), lead.alias("lead")))
 
 
@@ -296,13 +301,14 @@ def step_budget(examples: DataFrame, batch: int, accumulation: int, epochs: int
 
 def lexicon_coverage(pairs: DataFrame, lexicon: Sequence[tuple[str, str]]) -> DataFrame:
     """(ord, n_ru, n_ky, n_both) for every lexicon row: pairs that hold its form
-    on either side and on both."""
-    sums = []
-    for i, (source, target) in enumerate(lexicon, 1):
-        one, two = F.contains("ru", F.lit(source)), F.contains("ky", F.lit(target))
-        sums += [F.count_if(one).alias(f"ru_{i}"), F.count_if(two).alias(f"ky_{i}"), F.count_if(one & two).alias(f"both_{i}")]
-    rows = [
-        F.struct(F.lit(i).alias("ord"), F.col(f"ru_{i}").alias("n_ru"), F.col(f"ky_{i}").alias("n_ky"), F.col(f"both_{i}").alias("n_both"))
-        for i in range(1, len(lexicon) + 1)
-    ]
-    return pairs.agg(*sums).select(F.inline(F.array(*rows)))
+    on either side and on both.  The plan does not grow with the lexicon."""
+    held = F.transform(lexicon_rows(lexicon), lambda row: F.struct(
+        row.ord.alias("ord"), F.contains("ru", row.lr).alias("one"), F.contains("ky", row.lk).alias("two")
+    ))
+    found = pairs.select(F.inline(F.filter(held, lambda row: row.one | row.two)))
+    counts = found.groupBy("ord").agg(
+        F.count_if("one").alias("n_ru"), F.count_if("two").alias("n_ky"), F.count_if(F.col("one") & F.col("two")).alias("n_both")
+    )
+    every = pairs.sparkSession.range(1, len(lexicon) + 1).select(F.col("id").cast("int").alias("ord"))
+    zeros = [F.coalesce(name, F.lit(0)).alias(name) for name in ("n_ru", "n_ky", "n_both")]
+    return every.join(counts, "ord", "left").select("ord", *zeros)

@@ -2,12 +2,14 @@
 
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from loomtext.defaults import FRACTIONS, NUMERAL_DIGITS, NUMERALS
+from loomtext.operators import evaluate
 from loomtext.operators.lexicon import mine, substitute
 from loomtext.operators.mixture import mixture_report, weighted_union
 from loomtext.operators.numerals import candidates, variants
@@ -108,6 +110,20 @@ def test_random_numerals(spark):
     assert got == sorted(wanted_candidates(pairs)) and got
 
 
+def test_a_long_lexicon_plans_fast_and_agrees(spark):
+    """Ten thousand rows, of which the texts hold those of the short form only."""
+    long = [(f"нет{i}", f"жок{i}") for i in range(5000)] + list(FRACTIONS) + [(f"ещё{i}", f"дагы{i}") for i in range(5000)]
+    frame = pair_frame(spark, PAIRS)
+    begin = time.perf_counter()
+    mined, coverage = mine(frame, long), evaluate.lexicon_coverage(frame, long)
+    mined._jdf.queryExecution().executedPlan(), coverage._jdf.queryExecution().executedPlan()
+    assert time.perf_counter() - begin < 5
+    assert sorted(map(tuple, mined.collect())) == sorted(map(tuple, mine(frame, FRACTIONS).collect()))
+    short = {r.ord: tuple(r)[1:] for r in evaluate.lexicon_coverage(frame, FRACTIONS).collect()}
+    got = {r.ord: tuple(r)[1:] for r in coverage.collect()}
+    assert len(got) == len(long) and {k - 5000: v for k, v in got.items() if any(v)} == {k: v for k, v in short.items() if any(v)}
+
+
 def test_weighted_union(spark):
     a, b = spark.range(3), spark.range(10, 12)
     mixed = weighted_union({"a": (a, 20), "b": (b, 1), "none": (b, 0)})

@@ -6,7 +6,7 @@ from catalog.queries import registry
 
 QUERIES = registry()
 WITH_MODEL = {"ab_outputs", "ab_picked", "apply_model_all", "apply_model_errors", "serve_requests", "serve_sessions",
-              "serve_chat", "apply_model_dedup"}
+              "serve_chat", "apply_model_dedup", "capped_answers"}
 # One task sees the histogram, the counters of a report, the words of a filter, or the rows of a small head only.
 ONE_TASK = {"cpt_corpus_head", "sample_n", "numeral_augment", "augment_mixture", "mixture_report", "heldout_pick",
             "heldout_all", "ab_picked", "align_report", "ab_identical", "seq_overflow", "step_budget", "lexicon_coverage",
