@@ -1,6 +1,7 @@
 """Sessions as they arrive: the direction and the stop are kept as state.
 
-Needs the RocksDB state store (``SETTINGS`` below on the session).
+Needs the RocksDB state store (``SETTINGS`` below on the session).  State is
+kept for good unless ``keep_seconds`` says how long after its last change.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from loomtext.defaults import COMMANDS, START_DIRECTION, TRANSLATOR_STOPS
+from loomtext.defaults import CHAT_STOPS, COMMANDS, START_DIRECTION, TRANSLATOR_STOPS
 from loomtext.functions import strip
 from loomtext.sources.schemas import SESSION_LINE
 
@@ -36,20 +37,71 @@ def read_line_stream(spark: SparkSession, path: str, bytes_per_batch: int = 1 <<
     )
 
 
+def _stateful(lines: DataFrame, processor: StatefulProcessor, schema: str, keep_seconds: float | None) -> DataFrame:
+    # A time to live needs processing time; without one no timer work is done.
+    return lines.withColumn("line", strip(F.col("line"))).groupBy("session").transformWithStateInPandas(
+        statefulProcessor=processor, outputStructType=schema, outputMode="Append",
+        timeMode="None" if keep_seconds is None else "ProcessingTime",
+    )
+
+
+def stream_take_while(
+    lines: DataFrame, stops: Sequence[str] = CHAT_STOPS, stop_at_blank: bool = True, ignore_case: bool = True,
+    keep_seconds: float | None = None,
+) -> DataFrame:
+    """Streaming twin of ``take_while``: the lines (session, seq, line) of each
+    session before its first stop line, stripped.
+
+    Only stopped sessions have state, one boolean; after ``keep_seconds`` it goes
+    and further lines of the name begin a new session.  Lines of one batch are
+    taken by seq; between batches the order of arrival rules.
+    """
+    stop_lines, ttl = list(stops), None if keep_seconds is None else int(1000 * keep_seconds)
+
+    class Chat(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.stopped = handle.getValueState("stopped", "stopped boolean", ttl)
+
+        def handleInputRows(
+            self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any
+        ) -> Iterator[pd.DataFrame]:
+            if self.stopped.exists():
+                return
+            frames = list(rows)
+            ends = []
+            for frame in frames:
+                line = frame["line"].str.lower() if ignore_case else frame["line"]
+                stop = line.isin(stop_lines) | ((line == "") if stop_at_blank else False)
+                ends += [frame.loc[stop, "seq"].min()] if stop.any() else []
+            if ends:
+                self.stopped.update((True,))
+            for frame in frames:
+                before = frame[frame["seq"] < min(ends)] if ends else frame
+                if len(before):
+                    yield before[["session", "seq", "line"]]
+
+        def close(self) -> None:
+            pass
+
+    return _stateful(lines, Chat(), "session string, seq bigint, line string", keep_seconds)
+
+
 def stream_requests(
     lines: DataFrame, stops: Sequence[str] = TRANSLATOR_STOPS, commands: Mapping[str, str] = COMMANDS,
-    start: str = START_DIRECTION,
+    start: str = START_DIRECTION, keep_seconds: float | None = None,
 ) -> DataFrame:
     """Streaming twin of ``translator_requests``: (session, seq, line, direction).
 
-    Lines of one batch are taken by seq; between batches the order of arrival rules.
+    Lines of one batch are taken by seq; between batches the order of arrival
+    rules.  A session that was silent for ``keep_seconds`` begins anew.
     """
     stop_lines, targets = list(stops), dict(commands)
+    ttl = None if keep_seconds is None else int(1000 * keep_seconds)
     marked = [*stop_lines, *targets]
 
     class Session(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
-            self.state = handle.getValueState("session", "direction string, stopped boolean")
+            self.state = handle.getValueState("session", "direction string, stopped boolean", ttl)
 
         def handleInputRows(
             self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any
@@ -76,10 +128,4 @@ def stream_requests(
         def close(self) -> None:
             pass
 
-    stripped = lines.withColumn("line", strip(F.col("line")))
-    return stripped.groupBy("session").transformWithStateInPandas(
-        statefulProcessor=Session(),
-        outputStructType="session string, seq bigint, line string, direction string",
-        outputMode="Append",
-        timeMode="None",
-    )
+    return _stateful(lines, Session(), "session string, seq bigint, line string, direction string", keep_seconds)

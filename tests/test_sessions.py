@@ -3,13 +3,14 @@
 import json
 import os
 import random
+import time
 
 import pytest
 
 from loomtext.defaults import COMMANDS
 from loomtext.operators.sessions import directions, take_while, translator_requests
 from loomtext.plans import serve_requests, serve_sessions
-from loomtext.streaming import read_line_stream, read_request_stream, start_stream, stream_requests
+from loomtext.streaming import read_line_stream, read_request_stream, start_stream, stream_requests, stream_take_while
 
 EDGES = {
     "before any command": ["один", ":ky", "два"],
@@ -125,6 +126,43 @@ def test_stream_equals_batch(spark, tmp_path, sessions, files, bytes_per_batch):
     assert sorted(map(tuple, got)) == sorted((s, *r) for s, lines in sessions.items() for r in loop(lines, (":q",)))
 
 
+@SETS
+@pytest.mark.parametrize("files,bytes_per_batch", [(1, 1 << 30), (4, 1)], ids=["one batch", "many batches"])
+def test_chat_stream_equals_batch(spark, tmp_path, sessions, files, bytes_per_batch):
+    rows = sorted(rows_of(sessions), key=lambda r: r[1])
+    size = -(-len(rows) // files)
+    cut = [rows[i:i + size] for i in range(0, len(rows), size)]
+    random.Random(0).shuffle(cut[0])
+    write_lines(tmp_path / "in", [[dict(zip(("session", "seq", "line"), r)) for r in batch] for batch in cut])
+    for i, path in enumerate(sorted((tmp_path / "in").iterdir())):
+        os.utime(path, (1_700_000_000 + i, 1_700_000_000 + i))
+    taken = stream_take_while(read_line_stream(spark, str(tmp_path / "in"), bytes_per_batch), keep_seconds=3600)
+    query = start_stream(taken, str(tmp_path / "out"), "chat", str(tmp_path / "cp"), once=True)
+    assert query.awaitTermination(300) and query.exception() is None
+    got = spark.read.parquet(str(tmp_path / "out")).select("session", "seq", "line").collect()
+    wanted = take_while(frame_of(spark, sessions)).select("session", "seq", "line").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, wanted)) and wanted
+
+
+def test_stopped_chats_are_forgotten_in_time(spark, tmp_path):
+    def run(name, rows, keep):
+        text = "".join(json.dumps(dict(zip(("session", "seq", "line"), r))) + "\n" for r in rows)
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / "in" / name).write_text(text, encoding="utf-8")
+        taken = stream_take_while(read_line_stream(spark, str(tmp_path / "in")), keep_seconds=keep)
+        query = start_stream(taken, str(tmp_path / "out"), "chat", str(tmp_path / "cp"), once=True)
+        assert query.awaitTermination(300) and query.exception() is None
+        got = spark.read.parquet(str(tmp_path / "out")).select("session", "seq").collect()
+        return sorted(map(tuple, got)), query.lastProgress["stateOperators"][0]["numRowsTotal"]
+
+    first = [("a", 0, "x"), ("a", 1, "exit"), ("b", 0, "y")]
+    assert run("1.json", first, 20.0) == ([("a", 0), ("b", 0)], 1)  # b goes on: no state
+    assert run("2.json", [("a", 2, "still out"), ("b", 1, "z")], 20.0) == ([("a", 0), ("b", 0), ("b", 1)], 1)
+    time.sleep(21)
+    seen, state = run("3.json", [("a", 3, "again"), ("b", 2, "z")], 20.0)
+    assert seen == [("a", 0), ("a", 3), ("b", 0), ("b", 1), ("b", 2)] and state == 0
+
+
 def test_request_stream_equals_batch(spark, tmp_path):
     rows = [{"id": i, "direction": ("ky2ru", "ru2ky")[i % 2], "text": [f" сөз {i}", " ", None][i % 3]} for i in range(60)]
     write_lines(tmp_path / "in", [rows[:20], rows[20:40]])
