@@ -1,15 +1,18 @@
-"""Rolling hashes over the words of many texts at once, on their UTF-8 bytes."""
+"""Hashes of the words of many texts at once, on their UTF-8 bytes, and rolling
+hashes over these."""
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 
-# Odd multipliers of the two rolling hashes (bytes of a word, words of a window).
-BYTE_BASE = 0xD6E8FEB86659FD93
+# Words up to so many bytes are hashed eight bytes at a time, longer ones by a cryptographic hash.
+SHORT_BYTES = 64
+# Odd multiplier of the rolling hash over the words of a window.
 WORD_BASE = 0xA3B195354A39B70D
 _MASK = (1 << 64) - 1
 _BLANKS = np.zeros(256, dtype=bool)
@@ -51,6 +54,36 @@ def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, powers
     return mixed((prefix[ends] - prefix[starts]) * powers.down[starts])
 
 
+def byte_groups(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, group: int, window: np.ndarray | None = None) -> np.ndarray:
+    """Bytes 8 x ``group`` and on of words that have them, as one number each;
+    bytes beyond a word's end are zero."""
+    window = padded_window(data) if window is None else window
+    unused = 8 * np.maximum(8 * (group + 1) - lengths, 0).astype(np.uint64)
+    return window[starts + 8 * group] << unused >> unused
+
+
+def padded_window(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from every byte on, as one number; zeros follow the end."""
+    padded = np.concatenate((data, np.zeros(8, dtype=np.uint8)))
+    return np.ndarray((data.size + 1,), dtype="<u8", buffer=padded.data, strides=(1,))
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of every word.  Each group of bytes is mixed before the next
+    is added, so no pattern of bytes cancels out."""
+    lengths = ends - starts
+    hashes = mixed(lengths.astype(np.uint64))
+    window = padded_window(data)
+    upto = int(min(lengths.max(initial=0), SHORT_BYTES))
+    for group in range(-(-upto // 8)):
+        own = np.flatnonzero((lengths > 8 * group) & (lengths <= SHORT_BYTES)) if group else np.flatnonzero(lengths <= SHORT_BYTES)
+        hashes[own] = mixed(hashes[own] ^ byte_groups(data, starts[own], lengths[own], group, window))
+    for long in np.flatnonzero(lengths > SHORT_BYTES):
+        digest = hashlib.blake2b(data[starts[long]:ends[long]].tobytes(), digest_size=8).digest()
+        hashes[long] = int.from_bytes(digest, "little")
+    return hashes
+
+
 @dataclass
 class WordBlock:
     """Consecutive rows as word hashes: row r owns words[bounds[r]:bounds[r + 1]]."""
@@ -77,7 +110,7 @@ class WordHasher:
 
     def __init__(self, block_bytes: int = 1 << 21, lower: bool = False):
         self.block_bytes, self.lower = block_bytes, lower  # lower: A-Z only
-        self.byte_powers, self.word_powers = Powers(BYTE_BASE), Powers(WORD_BASE)
+        self.word_powers = Powers(WORD_BASE)
 
     def blocks(self, texts: pa.Array) -> Iterator[WordBlock]:
         texts = texts.cast(pa.large_string()).fill_null("")
@@ -102,8 +135,7 @@ class WordHasher:
         after[:-1] = inside
         after[offsets] = False
         ends = np.flatnonzero(inside & ~after[1:]) + 1
-        hashes = span_hashes(data.astype(np.uint64) + np.uint64(1), starts, ends, self.byte_powers)
-        return WordBlock(first_row, hashes, np.searchsorted(starts, offsets))
+        return WordBlock(first_row, word_hashes(data, starts, ends), np.searchsorted(starts, offsets))
 
     def window_hashes(self, block: WordBlock, starts: np.ndarray, size: int) -> np.ndarray:
         return span_hashes(block.hashes, starts, starts + size, self.word_powers)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtext.llm.hashing import HashIndex, mixed
+from loomtext.llm.hashing import HashIndex, byte_groups, mixed, padded_window
 
 BLOCK_BYTES = 1 << 21  # of whole texts handled together
 CHUNKS = 3  # words are compared as chunks of 8 bytes; longer words are in no template
@@ -66,13 +66,10 @@ _LOWER[ord("A"):ord("Z") + 1] += 32
 def _chunks(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The first bytes of every word as numbers of 8 bytes.  No word holds a zero
     byte, so words that fit are equal if and only if their numbers are."""
-    padded = np.concatenate((data, np.zeros(8 * CHUNKS, dtype=np.uint8)))
-    window = np.ndarray((data.size + 8 * CHUNKS - 7,), dtype="<u8", buffer=padded.data, strides=(1,))
-    result = np.zeros((starts.size, CHUNKS), dtype=np.uint64)
+    window, result = padded_window(data), np.zeros((starts.size, CHUNKS), dtype=np.uint64)
     for chunk in range(CHUNKS):
         long = np.flatnonzero(lengths > 8 * chunk)
-        unused = 8 * np.maximum(8 * (chunk + 1) - lengths[long], 0).astype(np.uint64)
-        result[long, chunk] = window[starts[long] + 8 * chunk] << unused >> unused
+        result[long, chunk] = byte_groups(data, starts[long], lengths[long], chunk, window)
     return result
 
 
