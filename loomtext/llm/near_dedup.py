@@ -16,12 +16,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomtext.llm.hashing import WordHasher, mixed, span_hashes
-from loomtext.llm.spark_tools import checkpointed, components
+from loomtext.llm.spark_tools import checkpointed, components, skew_join
 
 SHINGLE = 5
 SIDE_KEYS = 10  # keys in each collection
 KEY_MINHASHES = 2  # minhashes in a key
 SMALL_BUCKET = 16
+ROUNDS = 4
 BLOCK_SHINGLES = 1 << 18  # about so many shingles in a block of documents that are compared with another
 
 
@@ -88,45 +89,49 @@ def signatures(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return source.mapInArrow(signed, "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, keys array<bigint>")
 
 
-def candidate_pairs(classes: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b, star) of classes that meet in a table, from (id,
-    keys); with ``star``, b is the centre of a large bucket.
+def shared_tables(classes: DataFrame) -> DataFrame:
+    """(key, id, size, n, centre, centre_size): the tables in which a class meets
+    others, of n classes in all, from (id, size, keys).
 
     First each of the 2 x 10 keys is counted on its own: a table key can only be
     shared if both its halves are, so the 100 combinations are formed of shared
-    halves alone.  Classes of a small bucket all meet.  In a large one all meet
-    its centre, the member whose halves are shared most often: copies of one
-    text agree less among themselves than with the text they come from.  The
-    other pairs of a large bucket are left to ``family_links``.
+    halves alone.  The centre of a table is the member whose halves are shared
+    most often: copies of one text agree less among themselves than with the
+    text they come from.
     """
-    halves = classes.select("id", F.posexplode("keys").alias("side", "half"))
-    shared = halves.groupBy("side", "half").agg(F.count("*").alias("n")).where("n > 1")
-    sides = halves.join(shared, ["side", "half"]).groupBy("id").agg(
+    halves = classes.select("id", "size", F.posexplode("keys").alias("side", "half")).select("id", "size", "side", F.xxhash64("side", "half").alias("half"))
+    shared = halves.groupBy("half").agg(F.count("*").alias("n")).where("n > 1")
+    sides = skew_join(halves, shared, "half").groupBy("id", "size").agg(
         F.collect_list(F.struct("side", "half")).alias("halves"), F.sum("n").alias("weight")
     )
 
     def side_of(first: bool) -> Column:
         return F.filter("halves", lambda h: (h.side < SIDE_KEYS) if first else (h.side >= SIDE_KEYS))
 
-    tables = sides.select("id", "weight", F.explode(side_of(True)).alias("x"), side_of(False).alias("ys")).select(
-        "id", "weight", "x", F.explode("ys").alias("y")
-    ).select("id", "weight", F.xxhash64("x.side", "x.half", "y.side", "y.half").alias("key"))
+    tables = sides.select("id", "size", "weight", F.explode(side_of(True)).alias("x"), side_of(False).alias("ys")).select(
+        "id", "size", "weight", "x", F.explode("ys").alias("y")
+    ).select("id", "size", "weight", F.xxhash64("x.half", "y.half").alias("key"))
     tables = checkpointed(tables)
     buckets = tables.groupBy("key").agg(
-        F.count("*").alias("n"), F.max(F.struct("weight", F.xxhash64("key", "id").alias("turn"), "id")).alias("top")
-    ).where("n > 1").select("key", "n", F.col("top.id").alias("centre"))
-    met = tables.join(buckets, "key").select("key", "id", "n", "centre")
-    large = met.where((F.col("n") > SMALL_BUCKET) & (F.col("id") != F.col("centre"))).select(
-        F.col("id").alias("a"), F.col("centre").alias("b"), F.lit(True).alias("star")
-    )
-    small = met.where(F.col("n") <= SMALL_BUCKET).groupBy("key").agg(F.collect_list("id").alias("ids"))
-    pairs = small.select("ids", F.explode("ids").alias("a")).select("a", F.explode(F.filter("ids", lambda other: other > F.col("a"))).alias("b"), F.lit(False).alias("star"))
-    return large.union(pairs).distinct()
+        F.count("*").alias("n"), F.max(F.struct("weight", F.xxhash64("key", "id").alias("turn"), "id", "size")).alias("top")
+    ).where("n > 1").select("key", "n", F.col("top.id").alias("centre"), F.col("top.size").alias("centre_size"))
+    return checkpointed(skew_join(tables, buckets, "key").select("key", "id", "size", "n", "centre", "centre_size"))
+
+
+def _may_link(one: str, two: str, percent: int) -> Column:
+    """Sets of too different sizes cannot be similar enough."""
+    return 100 * F.least(one, two) >= percent * F.greatest(one, two)
 
 
-def shingle_lists(docs: DataFrame, pairs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(id, set): the full sorted sets of all documents that some pair names."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+def star_pairs(met: DataFrame, percent: int) -> DataFrame:
+    """(a, b, shared): each class with every centre it meets, and in how many
+    tables; at most 100 narrow rows a class, of which few are ever compared."""
+    apart = met.where((F.col("id") != F.col("centre")) & _may_link("size", "centre_size", percent))
+    return apart.groupBy(F.col("id").alias("a"), F.col("centre").alias("b")).agg(F.count("*").alias("shared"))
+
+
+def shingle_lists(docs: DataFrame, needed: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(id, set): the full sorted sets of all documents of ``needed`` (id)."""
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher(lower=True)
@@ -144,48 +149,106 @@ def shingle_lists(docs: DataFrame, pairs: DataFrame, doc_id: str, text: str) ->
 
 
 def compared(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """(a, b, star, share, linked) of every pair, from the full sets."""
+    """(a, b, share, linked) of every pair, from the full sets.  A set goes with
+    a pair in one exchange only; the other side's is joined where it arrives."""
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             shares, linked = [], []
-            for left, right in zip(batch.column(3), batch.column(4), strict=True):
+            for left, right in zip(batch.column(2), batch.column(3), strict=True):
                 one, two = (np.frombuffer(side.as_buffer(), dtype=np.uint64) for side in (left, right))
                 common = np.intersect1d(one, two, assume_unique=True).size
                 union = one.size + two.size - common
                 shares.append(common / max(union, 1))
                 linked.append(100 * common >= percent * union)
-            columns = [*batch.columns[:3], pa.array(shares, pa.float64()), pa.array(linked, pa.bool_())]
-            yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "star", "share", "linked"])
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:2], pa.array(shares, pa.float64()), pa.array(linked, pa.bool_())], names=["a", "b", "share", "linked"]
+            )
 
-    one = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
+    one = pairs.select("a", "b").join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
     both = one.join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
-    return both.select("a", "b", "star", "set_a", "set_b").mapInArrow(measured, "a bigint, b bigint, star boolean, share double, linked boolean")
+    return both.select("a", "b", "set_a", "set_b").mapInArrow(measured, "a bigint, b bigint, share double, linked boolean")
+
+
+def _labelled(rows: DataFrame, reached: DataFrame, column: str, label: str) -> DataFrame:
+    """Rows with the component of the class named in ``column``."""
+    known = reached.select(F.col("id").alias(column), F.col("component").alias("_found"))
+    return rows.join(known, column, "left").withColumn(label, F.coalesce("_found", column)).drop("_found")
+
+
+def _apart(pairs: DataFrame, reached: DataFrame) -> DataFrame:
+    """The pairs whose ends are not in one component yet."""
+    return _labelled(_labelled(pairs, reached, "a", "x"), reached, "b", "y").where("x <> y").drop("x", "y")
+
+
+def _absorbed(reached: DataFrame, links: DataFrame) -> DataFrame:
+    """The components ``reached`` (id, component) with more links (a, b) between
+    them.  Only links between different components are looked at."""
+    across = _labelled(_labelled(links, reached, "a", "x"), reached, "b", "y").where("x <> y")
+    joined = components(across.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    known = reached.union(joined.select("id", F.col("id").alias("component"))).distinct()
+    return checkpointed(_labelled(known.withColumnRenamed("component", "old"), joined, "old", "component").select("id", "component"))
 
 
-def links(docs: DataFrame, pairs: DataFrame, doc_id: str, text: str, percent: int) -> DataFrame:
-    """(a, b): confirmed pairs with the same components as all links among the
-    pairs that meet in a table.
+def linked_components(docs: DataFrame, met: DataFrame, doc_id: str, text: str, percent: int) -> DataFrame:
+    """(id, component) of the classes that have links: the components of all
+    links among the pairs that meet in a table.
 
-    Copies of one text agree less among themselves than with that text, and a
-    centre may be such a copy.  So what fails to link with a centre is compared
-    with the nearest of the documents that did: of many copies, the nearest to
-    any is the text they come from.  What is still apart then is compared with
-    everything it meets (``family_links``).
+    In rounds, every class is compared with one centre only, the one it shares
+    most tables with; pairs whose ends have met by then are never compared.  The
+    second round takes, for what missed its first centre, the nearest of the
+    classes that did link with it: of many copies, the nearest to any is the
+    text they come from.  After the rounds all centres that are left are
+    compared, and then whatever else meets in a table and is still apart: the
+    members of small tables one by one, those of large ones in blocks.
     """
-    sets = shingle_lists(docs, pairs, doc_id, text)
-    first = checkpointed(compared(sets, pairs, percent))
-    nearest = first.where("star AND linked").groupBy("b").agg(F.max(F.struct("share", (-F.col("a")).alias("minus"))).alias("top"))
-    again = first.where("star AND NOT linked").select("a", F.col("b").alias("centre")).join(
-        nearest.select(F.col("b").alias("centre"), (-F.col("top.minus")).alias("b")), "centre"
-    ).where("a <> b").select("a", "b", F.lit(False).alias("star")).distinct()
-    second = compared(sets, again, percent)
-    found = first.where("linked").select("a", "b").union(second.where("linked").select("a", "b"))
-    if first.where("star AND NOT linked").isEmpty():
-        return found
-    found = checkpointed(found)
-    rest = family_links(sets, first.where("star").select("a", "b"), components(found), percent)
-    return found if rest is None else found.union(rest)
+    sets = shingle_lists(docs, met.select("id").distinct(), doc_id, text)
+    left = checkpointed(star_pairs(met, percent))
+    picks = _best(left)
+    reached = None
+    for turn in range(ROUNDS):
+        picks = checkpointed(picks)
+        seen = checkpointed(compared(sets, picks, percent))
+        linked = seen.where("linked").select("a", "b")
+        reached = components(linked) if reached is None else _absorbed(reached, linked)
+        left = checkpointed(_apart(left.join(picks, ["a", "b"], "left_anti"), reached))
+        if turn == 0:
+            nearest = seen.where("linked").groupBy("b").agg(F.max(F.struct("share", (-F.col("a")).alias("minus"))).alias("top"))
+            picks = seen.where("NOT linked").select("a", F.col("b").alias("centre")).join(
+                nearest.select(F.col("b").alias("centre"), (-F.col("top.minus")).alias("b")), "centre"
+            ).select("a", "b").distinct()
+        elif left.isEmpty():
+            break
+        else:
+            picks = _best(left) if turn < ROUNDS - 2 else left.select("a", "b")
+    return _rest(sets, met, reached, percent)
+
+
+def _best(left: DataFrame) -> DataFrame:
+    """Of the pairs of every class, the one that shares most tables."""
+    return left.groupBy("a").agg(F.max(F.struct("shared", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
+
+
+def _rest(sets: DataFrame, met: DataFrame, reached: DataFrame, percent: int) -> DataFrame:
+    """``reached`` with the links of classes that meet in a table of which
+    neither is the centre, and that are still of different components."""
+    # A table of two has no pair besides that of its centre.
+    named = _labelled(met.where("n > 2").select("key", "id", "size", "n", "centre"), reached, "id", "own")
+    mixed = named.groupBy("key").agg(F.min("own").alias("low"), F.max("own").alias("high")).where("low < high").select("key")
+    several = checkpointed(skew_join(named, mixed, "key"))
+    if several.isEmpty():
+        return reached
+    small = several.where(F.col("n") <= SMALL_BUCKET).groupBy("key").agg(F.collect_list(F.struct("id", "size", "own")).alias("members"))
+    others = small.select("members", F.explode("members").alias("m")).select("m", F.explode(F.filter(
+        "members", lambda o: (o.id > F.col("m.id")) & (o.own != F.col("m.own")) & (
+            100 * F.least(o.size, F.col("m.size")) >= percent * F.greatest(o.size, F.col("m.size"))
+        )
+    )).alias("o")).select(F.col("m.id").alias("a"), F.col("o.id").alias("b")).distinct()
+    reached = _absorbed(reached, checkpointed(compared(sets, others, percent)).where("linked"))
+    stars = several.where((F.col("n") > SMALL_BUCKET) & (F.col("id") != F.col("centre")))
+    stars = checkpointed(stars.select(F.col("id").alias("a"), F.col("centre").alias("b")).distinct())
+    found = None if stars.isEmpty() else family_links(sets, stars, reached, percent)
+    return reached if found is None else _absorbed(reached, found)
 
 
 def block_links(percent: int):
@@ -285,12 +348,16 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     signed = checkpointed(signatures(docs, doc_id, text))
     classed = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = checkpointed(classed.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("id"), F.min("keys").alias("keys")))
-    pairs = checkpointed(candidate_pairs(classes.select("id", "keys")))
-    reached = components(links(docs, pairs, doc_id, text, percent))
+    classes = checkpointed(classed.groupBy("set_a", "set_b").agg(
+        F.min("doc_id").alias("id"), F.min("keys").alias("keys"), F.min("n_shingles").alias("size")
+    ))
+    met = shared_tables(classes.select("id", "size", "keys"))
+    reached = linked_components(docs, met, doc_id, text, percent)
     of_class = classes.select("set_a", "set_b", "id").join(reached, "id", "left").select(
         "set_a", "set_b", F.coalesce("component", "id").alias("component_id")
     )
-    rows = classed.join(of_class, ["set_a", "set_b"]).select("doc_id", "n_shingles", "component_id")
+    # Thousands of copies share one set: both sides get an exchange of their own, whose hot keys can be split.
+    same = F.concat_ws(":", F.col("set_a").cast("string"), F.col("set_b").cast("string"))
+    rows = classed.withColumn("same", same).join(of_class.select(same.alias("same"), "component_id"), "same").select("doc_id", "n_shingles", "component_id")
     alone = signed.where("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return rows.union(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

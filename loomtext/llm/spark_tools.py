@@ -2,37 +2,39 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomtext.session import shared_folder, stored_aside
+
 LOCAL_EDGES = 20_000  # up to so many directed edges, components are found on the driver
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """The frame written to the shared checkpoint folder and read from there.
-
-    The cluster names that folder in ``spark.checkpoint.dir``; only where it is
-    unset, as in a local session, a temporary one is taken.
-    """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint()
+    """The frame written to the shared checkpoint folder and read from there."""
+    return stored_aside(df)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The frame written as Parquet to a folder of its own below the shared
     checkpoint folder, and read from there."""
-    root = df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stored-")
-    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4()}"
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4()}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def skew_join(rows: DataFrame, sums: DataFrame, key: str) -> DataFrame:
+    """Rows joined with sums by a whole-number key.  The complement of the key
+    gives the sums an exchange of their own; without it their side of the join
+    cannot be dealt again and adaptive execution could not split a hot key."""
+    name = f"not_{key}"
+    left, right = rows.withColumn(name, F.bitwise_not(key)).drop(key), sums.withColumn(name, F.bitwise_not(key)).drop(key)
+    return left.join(right, name).withColumn(key, F.bitwise_not(name)).drop(name)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component): the smallest id each end of an edge ``a``-``b`` can reach.
 

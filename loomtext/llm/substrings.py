@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomtext.llm.hashing import WordHasher
-from loomtext.llm.spark_tools import checkpointed
+from loomtext.llm.spark_tools import checkpointed, skew_join
 from loomtext.llm.words import WORD, free_names
 
 # A perfect difference set; each number below the period is the
@@ -89,15 +89,6 @@ def _windows(around: DataFrame, length: int, window: int) -> DataFrame:
     return around.mapInArrow(hashed, "hash bigint, place bigint, doc bigint")
 
 
-def _skew_join(rows: DataFrame, sums: DataFrame, key: str) -> DataFrame:
-    """Rows joined with sums by key.  The complement of the key gives the sums an
-    exchange of their own; without it their side of the join cannot be dealt
-    again and adaptive execution could not split a hot key."""
-    name = f"not_{key}"
-    left, right = rows.withColumn(name, F.bitwise_not(key)).drop(key), sums.withColumn(name, F.bitwise_not(key)).drop(key)
-    return left.join(right, name).withColumn(key, F.bitwise_not(name)).drop(name)
-
-
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = 50, out: str = "unique") -> DataFrame:
     """Add a struct ``out`` (n_words, n_removed, kept): the text without the words
     covered by a window of ``window`` words that also starts in a document of a
@@ -137,14 +128,14 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     originals = texts.join(later, doc_id, "left_anti").select(doc_id, text)
     anchors = _anchors(originals, length)
     shared = anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    of_doc = _skew_join(anchors, shared, "anchor").groupBy("doc").agg(F.collect_set("anchor").alias("shared"))
+    of_doc = skew_join(anchors, shared, "anchor").groupBy("doc").agg(F.collect_set("anchor").alias("shared"))
     tag = (F.crc32(F.col(text)) % (1 << 31)).cast("int")
     around = originals.join(of_doc.withColumnRenamed("doc", doc_id), doc_id).select(doc_id, text, "shared", tag.alias("tag"))
 
     windows = _windows(around, length, window)
     first = windows.groupBy("hash").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").drop("last")
     covered = (
-        _skew_join(windows, first, "hash").where("doc > first")
+        skew_join(windows, first, "hash").where("doc > first")
         .groupBy("doc").agg(F.array_distinct(F.collect_list("place")).alias("places"))
     )
 

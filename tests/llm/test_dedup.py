@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import pytest
 from helpers import clashing, empty, near_components, numbered, odd, removed_words
 
 from loomtext.llm import near_dedup, spark_tools
@@ -89,6 +90,48 @@ def test_copies_whose_source_is_missing(spark, monkeypatch):
     assert _near(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)) == near_components(rows)
 
 
+@pytest.mark.parametrize("source", [True, False])
+def test_compared_pairs_grow_with_the_copies(spark, monkeypatch, source):
+    """Edited copies of one text: about as many comparisons as copies, not as pairs."""
+    seen = []
+    real = near_dedup.compared
+
+    def counting(sets, pairs, percent):
+        seen[-1] += pairs.count()
+        return real(sets, pairs, percent)
+
+    monkeypatch.setattr(near_dedup, "compared", counting)
+    rng = random.Random(6)
+    for n in (100, 400):
+        rows = [(0, " ".join(f"b{i}" for i in range(200)))] if source else []
+        for k in range(1, n + 1):
+            own = [f"b{i}" for i in range(200)]
+            for at in rng.sample(range(200), rng.randint(1, 4)):
+                own[at] = f"x{n}_{k}_{at}"
+            rows.append((k, " ".join(own)))
+        seen.append(0)
+        assert _near(spark.createDataFrame(rows, "doc_id bigint, text string")) == near_components(rows)
+    assert seen[0] < 400 and seen[1] < 6 * seen[0]
+
+
+def _thue_morse(first, second, n):
+    return [first if bin(i).count("1") % 2 == 0 else second for i in range(n)]
+
+
+def test_patterns_that_cancel_out_in_a_polynomial_hash(spark):
+    """Words and windows of a Thue-Morse sequence and of its complement differ."""
+    one, two = "".join(_thue_morse("a", "b", 4096)), "".join(_thue_morse("b", "a", 4096))
+    short = ["".join(_thue_morse(x, y, 64)) for x, y in ("ab", "ba")]
+    rows = [(1, one), (2, two), (3, one), (4, short[0]), (5, short[1]), (6, "a" * 63), (7, "a" * 64), (8, "a" * 65), (9, "a\x00"), (10, "a")]
+    got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {name: 1 if name == 3 else name for name, _ in rows}
+    windows = [(1, " ".join(_thue_morse("a", "b", 2048))), (2, " ".join(_thue_morse("b", "a", 2048)))]
+    windows += [(3, " ".join([*numbered(0, 10).split(), *[one] * 30, *numbered(10, 30).split()])), (4, " ".join([*numbered(0, 10).split(), *[two] * 30, *numbered(10, 30).split()]))]
+    cut = remove_repeats(spark.createDataFrame(windows, "doc_id bigint, text string"))
+    got = {(r.doc_id, r.text): (r.unique.n_words, r.unique.n_removed, hashlib.sha256(r.unique.kept.encode()).hexdigest()) for r in cut.collect()}
+    assert got == removed_words(windows)
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(100, 140)] + [(5, 9), (9, 5)], "a bigint, b bigint")
     got = {r.id: r.component for r in components(edges).collect()}
