@@ -20,19 +20,40 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtext.llm.spark_tools import smallest_marks
+from loomtext.llm.spark_tools import checkpointed, smallest_marks
 
-# A value after an assigned name, or a run of key characters with a digit.  Both
-# are whole runs of any length; the possessive repeats keep the search linear.
-CANDIDATE = re.compile(
-    r"(?P<name>[A-Za-z_][A-Za-z0-9_.-]{0,63})[\"']?\s{0,3}(?:=|:=|:|=>)\s{0,3}[\"']?(?P<value>[A-Za-z0-9+/_.~-]{8,}+={0,2})"
-    r"|(?<![A-Za-z0-9+/_-])(?P<bare>(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+={0,2})(?![A-Za-z0-9+/_=-])"
-)
 # Formats that issuers document; a match is a labelled finding of a secret.
-ISSUED = re.compile(
+ISSUED_FORMS = (
     r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|"
     r"AIza[A-Za-z0-9_-]{35}|eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]*"
 )
+ISSUED = re.compile(ISSUED_FORMS)
+# An issued form, a value after an assigned name, or a run of key characters with
+# a digit.  A value in quotes goes up to the quote that ends it, others are whole
+# runs of any length.  Names begin where a run does, and the possessive repeats
+# take runs whole, so the search is linear.
+KEY_RUN = r"[A-Za-z0-9+/_.~-]{8,}+={0,2}"
+CANDIDATE = re.compile(
+    rf"(?<![A-Za-z0-9_-])(?P<issued>{ISSUED_FORMS})(?![A-Za-z0-9_-])"
+    r"|(?<![A-Za-z0-9_.-])[0-9.-]*+(?P<name>[A-Za-z_][A-Za-z0-9_.-]*+)[\"']?\s{0,3}(?:=>|:=|=|:)\s{0,3}"
+    rf"(?P<quote>[\"'])?(?P<value>(?(quote)(?:(?:(?!(?P=quote))\S){{8,}}+(?=(?P=quote))|{KEY_RUN})|{KEY_RUN}))"
+    r"|(?<![A-Za-z0-9+/_-])(?P<bare>(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+={0,2})(?![A-Za-z0-9+/_=-])"
+)
+
+
+def candidate_values(text: str) -> Iterator[tuple[int, int, str]]:
+    """(start, end, name) of every candidate.  A stop that ends a sentence is no
+    part of a value; ``name`` is what the value is assigned to, or empty."""
+    for match in CANDIDATE.finditer(text):
+        kind = "issued" if match["issued"] is not None else "bare" if match["bare"] is not None else "value"
+        start, end = match.span(kind)
+        if kind == "value" and match["quote"] is None and text[end:end + 1] in ("", " ", "\n", "\r", "\t"):
+            end = start + len(text[start:end].rstrip("."))
+            if end - start < 8:
+                continue
+        yield start, end, match["name"] or ""
+
+
 NAMES = ("password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "access_key", "private_key", "auth", "credential")
 PLACEHOLDER = re.compile(r"(?i)example|sample|dummy|changeme|placeholder|your[_-]|xxxx|1234567|abcdef|\.\.\.")
 DICTIONARY = (
@@ -117,10 +138,7 @@ def find_candidates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             rows = []
             for name, value, where in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
                 content = value.as_py() or ""
-                for match in CANDIDATE.finditer(content):
-                    kind = "bare" if match["bare"] is not None else "value"
-                    start, end = match.span(kind)
-                    assigned = match["name"] or ""
+                for start, end, assigned in candidate_values(content):
                     rows.append((name, start, end, finding_label(content, start, end, assigned), describe(content, start, end, assigned, where.as_py() or "")))
             ids, starts, ends, labels, features = zip(*rows, strict=True) if rows else ((), (), (), (), ())
             flat = pa.array(np.array(features, dtype=np.float64).ravel(), pa.float64())
@@ -171,7 +189,8 @@ def scan(
     have their findings repeated, an empty table none.  Columns other than
     id, text and path are not read.  A text is held whole, one at a time.
     """
-    candidates = find_candidates(docs, doc_id, text, path)
+    # The search is the costly part: its few rows are stored, and all passes of the training read these.
+    candidates = checkpointed(find_candidates(docs, doc_id, text, path))
     labelled = candidates if findings is None else findings
     model = train(labelled)
     if model is None:

@@ -1,5 +1,7 @@
 """Language identification (8) and secret scans (1): held-out accuracy and odd input."""
 
+import time
+
 import numpy as np
 from helpers import clashing, empty, odd
 from pyspark.ml.linalg import Vectors
@@ -84,3 +86,53 @@ def test_candidates_are_whole_runs():
         (f"auth: {'a1.' * 325}zz", "value", "a1." * 325 + "zz"),
     ):
         assert [match[kind] for match in secret_scan.CANDIDATE.finditer(text)] == [value]
+
+
+def _values(text):
+    return [text[start:end] for start, end, _ in secret_scan.candidate_values(text)]
+
+
+def test_candidates_of_awkward_forms():
+    jwt = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0In0.c2lnbmF0dXJlMTIz"
+    for text, values in (
+        (f"Authorization: Bearer {jwt}", [jwt]), (f"see {jwt}.", [jwt]), (f"token={jwt} x", [jwt]),
+        ('password = "P@ssw0rd!2024x"', ["P@ssw0rd!2024x"]), ("pwd: 'it\"s&12345#'", ['it"s&12345#']), ('secret="abc1234567', ["abc1234567"]),
+        ("password: hunter2xyz. Next", ["hunter2xyz"]), ("password: hunter2xyz...", ["hunter2xyz"]), ("token: a.b....", []),
+        ("x" * 100 + "key=abcdefgh1", ["abcdefgh1"]), ("9key := abcdefgh1", ["abcdefgh1"]), ("k => abcdefgh1", ["abcdefgh1"]),
+        ("key = short", []), ("", []), ("id AKIA" + "A1" * 8, ["AKIA" + "A1" * 8]),
+    ):
+        assert _values(text) == values, text
+
+
+def test_the_search_is_linear():
+    for text in ("a" * 400_000, "a=" * 200_000, "a: '" * 100_000, "eyJ" * 130_000, "a1_" * 130_000 + "=", "'" * 400_000, "x = \"" + "y" * 400_000):
+        begin = time.perf_counter()
+        _values(text)
+        assert time.perf_counter() - begin < 5
+
+
+def test_planted_secrets_and_near_misses(spark):
+    """Precision and recall over findings of which half have no telling name or form."""
+    rng = np.random.default_rng(2)
+    hexes, mixed = list("0123456789abcdef"), list("ABCDEFGHabcdefgh0123456789+/")
+    key = lambda letters, n: "".join(rng.choice(letters, n))
+    secret = [
+        lambda: f'api_key = "{key(mixed, 32)}"', lambda: f"the access token is {key(mixed, 40)} today", lambda: f"AKIA{key(list('ABCDEFGH0123'), 16)}",
+        lambda: f"password: '{key(mixed, 10)}!{key(mixed, 4)}1'", lambda: f"a secret value {key(hexes, 40)} leaked",
+    ]
+    other = [
+        lambda: f"order number {rng.integers(10**17)}{rng.integers(10**3):03d} shipped", lambda: f"sha256 checksum {key(hexes, 64)} of the file", lambda: f"version = release-{rng.integers(9)}.{rng.integers(9)}.{rng.integers(9)}-final",
+        lambda: "password = changeme12345", lambda: f"see docs/static/index-page-{rng.integers(99)}/build",
+    ]
+    rows, wanted = [], {}
+    for k in range(1200):
+        made = (secret if k % 2 else other)[int(rng.integers(5))]()
+        filler = " ".join(rng.choice(["the", "word", "und", "les", "of"], 12))
+        rows.append((k, f"{filler} {made} {filler}"))
+        wanted[k] = bool(k % 2)
+    found = secret_scan.scan(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)).where("secret").select("doc_id").distinct()
+    hit = {r.doc_id for r in found.collect()}
+    true = sum(wanted[k] for k in hit)
+    precision, recall = true / len(hit), true / sum(wanted.values())
+    print(f"precision {precision:.3f} recall {recall:.3f}")
+    assert precision > 0.9 and recall > 0.9
