@@ -129,6 +129,39 @@ def test_substituted_passages_are_found(spark, monkeypatch, rows):
     assert set(got) == {(1, 1), (2, 1), (8, 1), (None, 1), (5, 2)} and got[1, 1] == 1.0
 
 
+def test_recall_of_passages_with_replaced_words(spark):
+    """Items of 8 to 60 tokens with a tenth to a quarter of them replaced anywhere."""
+    rng = random.Random(12)
+    items, docs, kinds = [], [], []
+    for n in (8, 9, 12, 16, 20, 24, 40, 60):
+        for share in (0.1, 0.2, 0.25):
+            for _ in range(60):
+                number = len(items)
+                own = [f"w{rng.randrange(3000)}" for _ in range(n)]
+                items.append((number, " ".join(own)))
+                for at in rng.sample(range(n), int(n * share)):
+                    own[at] = f"other{rng.randrange(3000)}"
+                around = [" ".join(f"w{rng.randrange(3000)}" for _ in range(30)) for _ in range(2)]
+                docs.append((number, f"{around[0]} {' '.join(own)} {around[1]}"))
+                kinds.append((n, share))
+    clean = [(10_000 + k, " ".join(f"w{rng.randrange(3000)}" for _ in range(200))) for k in range(300)]
+    frame = spark.createDataFrame(docs + clean, "doc_id bigint, text string").repartition(4)
+    found = decontaminate.contaminated(frame, spark.createDataFrame(items, "item_id bigint, text string")).select("doc_id", "item_id").collect()
+    hit = {r.doc_id for r in found if r.doc_id == r.item_id}
+    for kind in set(kinds):
+        numbers = [k for k, other in enumerate(kinds) if other == kind]
+        assert sum(k in hit for k in numbers) >= 0.9 * len(numbers), kind
+    assert not [r for r in found if r.doc_id != r.item_id]
+
+
+def test_a_fragment_at_the_edge_is_no_hit(spark):
+    """Few tokens of an item at the end of a text are not enough."""
+    item = _tokens(30)
+    docs = [(1, f"some other words {_tokens(7)}"), (2, _tokens(7, 23) + " goes on like this and that"), (3, f"x {_tokens(12)}"), (4, _tokens(6))]
+    got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame([(1, item)], "item_id bigint, text string"))
+    assert {r.doc_id for r in got.collect()} == {3}
+
+
 def test_no_items_and_no_documents(spark):
     items = spark.createDataFrame([], "item_id bigint, text string")
     assert decontaminate.contaminated(odd(spark), items).count() == 0
