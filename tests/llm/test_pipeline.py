@@ -1,7 +1,7 @@
 """The stages one after the other, against plain Python where it can say the result."""
 
 import corpus_pipeline
-from helpers import base_spans, clashing, near_components, odd
+from helpers import base_spans, clashing, empty, near_components, odd
 
 from loomtext.llm.language import has_letter
 
@@ -41,6 +41,12 @@ def test_odd_documents_pass_every_stage(spark, small):
             assert out.columns == docs.columns
 
 
+def test_stages_of_an_empty_table(spark, small):
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, empty(spark), small)
+        assert out.count() == 0 and (name == "encode" or out.columns == COLUMNS)
+
+
 def test_run_returns_the_last_stage(spark, small):
     rows = corpus_pipeline.run(spark, small.replace("sf0.01", "sf0.001")).collect()
     assert rows and all(r.decodes for r in rows)
