@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 from loomtext.llm.words import WORD
 
 SYMBOLS = "#*$%&|<>"
-TERMINAL = re.compile(r"[.!?…:;。！？][\"'”’»)\]]*$")
+# A line ends a sentence with one of these, whatever closing marks follow.
+STOPS = (".", "!", "?", "…", ":", ";", "。", "！", "？")
+CLOSING = "\"'”’»)]"
 INNER_STOP = re.compile(r"[.!?…。！？] ")
 # Marks that part the items of a menu; the last two count only between spaces.
 DIVIDERS = ("|", "»", "•", " > ", " / ")
@@ -57,7 +59,7 @@ class LineRules:
             return "navigation"
         if sum(map(line.count, SYMBOLS)) > self.symbols_per_word * n_words:
             return "punctuation"
-        if TERMINAL.search(line.rstrip()[-8:]) or n_words >= self.prose_words and INNER_STOP.search(line):
+        if line.rstrip().rstrip(CLOSING).endswith(STOPS) or n_words >= self.prose_words and INNER_STOP.search(line):
             return None
         return "punctuation"
 

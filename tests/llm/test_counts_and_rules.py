@@ -68,6 +68,19 @@ def test_lines_fail_by_rule_and_documents_by_loss(spark):
     assert apply_line_rules(empty(spark)).count() == 0
 
 
+def test_a_line_may_end_in_any_number_of_closing_marks():
+    rules = LineRules()
+    for marks in ("", '"', "’”»)]" * 40, '"' * 9 + "  "):
+        assert rules.failure(f"this is a line.{marks}", 4) is None and rules.failure(f"this is a line{marks}", 4) == "punctuation"
+
+
+def test_bad_labels_are_mostly_rejected(spark, small):
+    docs = apply_line_rules(spark.read.parquet(f"{small}/documents.parquet"))
+    labelled = docs.join(spark.read.parquet(f"{small}/labels.parquet").where("quality = 0").select("doc_id"), "doc_id")
+    n, rejected = labelled.agg(F.count("*"), F.count_if(F.expr("NOT quality.kept"))).first()
+    assert n > 20 and rejected > 0.8 * n
+
+
 def test_good_labels_are_kept(spark, small):
     docs = apply_line_rules(spark.read.parquet(f"{small}/documents.parquet")).where(~F.col("quality.base_failed"))
     labelled = docs.join(spark.read.parquet(f"{small}/labels.parquet").where("quality = 1").select("doc_id"), "doc_id")
