@@ -39,7 +39,8 @@ def checkpoint_root(spark: SparkSession) -> str:
 def shared_folder(spark: SparkSession) -> str:
     """Where jobs put what later steps read: the folder named for checkpoints.
     Only a local session may do without and gets a temporary one."""
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.master.startswith("local["):
+    master = spark.sparkContext.master
+    if not spark.conf.get("spark.checkpoint.dir", None) and (master == "local" or master.startswith("local[")):
         spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="checkpoint-"))
     return checkpoint_root(spark)
 
