@@ -37,5 +37,87 @@ SELECT doc_id, item_id, count(*) AS hits, max(share) AS similarity FROM compared
 """
 
 
+# CRC-32 of the decimal id, one digit and one bit at a time.
+CRC32 = """xor(list_reduce(list_prepend(4294967295, list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+    lambda crc, b: list_reduce(list_prepend(xor(crc, b), range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"""
+
+OP12 = f"""
+WITH own AS (
+  SELECT conv_id AS c, list({{'r': coalesce(role, ''), 't': coalesce(text, '')}} ORDER BY turn NULLS FIRST) AS turns
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), headed AS (
+  SELECT own.c, own.turns, ({CRC32.replace("c::VARCHAR", "own.c::VARCHAR")} % 4)::BIGINT AS h, base.turns AS first
+  FROM own LEFT JOIN own AS base ON base.c = own.c - own.c % 20
+), rebuilt AS (
+  SELECT c, list_concat(CASE WHEN h > 0 THEN coalesce(first[1:h], []) ELSE [] END, turns[h + 1:len(turns)]) AS r FROM headed
+), member AS (
+  SELECT c, r, d, r[1:d] AS p FROM (SELECT c, r, unnest(range(len(r) + 1)) AS d FROM rebuilt)
+), node AS (
+  SELECT d, p, min(c) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (len(r) = d), '')) AS ends_sha256
+  FROM member GROUP BY d, p
+), child AS (
+  SELECT d - 1 AS d, p[1:d - 1] AS p, count(*) AS n FROM node WHERE d > 0 GROUP BY 1, 2
+), valued AS (
+  SELECT node.*, coalesce(child.n, 0) AS n_children,
+    CASE WHEN node.d > 0 THEN (n_convs - 1) * len(list_filter(string_split_regex(node.p[node.d].t, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')) ELSE 0 END AS saved
+  FROM node LEFT JOIN child ON node.d = child.d AND node.p = child.p
+), below AS (
+  SELECT up AS d, p[1:up] AS p, sum(saved) AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves
+  FROM (SELECT p, saved, n_children, unnest(range(d + 1)) AS up FROM valued) GROUP BY 1, 2
+)
+SELECT v.conv_id, v.d::BIGINT AS depth, parent.conv_id AS parent_conv_id, v.n_convs, v.n_children::BIGINT AS n_children, n_leaves,
+  saved_tokens::BIGINT AS saved_tokens, v.ends_sha256
+FROM valued v JOIN below ON below.d = v.d AND below.p = v.p
+LEFT JOIN node parent ON v.d > 0 AND parent.d = v.d - 1 AND parent.p = v.p[1:v.d - 1]
+"""
+
+
+def word_list(text: str) -> str:
+    return f"list_filter(string_split_regex(coalesce({text}, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
+
+
+# Words hold no space, so words joined by spaces stand for the sequence.
+OP5 = f"""
+WITH RECURSIVE doc AS (
+  SELECT doc_id, {word_list("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents
+), shingle AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM doc WHERE len(w) > 0)
+), size AS (
+  SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id
+), link AS (
+  SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM shingle x JOIN shingle y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY 1, 2)
+  JOIN size sa ON sa.doc_id = a JOIN size sb ON sb.doc_id = b WHERE 100 * common >= 75 * (sa.n + sb.n - common)
+), reach AS (
+  SELECT a AS x, a AS y FROM link
+  UNION
+  SELECT x, b FROM reach JOIN link ON y = a
+), component AS (
+  SELECT x, min(y) AS component_id FROM reach GROUP BY x
+)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(component_id, doc_id) AS component_id, coalesce(component_id, doc_id) = doc_id AS kept
+FROM doc LEFT JOIN size USING (doc_id) LEFT JOIN component ON x = doc_id
+"""
+
+OP7 = f"""
+WITH doc AS (
+  SELECT doc_id, {word_list("text")} AS w FROM documents
+), span AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 49], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM doc WHERE len(w) >= 50)
+), known AS (
+  SELECT s, min(doc_id) AS least FROM span GROUP BY s
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS i FROM span JOIN known USING (s) WHERE doc_id > least
+), word AS (
+  SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM doc
+), judged AS (
+  SELECT word.doc_id, count(*) AS n_words, count(gone.i) AS n_removed, string_agg(word, ' ' ORDER BY word.i) FILTER (gone.i IS NULL) AS kept
+  FROM word LEFT JOIN gone ON word.doc_id = gone.doc_id AND word.i = gone.i GROUP BY word.doc_id
+)
+SELECT doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM doc LEFT JOIN judged USING (doc_id)
+"""
+
+
 def registry() -> dict[str, str]:
-    return {"op4_spaced_seeds": OP4}
+    return {"op4_spaced_seeds": OP4, "op5_tensored_minhash": OP5, "op7_difference_cover": OP7, "op12_bitmap_trie": OP12}
