@@ -119,5 +119,44 @@ FROM doc LEFT JOIN judged USING (doc_id)
 """
 
 
+# Runs of a period are stretches of places whose word stands again that far on.
+# Of equal stretches the smallest period counts: a run as long has its smallest
+# period's whole stretch for all multiples of it.
+OP13 = f"""
+WITH drawn AS (
+  SELECT doc_id, {word_list("text")} AS w, {CRC32.replace("c::VARCHAR", "doc_id::VARCHAR")}::BIGINT AS h FROM documents
+), placed AS (
+  SELECT *, h // 10 AS g, CASE WHEN len(w) > 0 THEN (h // 10) % len(w) END AS a FROM drawn
+), doc AS (
+  SELECT doc_id, CASE WHEN h % 10 = 0 AND len(w) > 0
+    THEN list_transform(range(len(w)), lambda i: CASE WHEN i < a THEN w[i + 1] ELSE w[a + (i - a) % (1 + (len(w) - a) // (3 + g % 8)) + 1] END) ELSE w END AS w
+  FROM placed
+), word AS (
+  SELECT doc_id, len(w) AS n, unnest(w) AS word, unnest(range(len(w))) AS i FROM doc
+), again AS (
+  SELECT x.doc_id, y.i - x.i AS p, x.i FROM word x JOIN word y ON x.doc_id = y.doc_id AND x.word = y.word AND y.i > x.i AND 4 * (y.i - x.i) <= x.n
+), stretch AS (
+  SELECT doc_id, p, min(i) AS start, count(*) + p AS length
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, p ORDER BY i) AS island FROM again) GROUP BY doc_id, p, island
+), run AS (
+  SELECT doc_id, start, length, min(p) AS period FROM stretch WHERE length >= greatest(6, 4 * p) GROUP BY doc_id, start, length
+), summed AS (
+  SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines FROM run GROUP BY doc_id
+), best AS (
+  SELECT doc_id, start, length, period FROM (
+    SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY length::DOUBLE / period DESC, start, period) AS place FROM run) WHERE place = 1
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM run
+), left_over AS (
+  SELECT word.doc_id, string_agg(word, ' ' ORDER BY word.i) AS kept FROM word ANTI JOIN gone ON word.doc_id = gone.doc_id AND word.i = gone.i GROUP BY word.doc_id
+)
+SELECT doc.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, start::BIGINT AS start, length::BIGINT AS length, period::BIGINT AS period,
+  (1000 * length // period)::BIGINT AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM doc LEFT JOIN summed USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN left_over USING (doc_id)
+"""
+
+
 def registry() -> dict[str, str]:
-    return {"op4_spaced_seeds": OP4, "op5_tensored_minhash": OP5, "op7_difference_cover": OP7, "op12_bitmap_trie": OP12}
+    return {
+        "op4_spaced_seeds": OP4, "op5_tensored_minhash": OP5, "op7_difference_cover": OP7, "op12_bitmap_trie": OP12, "op13_basic_factors": OP13,
+    }
