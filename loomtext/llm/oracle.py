@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from loomtext.llm.quality import BOILERPLATE, DIVIDERS, INNER_STOP, MENU, SYMBOLS, LineRules
+
 OP4 = """
 WITH doc AS (
   SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\pL\\pN]+'), lambda t: t <> '') AS w FROM documents
@@ -156,7 +158,61 @@ FROM doc LEFT JOIN summed USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN
 """
 
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _count(text: str, part: str) -> str:
+    return f"(length({text}) - length(replace({text}, {_quoted(part)}, ''))) // {len(part)}"
+
+
+def _op6(rules: LineRules) -> str:
+    """The rules of a line, in the order in which the first one that fails counts."""
+    boilerplate = " OR ".join(f"contains(lower(line), {_quoted(phrase)})" for phrase in BOILERPLATE)
+    dividers, symbols = (" + ".join(_count("line", part) for part in parts) for parts in (DIVIDERS, SYMBOLS))
+    stops = "[.!?…:;。！？][\"''”’»)\\]]*\\s*$"
+    return f"""
+WITH doc AS (
+  SELECT doc_id, coalesce(text, '') AS text, {word_list("text")} AS w FROM documents
+), line AS (
+  SELECT doc_id, line, place, {word_list("line")} AS own
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS place FROM doc)
+), measured AS (
+  SELECT *, len(own) AS n, {dividers} AS dividers, {symbols} AS symbols FROM line
+), judged AS (
+  SELECT *, CASE
+    WHEN n = 0 THEN NULL
+    WHEN {boilerplate} THEN 'boilerplate'
+    WHEN dividers >= 2 AND n <= {rules.words_per_item} * (dividers + 1) OR n <= {rules.menu_words} AND regexp_matches(line, {_quoted("(?i)^[ ]*(?:" + MENU.pattern + ")")}) THEN 'navigation'
+    WHEN symbols > {rules.symbols_per_word} * n THEN 'punctuation'
+    WHEN regexp_matches(line, '{stops}') OR n >= {rules.prose_words} AND regexp_matches(line, {_quoted(INNER_STOP.pattern)}) THEN NULL
+    ELSE 'punctuation' END AS failed FROM measured
+), by_doc AS (
+  SELECT doc_id, count(*) FILTER (n > 0) AS n_lines, count(*) FILTER (n > 0) - count(DISTINCT line) FILTER (n > 0) AS n_dup_lines,
+    count(*) FILTER (failed = 'punctuation') AS bad_punctuation, count(*) FILTER (failed = 'navigation') AS bad_navigation,
+    count(*) FILTER (failed = 'boilerplate') AS bad_boilerplate,
+    coalesce(sum(length(array_to_string(own, ''))) FILTER (failed IS NOT NULL), 0) AS lost_chars,
+    string_agg(line, chr(10) ORDER BY place) FILTER (failed IS NULL) AS cleaned
+  FROM judged GROUP BY doc_id
+), three AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 2], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM doc WHERE len(w) > 2)
+), repeated AS (
+  SELECT doc_id, count(DISTINCT i + shift) AS n FROM (
+    SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, s) AS times FROM three), (SELECT unnest([0, 1, 2]) AS shift) WHERE times > 1 GROUP BY doc_id
+), counted AS (
+  SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, {" + ".join(_count("text", mark) for mark in SYMBOLS)} AS n_symbols,
+    coalesce(repeated.n, 0) AS n_repeat_words FROM doc LEFT JOIN repeated USING (doc_id)
+), base AS (
+  SELECT *, n_words < {rules.min_words} OR 100 * n_repeat_words > {rules.max_repeat_percent} * n_words AS base_failed FROM counted
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND lost_chars <= {rules.max_lost} * word_chars AS kept,
+  n_lines, bad_punctuation, bad_navigation, bad_boilerplate, lost_chars::BIGINT AS lost_chars, sha256(coalesce(cleaned, '')) AS cleaned_sha256
+FROM base JOIN by_doc USING (doc_id)
+"""
+
+
 def registry() -> dict[str, str]:
     return {
-        "op4_spaced_seeds": OP4, "op5_tensored_minhash": OP5, "op7_difference_cover": OP7, "op12_bitmap_trie": OP12, "op13_basic_factors": OP13,
+        "op4_spaced_seeds": OP4, "op5_tensored_minhash": OP5, "op6_line_rules": _op6(LineRules()), "op7_difference_cover": OP7,
+        "op12_bitmap_trie": OP12, "op13_basic_factors": OP13,
     }
