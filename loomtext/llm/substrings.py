@@ -122,7 +122,10 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     digests = texts.select(F.col(doc_id).alias("doc"), F.unhex(F.md5(F.col(text))).alias("digest")).distinct()
     copies = digests.groupBy("digest").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last")
     several = digests.groupBy("doc").agg(F.count("*").alias("n")).where("n > 1").select("doc")
-    later = digests.join(copies, "digest").where("doc > first").select("doc").join(several, "doc", "left_anti")
+    # A key of another name: both sides get exchanges of their own, so that a text of very many copies can be split.
+    same = F.concat(F.lit(b"n"), F.col("digest")).alias("same")
+    copied = digests.select("doc", same).join(copies.select(same, "first"), "same").where("doc > first")
+    later = copied.select("doc").join(several, "doc", "left_anti")
     later = checkpointed(later.select(F.col("doc").alias(doc_id), F.lit(True).alias(copy)))
 
     originals = texts.join(later, doc_id, "left_anti").select(doc_id, text)
