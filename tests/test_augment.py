@@ -13,7 +13,7 @@ from loomtext.operators import evaluate
 from loomtext.operators.lexicon import mine, substitute
 from loomtext.operators.mixture import mixture_report, weighted_union
 from loomtext.operators.numerals import candidates, variants
-from loomtext.plans import augmentation_report, augmented_mixture
+from loomtext.plans import augmentation, augmentation_report, augmented_mixture
 
 PAIRS = [
     ("взыскивается одна четверть заработка", "кирешенин төрттөн бири"),
@@ -145,6 +145,20 @@ def test_mixture_size_and_order(spark):
     assert {r.component: r.n for r in few} == {"lexicon": 20 * a, "numeral": 12, "original": 5}
 
 
+@pytest.mark.parametrize("limits", [{}, {"numeral_cap": 1, "originals": 5}])
+def test_a_large_mixture_has_more_slices_in_the_same_order(spark, monkeypatch, limits):
+    """No slice grows with the input, so none is sorted on disk."""
+    frame = pair_frame(spark, PAIRS + NUMBERED)
+    few = augmented_mixture(frame, ["id"], **limits)
+    assert few.rdd.getNumPartitions() == 8
+    text = sum(len((r.ru + r.ky).encode()) for r in few.collect())
+    monkeypatch.setattr(augmentation, "SLICE_BYTES", text // 20, raising=False)
+    many = augmented_mixture(frame, ["id"], **limits)
+    assert many.rdd.getNumPartitions() in range(18, 25) and many.collect() == few.collect()
+    assert augmented_mixture(frame, ["id"], partitions=3, **limits).rdd.getNumPartitions() == 3
+    assert augmented_mixture(frame.where("false"), ["id"], **limits).collect() == []
+
+
 @pytest.mark.parametrize("limits", [{}, {"numeral_cap": 1, "originals": 5}, {"numeral_cap": 10_000, "originals": 0}, {"copies": (0, 2)}])
 def test_report_and_observed_counts_agree_with_the_rows(spark, limits):
     frame = pair_frame(spark, PAIRS + NUMBERED)
