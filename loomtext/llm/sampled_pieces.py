@@ -16,7 +16,8 @@ are arrays.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,6 +31,7 @@ from loomtext.llm.words import text_blocks
 SPACE = 0x2581  # stands for a space
 OTHER_SPACE = 0x110000  # the character U+2581 itself, which no piece holds
 NORMAL, USER_DEFINED, BYTE = 1, 4, 6
+_MASK = (1 << 64) - 1
 
 
 def unit_interval(bits: np.ndarray) -> np.ndarray:
@@ -49,6 +51,24 @@ def drawn(seed: np.ndarray, *numbers) -> np.ndarray:
     return seed
 
 
+def drawn_one(seed: int, *numbers: int) -> int:
+    """``drawn`` for one combination, without the cost of arrays."""
+    for number in numbers:
+        bits = ((seed ^ number) * 0x9E3779B97F4A7C15 + 1) & _MASK
+        bits = ((bits ^ (bits >> 30)) * 0xBF58476D1CE4E5B9) & _MASK
+        bits = ((bits ^ (bits >> 27)) * 0x94D049BB133111EB) & _MASK
+        seed = bits ^ (bits >> 31)
+    return seed
+
+
+def unit_one(bits: int) -> float:
+    return ((bits >> 11) + 0.5) / (1 << 53)
+
+
+def gumbel_one(bits: int) -> float:
+    return -math.log(-math.log(unit_one(bits)))
+
+
 class PieceModel:
     """Pieces, their weights and the index of a SentencePiece model file."""
 
@@ -70,6 +90,9 @@ class PieceModel:
             if p.type == BYTE:
                 self.byte_id[int(p.piece[3:5], 16)] = i
                 self.bytes_of[i] = bytes([int(p.piece[3:5], 16)])
+        self.byte_size = np.array(list(map(len, self.bytes_of)))
+        self.byte_start = np.cumsum(self.byte_size) - self.byte_size
+        self.spelt = np.frombuffer(b"".join(self.bytes_of), dtype=np.uint8)  # all pieces, one after the other
         self.ids = np.array([i for i, _, _ in lattice], dtype=np.int32)
         points = [np.frombuffer(piece.encode("utf-32-le"), dtype=np.uint32) for _, piece, _ in lattice]
         sizes = np.array([p.size for p in points])
@@ -101,87 +124,127 @@ class PieceModel:
         points = np.frombuffer((" " + text).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         return np.where(points == SPACE, np.uint32(OTHER_SPACE), np.where(points == 0x20, np.uint32(SPACE), points))
 
-    def decode(self, ids: list[int]) -> str:
-        return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace").removeprefix(" ")
+    def spell(self, ids: Sequence[int]) -> tuple[bytes, np.ndarray]:
+        """The bytes of the pieces, and how many stand before each and in all."""
+        ids = np.asarray(ids, dtype=np.int64)
+        sizes = self.byte_size[ids]
+        ends = np.concatenate(([0], np.cumsum(sizes)))
+        return self.spelt[np.repeat(self.byte_start[ids] - ends[:-1], sizes) + np.arange(ends[-1])].tobytes(), ends
+
+    def decode(self, ids: Sequence[int]) -> str:
+        return self.spell(ids)[0].decode("utf-8", "replace").removeprefix(" ")
 
 
 @dataclass
 class Lattices:
     """The lattices of distinct units, node after node.
 
-    Column l of a row is the edge of l + 1 characters: its piece (a byte
-    fallback is minus the character, less one), the log chance of taking it
-    from there, and the chance of it or a shorter one."""
+    The edges of a node, from the shortest on, are ``count`` places from
+    ``start``: characters to the next node (0: the unit ends), piece (a byte
+    fallback is minus the character, less one), the log chance of taking it from
+    there, and the chance of it or a shorter one."""
 
     model: PieceModel
     first: np.ndarray  # the first node of every unit
     left: np.ndarray  # characters from each node to the end of its unit
+    start: np.ndarray
+    count: np.ndarray
+    paths: np.ndarray  # the number of paths from each node, as a float
+    whole: np.ndarray  # the chance of all edges of each node, 1 as far as rounding goes
+    hop: np.ndarray
     piece: np.ndarray
     log_chance: np.ndarray
     upto: np.ndarray
-    paths: np.ndarray  # the number of paths from each node, as a float
+
+    @classmethod
+    def empty(cls, model: PieceModel, nodes: int, edges: int) -> Lattices:
+        return cls(model, np.zeros(0, dtype=np.int64), *[np.zeros(nodes, dtype=kind) for kind in (np.int32, np.int64, np.int32, np.float64, np.float32)],
+                   *[np.zeros(edges, dtype=kind) for kind in (np.int32, np.int32, np.float32, np.float32)])
 
     @classmethod
     def build(cls, model: PieceModel, points: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> Lattices:
         first = np.cumsum(sizes) - sizes
         n = int(sizes.sum())
+        if not n:
+            return cls.empty(model, 0, 0)
         at = np.arange(n) - np.repeat(first, sizes)
         chars = points[np.repeat(starts, sizes) + at]
         left = np.repeat(sizes, sizes) - at
-        width = min(model.longest, int(sizes.max()) if sizes.size else 1)
-        piece = np.full((n, width), -1, dtype=np.int32)
-        weight = np.full((n, width), -np.inf)
+        found = model.single[chars]
+        edges = [(np.arange(n), np.where(found >= 0, model.ids[found], -1 - chars.astype(np.int64)), np.where(found >= 0, model.weights[found], model.byte_weight))]
         values = chars.astype(np.uint64) + np.uint64(1)
-        nodes, found, reached = np.arange(n), model.single[chars], 1
-        for extra in range(width):
-            if extra:
-                nodes = nodes[left[nodes] > extra]
-                prefix = model.index.lookup(span_hashes(values, nodes, nodes + extra + 1, model.powers).view(np.int64))
-                nodes, found = nodes[prefix >= 0], model.whole[prefix[prefix >= 0]]
-            there = found >= 0
-            piece[nodes[there], extra], weight[nodes[there], extra] = model.ids[found[there]], model.weights[found[there]]
-            reached = extra + 1 if there.any() else reached
-        width = max(reached, 1)  # of the pieces that occur, mostly much less than the longest
-        piece, weight = piece[:, :width], weight[:, :width]
-        single = np.flatnonzero(weight[:, 0] == -np.inf)
-        piece[single, 0], weight[single, 0] = -1 - chars[single].astype(np.int32), model.byte_weight
-        mass, paths = np.zeros(n + width + 1), np.ones(n + width + 1)
-        log_chance, upto = np.full((n, width), -np.inf, dtype=np.float32), np.ones((n, width), dtype=np.float32)
-        order = np.argsort(left, kind="stable")
-        cuts = np.searchsorted(left[order], np.arange(1, (int(left.max()) if n else 0) + 2))
-        steps = np.arange(1, width + 1)
-        for remaining in range(1, cuts.size):
-            nodes = order[cuts[remaining - 1]:cuts[remaining]]
-            reach = steps[:min(width, remaining)]
-            after = nodes[:, None] + reach
-            inside = reach < remaining
-            scores = weight[nodes, :reach.size] + np.where(inside, mass[after], 0.0)
-            best = scores.max(axis=1, keepdims=True)
-            chances = np.exp(scores - best)
-            total = chances.sum(axis=1, keepdims=True)
-            mass[nodes] = (best + np.log(total))[:, 0]
-            log_chance[nodes, :reach.size] = scores - best - np.log(total)
-            upto[nodes, :reach.size] = np.cumsum(chances, axis=1) / total
-            paths[nodes] = np.where(scores > -np.inf, np.where(inside, paths[after], 1.0), 0.0).sum(axis=1)
-        return cls(model, first, left, piece, log_chance, upto, paths[:n])
-
-    def sample(self, units: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """One path for each unit: log chances, pieces, and where each unit's begin."""
-        chance = np.zeros(units.size)
+        nodes, rolled, count = edges[0][0], values, np.ones(n, dtype=np.int64)
+        model.powers.reach(model.longest)
+        for extra in range(1, min(model.longest, int(sizes.max()))):
+            inside = np.flatnonzero(left[nodes] > extra)
+            nodes = nodes[inside]
+            rolled = rolled[inside] + values[nodes + extra] * model.powers.up[extra]
+            prefix = model.index.lookup(mixed(rolled).view(np.int64))
+            going = np.flatnonzero(prefix >= 0)
+            nodes, rolled, found = nodes[going], rolled[going], model.whole[prefix[going]]
+            there = np.flatnonzero(found >= 0)
+            edges.append((nodes[there], model.ids[found[there]], model.weights[found[there]]))
+            count[nodes[there]] += 1
+        # Nodes as near to the end of their unit have their edges side by side.
+        order = np.argsort(left.astype(np.uint16) if sizes.max() < 1 << 16 else left, kind="stable")
+        counts = count[order]
+        ends = np.cumsum(counts)
+        begins, total = ends - counts, int(ends[-1])
+        start = np.empty(n, dtype=np.int64)
+        start[order] = begins
+        hop, piece, weight = np.empty(total, dtype=np.int32), np.empty(total, dtype=np.int32), np.empty(total)
+        free = start.copy()
+        for extra, (nodes, pieces, weights) in enumerate(edges):
+            slots = free[nodes]
+            hop[slots], piece[slots], weight[slots] = extra + 1, pieces, weights
+            free[nodes] += 1
+        owner = np.repeat(order, counts)
+        inside = hop < left[owner]
+        hop *= inside
+        after = np.where(inside, owner + hop, n)
+        mass, paths = np.zeros(n + 1), np.ones(n + 1)
+        log_chance, chance, sums = np.empty(total, dtype=np.float32), np.empty(total), np.empty(total)
+        cuts = np.searchsorted(left[order], np.arange(1, int(sizes.max()) + 2))
+        for low, high in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            nodes, these, many = order[low:high], slice(begins[low], ends[high - 1]), counts[low:high]
+            heads = begins[low:high] - begins[low]
+            scores = weight[these] + mass[after[these]]
+            best = np.maximum.reduceat(scores, heads)
+            scores -= np.repeat(best, many)
+            chance[these] = chances = np.exp(scores)
+            all_ = np.add.reduceat(chances, heads)
+            sums[these] = np.repeat(all_, many)
+            log_all = np.log(all_)
+            mass[nodes] = best + log_all
+            log_chance[these] = scores - np.repeat(log_all, many)
+            paths[nodes] = np.add.reduceat(paths[after[these]], heads)
+        place = np.arange(total) - np.repeat(begins, counts)
+        for number in range(1, int(counts.max())):
+            slots = np.flatnonzero(place == number)
+            chance[slots] += chance[slots - 1]
+        upto = (chance / sums).astype(np.float32)
+        return cls(model, first, left, start, count, paths[:n], upto[start + count - 1], hop, piece, log_chance, upto)
+
+    def sample(self, units: np.ndarray, seeds: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """One path for each unit: log chances, pieces, and where each unit's begin.
+        They are looked up in ``order``; if that sorts them, memory is read in turn."""
+        chance, counts = np.zeros(units.size), np.zeros(units.size, dtype=np.int64)
         owners, pieces = [], []
-        active, node, step = np.arange(units.size), self.first[units], 0
+        active, node, seeds, step = order, self.first[units[order]], seeds[order], 0
         while active.size:
-            rows = self.upto[node]
-            u = unit_interval(drawn(seeds[active], step)) * rows[:, -1]
-            edge = (rows < u[:, None]).sum(axis=1)
-            chance[active] += self.log_chance[node, edge]
+            edge = self.start[node]
+            u = unit_interval(drawn(seeds, step)) * self.whole[node]
+            beyond = np.flatnonzero(self.upto[edge] < u)
+            while beyond.size:
+                edge[beyond] += 1
+                beyond = beyond[self.upto[edge[beyond]] < u[beyond]]
+            chance[active] += self.log_chance[edge]
             owners.append(active)
-            pieces.append(self.piece[node, edge])
-            going = self.left[node] > edge + 1
-            active, node, step = active[going], node[going] + edge[going] + 1, step + 1
-        counts = np.zeros(units.size, dtype=np.int64)
-        for active in owners:
+            pieces.append(self.piece[edge])
             counts[active] += 1
+            hop = self.hop[edge]
+            going = np.flatnonzero(hop)
+            active, node, seeds, step = active[going], node[going] + hop[going], seeds[going], step + 1
         begins = np.concatenate(([0], np.cumsum(counts)))
         flat = np.empty(begins[-1], dtype=np.int64)
         for step, (active, found) in enumerate(zip(owners, pieces, strict=True)):
@@ -191,54 +254,51 @@ class Lattices:
     def lengths(self, pieces: np.ndarray) -> list[int]:
         return np.where(pieces < 0, 1, self.model.length_of[np.maximum(pieces, 0)]).tolist()
 
-    def log_chance_of(self, unit: int, lengths: list[int]) -> float:
-        node, total = int(self.first[unit]), 0.0
-        for length in lengths:
-            total += self.log_chance[node, length - 1]
+    def edges_along(self, node: int, lengths: list[int]) -> list[int]:
+        """The edges of the given lengths, one after the other, to the end of the unit."""
+        edges = []
+        for place, length in enumerate(lengths, 1):
+            start, hop = int(self.start[node]), length if place < len(lengths) else 0
+            edges.append(start + self.hop[start:start + int(self.count[node])].tolist().index(hop))
             node += length
+        return edges
+
+    def log_chance_of(self, node: int, lengths: list[int]) -> float:
+        total = 0.0
+        for edge in self.edges_along(node, lengths):
+            total += float(self.log_chance[edge])
         return total
 
-    def sample_other(self, unit: int, excluded: list[list[int]], seed: np.uint64) -> tuple[float, list[int]]:
+    def sample_other(self, unit: int, excluded: list[list[int]], seed: int) -> tuple[float, list[int]]:
         """A path of a unit that is none of the excluded ones, in proportion to
         the chances; there must be one."""
         node, step, lengths, total = int(self.first[unit]), 0, [], 0.0
         live = excluded
         while True:
             left = int(self.left[node])
-            masses, options = [], []
-            for edge, log_chance in enumerate(self.log_chance[node, :left].tolist()):
-                if log_chance == -math.inf:
-                    continue
-                after = [path for path in live if path[len(lengths)] == edge + 1]
-                rest, gone = node + edge + 1, 0.0
+            sums, options, mass, start = [], [], 0.0, int(self.start[node])
+            here = slice(start, start + int(self.count[node]))
+            for hop, log_chance in zip(self.hop[here].tolist(), self.log_chance[here].tolist(), strict=True):
+                length = hop or left
+                after = [path for path in live if path[len(lengths)] == length]
+                rest, gone = node + length, 0.0
                 if after:
-                    if len(after) >= (self.paths[rest] if edge + 1 < left else 1.0):
+                    if len(after) >= (self.paths[rest] if length < left else 1.0):
                         continue
-                    gone = sum(math.exp(self._rest_of(rest, path[len(lengths) + 1:])) for path in after)
-                masses.append(math.exp(log_chance) * max(1.0 - gone, 1e-15))
-                options.append((edge + 1, after))
-            sums = np.cumsum(masses)
-            u = float(unit_interval(drawn(np.asarray(seed), 1_000_003, step))) * sums[-1]
-            length, live = options[min(int(np.searchsorted(sums, u)), len(options) - 1)]
-            total += float(self.log_chance[node, length - 1])
+                    gone = sum(math.exp(self.log_chance_of(rest, path[len(lengths) + 1:])) for path in after)
+                mass += math.exp(log_chance) * max(1.0 - gone, 1e-15)
+                sums.append(mass)
+                options.append((length, log_chance, after))
+            u = unit_one(drawn_one(seed, 1_000_003, step)) * mass
+            length, log_chance, live = options[min(bisect_left(sums, u), len(options) - 1)]
+            total += log_chance
             lengths.append(length)
             if length == left:
                 return total, lengths
             node, step = node + length, step + 1
 
-    def _rest_of(self, node: int, lengths: list[int]) -> float:
-        total = 0.0
-        for length in lengths:
-            total += float(self.log_chance[node, length - 1])
-            node += length
-        return total
-
     def pieces_of(self, unit: int, lengths: list[int]) -> np.ndarray:
-        node, pieces = int(self.first[unit]), []
-        for length in lengths:
-            pieces.append(self.piece[node, length - 1])
-            node += length
-        return np.array(pieces, dtype=np.int64)
+        return self.piece[self.edges_along(int(self.first[unit]), lengths)].astype(np.int64)
 
 
 class LatticeStore:
@@ -250,21 +310,22 @@ class LatticeStore:
         self._clear(max_nodes)
 
     def _clear(self, nodes: int) -> None:
-        self.lattices = Lattices(
-            self.model, np.zeros(0, dtype=np.int64), np.zeros(nodes, dtype=np.int64), np.zeros((nodes, 0), dtype=np.int32),
-            np.zeros((nodes, 0), dtype=np.float32), np.zeros((nodes, 0), dtype=np.float32), np.zeros(nodes),
-        )
-        self.used, self.known = 0, np.zeros(0, dtype=np.uint64)  # known[i]: hash of unit i
-
-    def _widen(self, width: int) -> None:
-        """Room for longer pieces: no chance, and nothing beyond the shorter ones."""
-        all_, extra = self.lattices, width - self.lattices.piece.shape[1]
-        if extra > 0:
-            rows = len(all_.left)
-            last = all_.upto[:, -1:] if all_.upto.shape[1] else np.ones((rows, 1), dtype=np.float32)
-            all_.piece = np.concatenate((all_.piece, np.zeros((rows, extra), dtype=np.int32)), axis=1)
-            all_.log_chance = np.concatenate((all_.log_chance, np.full((rows, extra), -np.inf, dtype=np.float32)), axis=1)
-            all_.upto = np.concatenate((all_.upto, np.repeat(last, extra, axis=1)), axis=1)
+        self.lattices = Lattices.empty(self.model, nodes, 3 * nodes)
+        self.used, self.used_edges, self.known = 0, 0, np.zeros(0, dtype=np.uint64)  # known[i]: hash of unit i
+
+    def _add(self, new: Lattices) -> None:
+        all_, nodes, edges = self.lattices, slice(self.used, self.used + new.left.size), slice(self.used_edges, self.used_edges + new.piece.size)
+        for name in ("left", "count", "paths", "whole"):
+            getattr(all_, name)[nodes] = getattr(new, name)
+        all_.start[nodes] = new.start + self.used_edges
+        for name in ("hop", "piece", "log_chance", "upto"):
+            held = getattr(all_, name)
+            if held.size < edges.stop:
+                held = np.concatenate((held, np.zeros(edges.stop - held.size + held.size // 4, dtype=held.dtype)))
+                setattr(all_, name, held)
+            held[edges] = getattr(new, name)
+        all_.first = np.concatenate((all_.first, new.first + self.used))
+        self.used, self.used_edges = nodes.stop, edges.stop
 
     def units(self, points: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """The number of every unit, after building the lattices of new ones."""
@@ -277,17 +338,9 @@ class LatticeStore:
             number = self._numbers(distinct)
         fresh = np.flatnonzero(number < 0)
         if fresh.size:
-            new = Lattices.build(self.model, points, starts[sample[fresh]], sizes[sample[fresh]])
-            self._widen(new.piece.shape[1])
-            all_, rows, columns = self.lattices, slice(self.used, self.used + new.left.size), slice(0, new.piece.shape[1])
-            all_.left[rows], all_.paths[rows] = new.left, new.paths
-            all_.piece[rows, columns], all_.log_chance[rows, columns], all_.upto[rows, columns] = new.piece, new.log_chance, new.upto
-            all_.upto[rows, columns.stop:] = new.upto[:, -1:]
-            all_.log_chance[rows, columns.stop:] = -np.inf
             number[fresh] = self.known.size + np.arange(fresh.size)
-            all_.first = np.concatenate((all_.first, new.first + self.used))
+            self._add(Lattices.build(self.model, points, starts[sample[fresh]], sizes[sample[fresh]]))
             self.known = np.concatenate((self.known, distinct[fresh]))
-            self.used += new.left.size
         return number[inverse]
 
     def _numbers(self, distinct: np.ndarray) -> np.ndarray:
@@ -326,8 +379,8 @@ class Draw:
     begins: np.ndarray
 
     @classmethod
-    def of(cls, lattices: Lattices, units: np.ndarray, seeds: np.ndarray, number: int) -> Draw:
-        chances, pieces, begins = lattices.sample(units, drawn(seeds, number))
+    def of(cls, lattices: Lattices, units: np.ndarray, seeds: np.ndarray, order: np.ndarray, number: int) -> Draw:
+        chances, pieces, begins = lattices.sample(units, drawn(seeds, number), order)
         with np.errstate(divide="ignore"):
             others = np.log(-np.expm1(np.minimum(chances, 0.0)))
         others[lattices.paths[lattices.first[units]] <= 1] = -np.inf
@@ -337,7 +390,7 @@ class Draw:
         return Draw(self.chances[first:last], self.others[first:last], self.noise[first:last], self.pieces, self.begins[first:last + 1])
 
 
-def search(lattices: Lattices, units: np.ndarray, draws: list[Draw], seed: np.uint64, k: int) -> tuple[list[Path], float]:
+def search(lattices: Lattices, units: np.ndarray, draws: list[Draw], seed: int, k: int) -> tuple[list[Path], float]:
     """The k best perturbed paths of one text and the bound of the next.
 
     ``draws[r]`` has independent draws of all its units; path r takes from it
@@ -346,7 +399,7 @@ def search(lattices: Lattices, units: np.ndarray, draws: list[Draw], seed: np.ui
     paths: list[Path] = []
     bounds: list[np.ndarray] = []  # for every path, the regions that depart from it at each unit
     excluded: dict[tuple[int, int], list[list[int]]] = {}
-    top, parent, depart = float(gumbel(drawn(np.asarray(seed), 77))), -1, 0
+    top, parent, depart = gumbel_one(drawn_one(seed, 77)), -1, 0
     while len(paths) < k and top > -np.inf:
         number = len(paths)
         draw = draws[number]
@@ -356,7 +409,7 @@ def search(lattices: Lattices, units: np.ndarray, draws: list[Draw], seed: np.ui
             path = Path(top, float(chances.sum()), chances, [pieces[cuts[0]:cuts[-1]]], sizes)
         else:
             old, key = paths[parent], (parent, depart)
-            chance, lengths = lattices.sample_other(int(units[depart]), excluded[key], drawn(np.asarray(seed), number, depart))
+            chance, lengths = lattices.sample_other(int(units[depart]), excluded[key], drawn_one(seed, number, depart))
             own = lattices.pieces_of(int(units[depart]), lengths)
             before = np.concatenate(old.parts)[:int(old.sizes[:depart].sum())]
             joined = np.concatenate((old.chances[:depart], [chance], chances[depart + 1:]))
@@ -364,7 +417,7 @@ def search(lattices: Lattices, units: np.ndarray, draws: list[Draw], seed: np.ui
                         np.concatenate((old.sizes[:depart], [own.size], sizes[depart + 1:])))
             # What is left of the region also excludes the path just found.
             excluded[key] = [*excluded[key], lengths]
-            bounds[parent][depart] = _region(lattices, units, old, depart, excluded[key], top, drawn(np.asarray(seed), 88, number))
+            bounds[parent][depart] = _region(lattices, units, old, depart, excluded[key], top, drawn_one(seed, 88, number))
         paths.append(path)
         if units.size == 0:
             return paths, -np.inf
@@ -382,13 +435,13 @@ def search(lattices: Lattices, units: np.ndarray, draws: list[Draw], seed: np.ui
     return paths, top
 
 
-def _region(lattices: Lattices, units: np.ndarray, path: Path, depart: int, excluded: list[list[int]], top: float, bits: np.ndarray) -> float:
+def _region(lattices: Lattices, units: np.ndarray, path: Path, depart: int, excluded: list[list[int]], top: float, bits: int) -> float:
     unit = int(units[depart])
     if len(excluded) >= lattices.paths[lattices.first[unit]]:
         return -np.inf
-    gone = sum(np.exp(lattices.log_chance_of(unit, lengths)) for lengths in excluded)
+    gone = sum(np.exp(sum(lattices.log_chance[lattices.edges_along(int(lattices.first[unit]), lengths)])) for lengths in excluded)
     mass = float(path.chances[:depart].sum() + np.log(max(1.0 - gone, 1e-15)))
-    return float(-np.logaddexp(-top, -(mass + gumbel(bits))))
+    return float(-np.logaddexp(-top, -(mass + gumbel_one(bits))))
 
 
 def log_inclusion(log_prob: float, threshold: float) -> float:
@@ -418,34 +471,43 @@ def encode_block(store: LatticeStore, texts: list[str], seeds: np.ndarray, k: in
     counts = np.diff(cuts)
     place = np.arange(starts.size) - np.repeat(cuts[:-1], counts)
     unit_seeds = drawn(np.repeat(seeds, counts), place)
-    draws = [Draw.of(lattices, unit, unit_seeds, number) for number in range(k)]
-    result = []
-    for row, text in enumerate(texts):
+    order = np.argsort(unit)
+    draws = [Draw.of(lattices, unit, unit_seeds, order, number) for number in range(k)]
+    searched = []
+    for row in range(len(texts)):
         first, last = int(cuts[row]), int(cuts[row + 1])
-        paths, threshold = search(lattices, unit[first:last], [draw.part(first, last) for draw in draws], seeds[row], k)
-        found = []
+        searched.append(search(lattices, unit[first:last], [draw.part(first, last) for draw in draws], int(seeds[row]), k))
+    # All paths of the block are spelt together.
+    parts = [part for paths, _ in searched for path in paths for part in path.parts]
+    ids, ends = _with_bytes(model, np.concatenate(parts) if parts else np.zeros(0, dtype=np.int64))
+    data, byte_ends = model.spell(ids)
+    result, at, before, byte = [], 0, 0, 0
+    for text, (paths, threshold) in zip(texts, searched, strict=True):
+        found, own = [], f" {text}".encode() if text else b""
         for path in paths:
-            ids = _with_bytes(model, np.concatenate(path.parts))
-            found.append((ids, path.score, path.log_prob, log_inclusion(path.log_prob, threshold), model.decode(ids.tolist()) == text))
+            at += sum(part.size for part in path.parts)
+            end = int(ends[at])
+            stop = int(byte_ends[end])
+            found.append((ids[before:end], path.score, path.log_prob, log_inclusion(path.log_prob, threshold), data[byte:stop] == own))
+            before, byte = end, stop
         result.append(found)
     return result
 
 
-def _with_bytes(model: PieceModel, pieces: np.ndarray) -> np.ndarray:
-    """Piece ids, with every fallback spelt in byte pieces."""
+def _with_bytes(model: PieceModel, pieces: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Piece ids, with every fallback spelt in byte pieces, and how many ids
+    stand before each piece and in all."""
     falls = np.flatnonzero(pieces < 0)
-    if not falls.size:
-        return pieces.astype(np.int32)
-    out, last = [], 0
-    spelt: dict[int, np.ndarray] = {}
-    for at in falls.tolist():
-        point = -1 - int(pieces[at])
-        if point not in spelt:
-            char = chr(SPACE if point == OTHER_SPACE else point)
-            spelt[point] = model.byte_id[np.frombuffer(char.encode(), dtype=np.uint8)]
-        out += [pieces[last:at].astype(np.int32), spelt[point]]
-        last = at + 1
-    return np.concatenate([*out, pieces[last:].astype(np.int32)])
+    points = -1 - pieces[falls]
+    points[points == OTHER_SPACE] = SPACE
+    sizes = np.ones(pieces.size, dtype=np.int64)
+    many = 1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000)
+    sizes[falls] = many
+    ends = np.concatenate(([0], np.cumsum(sizes)))
+    ids = np.repeat(pieces.astype(np.int32), sizes)
+    spelt = model.byte_id[np.frombuffer(points.astype("<u4").tobytes().decode("utf-32-le").encode(), dtype=np.uint8)]
+    ids[np.repeat(ends[falls] - np.cumsum(many) + many, many) + np.arange(spelt.size)] = spelt
+    return ids, ends
 
 
 def sample_segmentations(

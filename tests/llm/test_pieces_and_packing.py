@@ -57,6 +57,17 @@ def test_probabilities_and_frequencies(store):
         assert abs(second[ids] / n - after) < 5 * math.sqrt(after / n) + 1e-3
 
 
+def test_lattices_hold_the_edges_that_exist_and_no_others(store):
+    """Work on a unit grows with its edges, not with its characters times the longest piece."""
+    own = LatticeStore(store.model)
+    texts = ["the", "segmentation", "xqzv", "of", "internationalisation"]
+    encode_block(own, [" ".join(texts)], np.array([3], dtype=np.uint64), 2)
+    pieces = {store.model.bytes_of[i].decode() for i in store.model.ids.tolist()}
+    units = [f" {text}" for text in texts]
+    edges = sum(unit[a:b] in pieces or b == a + 1 for unit in units for a in range(len(unit)) for b in range(a + 1, len(unit) + 1))
+    assert own.used == sum(map(len, units)) and own.used_edges == edges
+
+
 def test_all_segmentations_come_out_once(store):
     exact = _all_paths(store, "ab c")
     (found,) = encode_block(store, ["ab c"], np.array([3], dtype=np.uint64), 500)
