@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from loomtext.llm.hashing import mixed
 from loomtext.llm.spark_tools import checkpointed, smallest_marks
+from loomtext.llm.words import releasing
 
 UNDETERMINED = "und"
 
@@ -207,6 +208,7 @@ def identify(docs: DataFrame, model: CodeModel, text: str = "text", min_lead: fl
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size: dimensions x bits
 
     @F.arrow_udf("lang_pred string, score double, ambiguous boolean")
+    @releasing
     def identified(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             rows = [shared.value.predict(text.as_py(), min_lead) for text in batch]

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from loomtext.llm.hashing import WordHasher, mixed, span_hashes
 from loomtext.llm.spark_tools import checkpointed, components, skew_join
+from loomtext.llm.words import releasing
 
 SHINGLE = 5
 SIDE_KEYS = 10  # keys in each collection
@@ -86,7 +87,7 @@ def signatures(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                 )
 
     source = docs.select(F.col(doc_id).cast("bigint"), F.col(text))
-    return source.mapInArrow(signed, "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, keys array<bigint>")
+    return source.mapInArrow(releasing(signed), "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, keys array<bigint>")
 
 
 def shared_tables(classes: DataFrame) -> DataFrame:
@@ -145,7 +146,7 @@ def shingle_lists(docs: DataFrame, needed: DataFrame, doc_id: str, text: str) ->
 
     source = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).alias("text"))
     # Rows of one id are one document: any of its texts may confirm a link.
-    return checkpointed(source.join(needed, "id", "left_semi").mapInArrow(listed, "id bigint, set binary"))
+    return checkpointed(source.join(needed, "id", "left_semi").mapInArrow(releasing(listed), "id bigint, set binary"))
 
 
 def compared(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
@@ -167,7 +168,7 @@ def compared(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
 
     one = pairs.select("a", "b").join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
     both = one.join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
-    return both.select("a", "b", "set_a", "set_b").mapInArrow(measured, "a bigint, b bigint, share double, linked boolean")
+    return both.select("a", "b", "set_a", "set_b").mapInArrow(releasing(measured), "a bigint, b bigint, share double, linked boolean")
 
 
 def _labelled(rows: DataFrame, reached: DataFrame, column: str, label: str) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomtext.llm.hashing import WORD_BASE, HashIndex, Powers, mixed, span_hashes
-from loomtext.llm.words import text_blocks
+from loomtext.llm.words import releasing, text_blocks
 
 SPACE = 0x2581  # stands for a space
 OTHER_SPACE = 0x110000  # the character U+2581 itself, which no piece holds
@@ -550,7 +550,7 @@ def sample_segmentations(
     kind = docs.select(key).dtypes[0][1]
     source = docs.select(F.col(key), F.xxhash64(F.lit(seed), F.col(key).cast("string")), F.col(text))
     ddl = f"key {kind}, draw int, ids array<int>, score double, log_prob double, log_inclusion double, decodes boolean"
-    return source.mapInArrow(sampled, ddl).withColumnRenamed("key", key)
+    return source.mapInArrow(releasing(sampled), ddl).withColumnRenamed("key", key)
 
 
 def decode_pieces(encoded: DataFrame, vocabulary: str, ids: str = "ids", out: str = "text") -> DataFrame:

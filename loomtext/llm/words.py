@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,6 +52,23 @@ def text_blocks(texts: Iterable[str | None], chars: int) -> Iterator[list[str]]:
         yield block
 
 
+def releasing(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``work`` on the batches of a task, after which its process gives back the
+    memory that Arrow and the C library would keep.  Spark's Python workers
+    outlive their tasks, and what one task needed for a while would otherwise
+    count against the executor in all later ones."""
+
+    @functools.wraps(work)
+    def tidy(batches: Iterator) -> Iterator:
+        yield from work(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+        if trim is not None:
+            trim(0)
+
+    return tidy
+
+
 def free_names(df: DataFrame, *names: str, beside: str = "") -> list[str]:
     """The names, with underscores in front until no column of ``df`` has them,
     nor the column ``beside``."""

@@ -9,7 +9,7 @@ import public_tokenizers
 import pytest
 from helpers import clashing, empty, odd
 
-from loomtext.llm import packing
+from loomtext.llm import packing, words
 from loomtext.llm.sampled_pieces import LatticeStore, PieceModel, decode_pieces, encode_block, log_inclusion, sample_segmentations
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -68,6 +68,16 @@ def test_lattices_hold_the_edges_that_exist_and_no_others(store):
     assert own.used == sum(map(len, units)) and own.used_edges == edges
 
 
+def test_memory_goes_back_after_the_last_batch(monkeypatch):
+    import pyarrow as pa
+
+    released, pool = [], pa.default_memory_pool()
+    monkeypatch.setattr(pa, "default_memory_pool", lambda: released.append(True) or pool)
+    batches = words.releasing(lambda some: (2 * one for one in some))(iter([1, 2]))
+    assert [next(batches), next(batches)] == [2, 4] and not released
+    assert list(batches) == [] and released
+
+
 def test_all_segmentations_come_out_once(store):
     exact = _all_paths(store, "ab c")
     (found,) = encode_block(store, ["ab c"], np.array([3], dtype=np.uint64), 500)
