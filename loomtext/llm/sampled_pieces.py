@@ -303,9 +303,10 @@ class Lattices:
 
 class LatticeStore:
     """Lattices that one block after another shares, up to a number of nodes;
-    beyond it the store starts anew.  Only time depends on what it holds."""
+    beyond it the store starts anew.  Only time and memory depend on what it
+    holds: about 100 bytes a node, in every Python worker of an executor."""
 
-    def __init__(self, model: PieceModel, max_nodes: int = 1 << 19):
+    def __init__(self, model: PieceModel, max_nodes: int = 1 << 17):
         self.model, self.max_nodes = model, max_nodes
         self._clear(max_nodes)
 
@@ -512,7 +513,7 @@ def _with_bytes(model: PieceModel, pieces: np.ndarray) -> tuple[np.ndarray, np.n
 
 def sample_segmentations(
     docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text", k: int = 2, temperature: float = 4096.0,
-    seed: int = 0, block_chars: int = 1 << 18,
+    seed: int = 0, block_chars: int = 1 << 16,
 ) -> DataFrame:
     """(key, draw, ids, score, log_prob, log_inclusion, decodes): up to ``k``
     different segmentations of every text, drawn without replacement.

@@ -1,7 +1,9 @@
 """Sampled segmentations (9) and packing (2): exact round trips and distributions."""
 
+import inspect
 import math
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -68,6 +70,40 @@ def test_lattices_hold_the_edges_that_exist_and_no_others(store):
     assert own.used == sum(map(len, units)) and own.used_edges == edges
 
 
+def test_a_worker_needs_little_memory_whatever_it_has_read(store):
+    """Two workers share an executor with a JVM that takes most of it."""
+    rng = random.Random(11)
+    spelt = lambda: "".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(2, 12)))
+    texts = [" ".join(spelt() for _ in range(300)) for _ in range(400)]
+    block_chars = inspect.signature(sample_segmentations).parameters["block_chars"].default
+    tracemalloc.start()
+    try:
+        own = LatticeStore(store.model)
+        for block in words.text_blocks(texts, block_chars):
+            encode_block(own, block, np.arange(len(block), dtype=np.uint64), 2)
+        assert tracemalloc.get_traced_memory()[1] < 60 << 20
+    finally:
+        tracemalloc.stop()
+
+
+def test_blocks_and_stores_of_any_size_draw_alike(store):
+    rng = random.Random(12)
+    texts = [" ".join(rng.choice(["the", "segmentation", "xqzv", "日本", "of", "zz" * 9]) for _ in range(rng.randrange(40))) for _ in range(60)]
+    seeds = np.arange(len(texts), dtype=np.uint64)
+
+    def drawn(block_chars, max_nodes):
+        own, row, found = LatticeStore(store.model, max_nodes), 0, []
+        for block in words.text_blocks(texts, block_chars):
+            found += encode_block(own, block, seeds[row:row + len(block)], 2)
+            row += len(block)
+        paths = [path for one in found for path in one]
+        return [len(one) for one in found], [path[0].tolist() for path in paths], [path[1:4] for path in paths]
+
+    counts, ids, numbers = drawn(1 << 18, 1 << 19)
+    for block_chars, max_nodes in ((1 << 16, 1 << 17), (300, 64), (1, 1)):
+        assert drawn(block_chars, max_nodes) == (counts, ids, [pytest.approx(three) for three in numbers])
+
+
 def test_memory_goes_back_after_the_last_batch(monkeypatch):
     import pyarrow as pa
 
