@@ -15,6 +15,7 @@ are arrays.
 
 from __future__ import annotations
 
+import heapq
 import math
 from bisect import bisect_left
 from collections.abc import Iterator, Sequence
@@ -25,13 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtext.llm.hashing import WORD_BASE, HashIndex, Powers, mixed, span_hashes
+from loomtext.llm.hashing import WORD_BASE, Powers, mixed, span_hashes
 from loomtext.llm.words import releasing, text_blocks
 
 SPACE = 0x2581  # stands for a space
 OTHER_SPACE = 0x110000  # the character U+2581 itself, which no piece holds
 NORMAL, USER_DEFINED, BYTE = 1, 4, 6
 _MASK = (1 << 64) - 1
+MOST_NOISE = 38.0  # more than ``gumbel`` of any bits, but for the last of 2 ** 53
+HEAD = 128  # units of a text whose regions are looked at first
 
 
 def unit_interval(bits: np.ndarray) -> np.ndarray:
@@ -69,8 +72,59 @@ def gumbel_one(bits: int) -> float:
     return -math.log(-math.log(unit_one(bits)))
 
 
+class PieceTrie:
+    """The beginnings of all pieces as states.  ``root`` gives the state of a
+    first character; the state after another one stands in ``after`` at
+    ``base`` + ``kind`` of that character, if ``check`` names the state there."""
+
+    def __init__(self, flat: np.ndarray, sizes: np.ndarray):
+        begins, state = np.cumsum(sizes) - sizes, np.full(sizes.size, -1)
+        parents, chars, ends, count = [], [], [], 0
+        for place in range(int(sizes.max())):
+            live = np.flatnonzero(sizes > place)
+            keys, inverse = np.unique((state[live] + 1) << 21 | flat[begins[live] + place].astype(np.int64), return_inverse=True)
+            state[live] = count + inverse
+            parents.append((keys >> 21) - 1)
+            chars.append(keys & (1 << 21) - 1)
+            ends.append(live[sizes[live] == place + 1])
+            count += keys.size
+        parent, char = np.concatenate(parents), np.concatenate(chars)
+        self.whole = np.full(count + 1, -1, dtype=np.int64)  # the piece of a state; the last state is that of no beginning
+        self.whole[state[np.concatenate(ends)]] = np.concatenate(ends)
+        self.root = np.full(0x110001, count, dtype=np.int32)
+        self.root[char[parent < 0]] = np.flatnonzero(parent < 0)
+        child = np.flatnonzero(parent >= 0)
+        known, kinds = np.unique(char[child], return_inverse=True)
+        self.kind = np.full(0x110001, known.size, dtype=np.int32)
+        self.kind[known] = np.arange(known.size)
+        self.none = known.size  # the kind of characters that go on no beginning
+        self._place(parent[child], kinds, child, count)
+
+    def _place(self, owners: np.ndarray, kinds: np.ndarray, states: np.ndarray, count: int) -> None:
+        """Every state takes a base where the places of its next states are free,
+        those with the most next states first."""
+        room = 1 << int(2 * owners.size).bit_length()
+        self.base = np.zeros(count + 1, dtype=np.int64)
+        self.check, self.after = np.full(room + self.none + 1, -1, dtype=np.int64), np.zeros(room + self.none + 1, dtype=np.int64)
+        claim, failed = np.empty_like(self.check), np.empty(count, dtype=bool)
+        degree = np.frexp(np.bincount(owners, minlength=count))[1][owners]  # by powers of 2
+        turn = 0
+        for group in np.unique(degree)[::-1]:
+            left = np.flatnonzero(degree == group)
+            while left.size:
+                who, turn = owners[left], turn + 1
+                slots = (drawn(np.uint64(turn), who) & np.uint64(room - 1)).astype(np.int64) + kinds[left]
+                claim[slots] = who
+                failed[who] = False
+                failed[who[(claim[slots] != who) | (self.check[slots] >= 0)]] = True
+                done = ~failed[who]
+                self.check[slots[done]], self.after[slots[done]] = who[done], states[left[done]]
+                self.base[who[done]] = slots[done] - kinds[left[done]]
+                left = left[~done]
+
+
 class PieceModel:
-    """Pieces, their weights and the index of a SentencePiece model file."""
+    """Pieces, their weights and the trie of a SentencePiece model file."""
 
     def __init__(self, path: str, temperature: float):
         from sentencepiece import sentencepiece_model_pb2
@@ -94,30 +148,23 @@ class PieceModel:
         self.byte_start = np.cumsum(self.byte_size) - self.byte_size
         self.spelt = np.frombuffer(b"".join(self.bytes_of), dtype=np.uint8)  # all pieces, one after the other
         self.ids = np.array([i for i, _, _ in lattice], dtype=np.int32)
-        points = [np.frombuffer(piece.encode("utf-32-le"), dtype=np.uint32) for _, piece, _ in lattice]
-        sizes = np.array([p.size for p in points])
+        pieces = [piece for _, piece, _ in lattice]
+        flat, sizes = np.frombuffer("".join(pieces).encode("utf-32-le"), dtype=np.uint32), np.array(list(map(len, pieces)))
         self.longest = int(sizes.max())
         self.length_of = np.ones(len(proto.pieces), dtype=np.int64)
         self.length_of[self.ids] = sizes
-        flat, ends = np.concatenate(points), np.cumsum(sizes)
-        self.powers = Powers(WORD_BASE)
-        # Every beginning of a piece is a key, so a search ends where no piece goes on.
-        lengths = np.concatenate([np.arange(1, size + 1) for size in sizes.tolist()])
-        begins = np.repeat(ends - sizes, sizes)
-        hashes = span_hashes(flat.astype(np.uint64) + np.uint64(1), begins, begins + lengths, self.powers).view(np.int64)
-        keys, inverse = np.unique(hashes, return_inverse=True)
-        self.index, self.whole = HashIndex(keys), np.full(keys.size, -1, dtype=np.int64)
-        self.whole[inverse[ends - 1]] = np.arange(sizes.size)
-        self.single = np.full(0x110001, -1, dtype=np.int64)  # pieces of one character
-        self.single[flat[ends[sizes == 1] - 1]] = np.flatnonzero(sizes == 1)
+        self.powers, self.trie = Powers(WORD_BASE), PieceTrie(flat, sizes)
         scores = np.array([score for _, _, score in lattice])
         lowest = scores[scores > -1e8].min()
         self.weights = np.maximum(scores, lowest) / temperature  # marked-out pieces weigh as the rarest
-        self.byte_weight = lowest / temperature
+        # What edges can be: the pieces, and last a byte fallback.
+        self.fallback = len(lattice)
+        self.edge_ids, self.edge_weights = np.append(self.ids, np.int32(0)), np.append(self.weights, lowest / temperature)
+        # Units of fewer characters have masses and chances that floats can hold without logarithms.
+        self.plain = 600 / (0.7 + max(0.0, self.edge_weights.max()) - min(0.0, self.edge_weights.min()))
+        self.edge_shares = np.exp(np.clip(self.edge_weights, -600, 600))
         self.joins = np.zeros(0x110001, dtype=bool)  # characters that some longer piece holds
-        for p in points:
-            if p.size > 1:
-                self.joins[p] = True
+        self.joins[flat[np.repeat(sizes > 1, sizes)]] = True
 
     def points(self, text: str) -> np.ndarray:
         """The characters of the lattice: a space in front, spaces marked."""
@@ -142,15 +189,14 @@ class Lattices:
     The edges of a node, from the shortest on, are ``count`` places from
     ``start``: characters to the next node (0: the unit ends), piece (a byte
     fallback is minus the character, less one), the log chance of taking it from
-    there, and the chance of it or a shorter one."""
+    there, and the chance of it or a shorter one, which is 1 for the last."""
 
     model: PieceModel
     first: np.ndarray  # the first node of every unit
-    left: np.ndarray  # characters from each node to the end of its unit
+    size: np.ndarray  # the nodes of every unit
+    single: np.ndarray  # whether a unit has one path only
     start: np.ndarray
     count: np.ndarray
-    paths: np.ndarray  # the number of paths from each node, as a float
-    whole: np.ndarray  # the chance of all edges of each node, 1 as far as rounding goes
     hop: np.ndarray
     piece: np.ndarray
     log_chance: np.ndarray
@@ -158,7 +204,7 @@ class Lattices:
 
     @classmethod
     def empty(cls, model: PieceModel, nodes: int, edges: int) -> Lattices:
-        return cls(model, np.zeros(0, dtype=np.int64), *[np.zeros(nodes, dtype=kind) for kind in (np.int32, np.int64, np.int32, np.float64, np.float32)],
+        return cls(model, *[np.zeros(0, dtype=kind) for kind in (np.int64, np.int64, bool)], *[np.zeros(nodes, dtype=np.int32) for _ in range(2)],
                    *[np.zeros(edges, dtype=kind) for kind in (np.int32, np.int32, np.float32, np.float32)])
 
     @classmethod
@@ -167,90 +213,108 @@ class Lattices:
         n = int(sizes.sum())
         if not n:
             return cls.empty(model, 0, 0)
-        at = np.arange(n) - np.repeat(first, sizes)
-        chars = points[np.repeat(starts, sizes) + at]
-        left = np.repeat(sizes, sizes) - at
-        found = model.single[chars]
-        edges = [(np.arange(n), np.where(found >= 0, model.ids[found], -1 - chars.astype(np.int64)), np.where(found >= 0, model.weights[found], model.byte_weight))]
-        values = chars.astype(np.uint64) + np.uint64(1)
-        nodes, rolled, count = edges[0][0], values, np.ones(n, dtype=np.int64)
-        model.powers.reach(model.longest)
-        for extra in range(1, min(model.longest, int(sizes.max()))):
-            inside = np.flatnonzero(left[nodes] > extra)
-            nodes = nodes[inside]
-            rolled = rolled[inside] + values[nodes + extra] * model.powers.up[extra]
-            prefix = model.index.lookup(mixed(rolled).view(np.int64))
-            going = np.flatnonzero(prefix >= 0)
-            nodes, rolled, found = nodes[going], rolled[going], model.whole[prefix[going]]
-            there = np.flatnonzero(found >= 0)
-            edges.append((nodes[there], model.ids[found[there]], model.weights[found[there]]))
-            count[nodes[there]] += 1
+        trie, at = model.trie, np.arange(n)
+        chars = points[np.repeat(starts - first, sizes) + at]
+        left = np.repeat(first + sizes, sizes) - at
+        # The pieces from every node by their length, searched in the trie until it
+        # ends; what stands after a unit goes on no beginning.
+        width = min(model.longest, int(sizes.max()))
+        found = np.full((n, width), -1, dtype=np.int16 if model.fallback < 1 << 15 else np.int32)
+        state = trie.root[chars].astype(np.int64)
+        found[:, 0] = single = trie.whole[state]
+        found[single < 0, 0] = model.fallback
+        where = at + np.repeat(np.arange(sizes.size), sizes)
+        kinds = np.full(n + sizes.size, trie.none, dtype=np.int64)
+        kinds[where] = trie.kind[chars]
+        places = at * width
+        for extra in range(1, width):
+            slot = trie.base[state] + kinds[where + extra]
+            going = np.flatnonzero(trie.check[slot] == state)
+            places, where, state = places[going], where[going], trie.after[slot[going]]
+            found.reshape(-1)[places + extra] = trie.whole[state]
         # Nodes as near to the end of their unit have their edges side by side.
         order = np.argsort(left.astype(np.uint16) if sizes.max() < 1 << 16 else left, kind="stable")
-        counts = count[order]
+        found = found.take(order, axis=0).reshape(-1)
+        edges = np.flatnonzero(found >= 0)
+        found, row = found[edges].astype(np.int64), edges // width
+        hop = edges - row * width + 1
+        counts = np.bincount(row, minlength=n)
         ends = np.cumsum(counts)
         begins, total = ends - counts, int(ends[-1])
-        start = np.empty(n, dtype=np.int64)
-        start[order] = begins
-        hop, piece, weight = np.empty(total, dtype=np.int32), np.empty(total, dtype=np.int32), np.empty(total)
-        free = start.copy()
-        for extra, (nodes, pieces, weights) in enumerate(edges):
-            slots = free[nodes]
-            hop[slots], piece[slots], weight[slots] = extra + 1, pieces, weights
-            free[nodes] += 1
-        owner = np.repeat(order, counts)
-        inside = hop < left[owner]
-        hop *= inside
-        after = np.where(inside, owner + hop, n)
-        mass, paths = np.zeros(n + 1), np.ones(n + 1)
-        log_chance, chance, sums = np.empty(total, dtype=np.float32), np.empty(total), np.empty(total)
-        cuts = np.searchsorted(left[order], np.arange(1, int(sizes.max()) + 2))
-        for low, high in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            nodes, these, many = order[low:high], slice(begins[low], ends[high - 1]), counts[low:high]
-            heads = begins[low:high] - begins[low]
-            scores = weight[these] + mass[after[these]]
-            best = np.maximum.reduceat(scores, heads)
-            scores -= np.repeat(best, many)
-            chance[these] = chances = np.exp(scores)
-            all_ = np.add.reduceat(chances, heads)
-            sums[these] = np.repeat(all_, many)
-            log_all = np.log(all_)
-            mass[nodes] = best + log_all
-            log_chance[these] = scores - np.repeat(log_all, many)
-            paths[nodes] = np.add.reduceat(paths[after[these]], heads)
-        place = np.arange(total) - np.repeat(begins, counts)
-        for number in range(1, int(counts.max())):
-            slots = np.flatnonzero(place == number)
-            chance[slots] += chance[slots - 1]
-        upto = (chance / sums).astype(np.float32)
-        return cls(model, first, left, start, count, paths[:n], upto[start + count - 1], hop, piece, log_chance, upto)
+        owner, near = order[row], left[order]
+        hop *= hop < near[row]
+        after = np.where(hop > 0, owner + hop, n)
+        piece = model.edge_ids[found]
+        falls = np.flatnonzero(found == model.fallback)
+        piece[falls] = -1 - chars[owner[falls]].astype(np.int32)
+        cuts = np.searchsorted(near, np.arange(1, int(sizes.max()) + 2)).tolist()
+        levels = [(slice(begins[low], ends[high - 1]), order[low:high], begins[low:high] - begins[low], counts[low:high])
+                  for low, high in zip(cuts[:-1], cuts[1:], strict=True)]
+        if sizes.max() < model.plain:
+            mass, chance = np.ones(n + 1), model.edge_shares[found]
+            for these, nodes, heads, _ in levels:
+                chance[these] *= mass[after[these]]
+                mass[nodes] = np.add.reduceat(chance[these], heads)
+            chance /= mass[owner]
+            scores = np.log(chance)
+        else:
+            mass, scores = np.zeros(n + 1), model.edge_weights[found]
+            for these, nodes, heads, many in levels:
+                scores[these] += mass[after[these]]
+                best = np.maximum.reduceat(scores[these], heads)
+                mass[nodes] = best + np.log(np.add.reduceat(np.exp(scores[these] - np.repeat(best, many)), heads))
+            scores -= mass[owner]
+            chance = np.exp(scores)
+        chance = np.cumsum(chance)
+        upto = (chance - np.repeat(np.concatenate(([0.0], chance[ends[:-1] - 1])), counts)).astype(np.float32)
+        upto[ends - 1] = 1.0
+        start, count = np.empty(n, dtype=np.int32), np.empty(n, dtype=np.int32)
+        start[order], count[order] = begins, counts
+        single = np.add.reduceat(count, first) == sizes
+        return cls(model, first, sizes, single, start, count, hop.astype(np.int32), piece, scores.astype(np.float32), upto)
 
     def sample(self, units: np.ndarray, seeds: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """One path for each unit: log chances, pieces, and where each unit's begin.
         They are looked up in ``order``; if that sorts them, memory is read in turn."""
         chance, counts = np.zeros(units.size), np.zeros(units.size, dtype=np.int64)
         owners, pieces = [], []
-        active, node, seeds, step = order, self.first[units[order]], seeds[order], 0
+        active, node, seeds, total, step = order, self.first[units[order]], seeds[order], np.zeros(order.size), 0
         while active.size:
-            edge = self.start[node]
-            u = unit_interval(drawn(seeds, step)) * self.whole[node]
-            beyond = np.flatnonzero(self.upto[edge] < u)
+            edge = self.start.take(node).astype(np.int64)
+            u = unit_interval(drawn(seeds, step))
+            beyond = np.flatnonzero(self.upto.take(edge) < u)
+            further, u = edge[beyond], u[beyond]
             while beyond.size:
-                edge[beyond] += 1
-                beyond = beyond[self.upto[edge[beyond]] < u[beyond]]
-            chance[active] += self.log_chance[edge]
+                further += 1
+                edge[beyond] = further
+                more = np.flatnonzero(self.upto.take(further) < u)
+                beyond, further, u = beyond[more], further[more], u[more]
+            step += 1
+            total += self.log_chance.take(edge)
+            chance[active], counts[active] = total, step  # for good if the unit ends here
             owners.append(active)
-            pieces.append(self.piece[edge])
-            counts[active] += 1
-            hop = self.hop[edge]
+            pieces.append(self.piece.take(edge))
+            hop = self.hop.take(edge)
             going = np.flatnonzero(hop)
-            active, node, seeds, step = active[going], node[going] + hop[going], seeds[going], step + 1
+            active, node, seeds, total = active[going], node[going] + hop[going], seeds[going], total[going]
         begins = np.concatenate(([0], np.cumsum(counts)))
         flat = np.empty(begins[-1], dtype=np.int64)
         for step, (active, found) in enumerate(zip(owners, pieces, strict=True)):
             flat[begins[active] + step] = found
         return chance, flat, begins
 
+    def more_paths(self, node: int, end: int, than: int) -> bool:
+        """Whether more than so many paths lead from a node to the end of its unit."""
+        # Every edge beyond the first of a node adds at least one path.
+        if int(self.count[node:end].sum()) - (end - node) >= than:
+            return True
+        paths = [1.0]  # from the end backwards
+        for at in range(end - 1, node - 1, -1):
+            start = int(self.start[at])
+            hops = self.hop[start:start + int(self.count[at])].tolist()
+            paths.append(sum(paths[len(paths) - hop if hop else 0] for hop in hops))
+        return paths[-1] > than
+
     def lengths(self, pieces: np.ndarray) -> list[int]:
         return np.where(pieces < 0, 1, self.model.length_of[np.maximum(pieces, 0)]).tolist()
 
@@ -273,9 +337,9 @@ class Lattices:
         """A path of a unit that is none of the excluded ones, in proportion to
         the chances; there must be one."""
         node, step, lengths, total = int(self.first[unit]), 0, [], 0.0
-        live = excluded
+        live, end = excluded, int(self.first[unit] + self.size[unit])
         while True:
-            left = int(self.left[node])
+            left = end - node
             sums, options, mass, start = [], [], 0.0, int(self.start[node])
             here = slice(start, start + int(self.count[node]))
             for hop, log_chance in zip(self.hop[here].tolist(), self.log_chance[here].tolist(), strict=True):
@@ -283,7 +347,7 @@ class Lattices:
                 after = [path for path in live if path[len(lengths)] == length]
                 rest, gone = node + length, 0.0
                 if after:
-                    if len(after) >= (self.paths[rest] if length < left else 1.0):
+                    if not self.more_paths(rest, end, len(after)):
                         continue
                     gone = sum(math.exp(self.log_chance_of(rest, path[len(lengths) + 1:])) for path in after)
                 mass += math.exp(log_chance) * max(1.0 - gone, 1e-15)
@@ -304,20 +368,20 @@ class Lattices:
 class LatticeStore:
     """Lattices that one block after another shares, up to a number of nodes;
     beyond it the store starts anew.  Only time and memory depend on what it
-    holds: about 100 bytes a node, in every Python worker of an executor."""
+    holds: about 50 bytes a node, in every Python worker of an executor."""
 
-    def __init__(self, model: PieceModel, max_nodes: int = 1 << 17):
+    def __init__(self, model: PieceModel, max_nodes: int = 1 << 18):
         self.model, self.max_nodes = model, max_nodes
         self._clear(max_nodes)
 
     def _clear(self, nodes: int) -> None:
         self.lattices = Lattices.empty(self.model, nodes, 3 * nodes)
-        self.used, self.used_edges, self.known = 0, 0, np.zeros(0, dtype=np.uint64)  # known[i]: hash of unit i
+        self.used = self.used_edges = 0
+        self.known, self.number = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)  # hashes of units, in order, and their numbers
 
     def _add(self, new: Lattices) -> None:
-        all_, nodes, edges = self.lattices, slice(self.used, self.used + new.left.size), slice(self.used_edges, self.used_edges + new.piece.size)
-        for name in ("left", "count", "paths", "whole"):
-            getattr(all_, name)[nodes] = getattr(new, name)
+        all_, nodes, edges = self.lattices, slice(self.used, self.used + new.start.size), slice(self.used_edges, self.used_edges + new.piece.size)
+        all_.count[nodes] = new.count
         all_.start[nodes] = new.start + self.used_edges
         for name in ("hop", "piece", "log_chance", "upto"):
             held = getattr(all_, name)
@@ -325,7 +389,8 @@ class LatticeStore:
                 held = np.concatenate((held, np.zeros(edges.stop - held.size + held.size // 4, dtype=held.dtype)))
                 setattr(all_, name, held)
             held[edges] = getattr(new, name)
-        all_.first = np.concatenate((all_.first, new.first + self.used))
+        for name, values in (("first", new.first + self.used), ("size", new.size), ("single", new.single)):
+            setattr(all_, name, np.concatenate((getattr(all_, name), values)))
         self.used, self.used_edges = nodes.stop, edges.stop
 
     def units(self, points: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -334,61 +399,102 @@ class LatticeStore:
         distinct, sample, inverse = np.unique(hashes, return_index=True, return_inverse=True)
         number = self._numbers(distinct)
         needed = int(sizes[sample[number < 0]].sum())
-        if self.used + needed > len(self.lattices.left):
+        if self.used + needed > self.lattices.start.size:
             self._clear(max(self.max_nodes, int(sizes[sample].sum())))
             number = self._numbers(distinct)
         fresh = np.flatnonzero(number < 0)
         if fresh.size:
             number[fresh] = self.known.size + np.arange(fresh.size)
             self._add(Lattices.build(self.model, points, starts[sample[fresh]], sizes[sample[fresh]]))
-            self.known = np.concatenate((self.known, distinct[fresh]))
+            at = np.searchsorted(self.known, distinct[fresh])
+            self.known, self.number = np.insert(self.known, at, distinct[fresh]), np.insert(self.number, at, number[fresh])
         return number[inverse]
 
     def _numbers(self, distinct: np.ndarray) -> np.ndarray:
         if not self.known.size:
             return np.full(distinct.size, -1, dtype=np.int64)
-        order = np.argsort(self.known)
-        at = np.minimum(np.searchsorted(self.known[order], distinct), self.known.size - 1)
-        return np.where(self.known[order][at] == distinct, order[at], -1)
-
-
-@dataclass
-class Path:
-    """One segmentation of a text: pieces and their log chances unit by unit."""
-
-    score: float  # perturbed
-    log_prob: float
-    chances: np.ndarray
-    parts: list[np.ndarray]  # pieces of consecutive units, in order
-    sizes: np.ndarray  # pieces in every unit
-
-    def unit(self, number: int) -> np.ndarray:
-        flat = np.concatenate(self.parts)
-        ends = np.cumsum(self.sizes)
-        return flat[ends[number] - self.sizes[number]:ends[number]]
+        at = np.minimum(np.searchsorted(self.known, distinct), self.known.size - 1)
+        return np.where(self.known[at] == distinct, self.number[at], -1)
 
 
 @dataclass
 class Draw:
-    """One independent path for each of many units: its log chance, the log
-    chance of any other path of the unit, Gumbel noise, and the pieces."""
-
+    """One independent path for each of many units: its log chance and pieces.
+    What departs from it gains, in front of the first ``HEAD`` units of a text, the
+    log chance of any other path of the unit and Gumbel noise; ``seeds`` and
+    ``single`` (units that have no other path) give that of later units."""
+
+    number: int
+    seeds: np.ndarray
+    single: np.ndarray
     chances: np.ndarray
-    others: np.ndarray
-    noise: np.ndarray
     pieces: np.ndarray
     begins: np.ndarray
+    head: np.ndarray
 
     @classmethod
-    def of(cls, lattices: Lattices, units: np.ndarray, seeds: np.ndarray, order: np.ndarray, number: int) -> Draw:
-        chances, pieces, begins = lattices.sample(units, drawn(seeds, number), order)
+    def all_of(cls, lattices: Lattices, units: np.ndarray, seeds: np.ndarray, heads: np.ndarray, k: int) -> list[Draw]:
+        """``k`` draws; the gains of the units ``heads`` only."""
+        n, order = units.size, np.argsort(units)
+        own = np.concatenate([drawn(seeds, number) for number in range(k)])
+        chances, pieces, begins = lattices.sample(np.tile(units, k), own, (order[:, None] + n * np.arange(k)).reshape(-1))
+        single, draws = lattices.single[units], []
+        for number in range(k):
+            draw = cls(number, seeds, single, chances[number * n:(number + 1) * n], pieces, begins[number * n:(number + 1) * n + 1], heads)
+            draw.head = draw.gains(heads)
+            draws.append(draw)
+        return draws
+
+    def gains(self, units: np.ndarray | slice) -> np.ndarray:
         with np.errstate(divide="ignore"):
-            others = np.log(-np.expm1(np.minimum(chances, 0.0)))
-        others[lattices.paths[lattices.first[units]] <= 1] = -np.inf
-        return cls(chances, others, gumbel(drawn(seeds, 99, number)), pieces, begins)
+            others = np.log(-np.expm1(np.minimum(self.chances[units], 0.0)))
+        others[self.single[units]] = -np.inf
+        return others + gumbel(drawn(self.seeds[units], 99, self.number))
+
+    def part(self, first: int, last: int, head: slice) -> Draw:
+        units = slice(first, last)
+        return Draw(self.number, self.seeds[units], self.single[units], self.chances[units], self.pieces, self.begins[first:last + 1], self.head[head])
+
+    def highest(self, first: int, before: float, n: int) -> list[tuple[float, int]]:
+        """The n highest masses with noise among the regions that depart at a unit
+        from ``first`` on, and these units; ``before`` is the log chance of all
+        before ``first``.  Units after the head are looked at only if noise may
+        outweigh what stands before them."""
+        for gains in (self.head[first:], None):
+            gains = self.gains(slice(first, self.chances.size)) if gains is None else gains
+            upto = first + gains.size
+            ends = before + np.cumsum(self.chances[first:upto])
+            masses = ends - self.chances[first:upto] + gains
+            found = np.argpartition(masses, -n)[-n:] if gains.size > n else np.arange(gains.size)
+            if upto == self.chances.size or gains.size >= n and ends[-1] + MOST_NOISE < masses[found].min():
+                break
+        return list(zip(masses[found].tolist(), (first + found).tolist(), strict=True))
 
-    def part(self, first: int, last: int) -> Draw:
-        return Draw(self.chances[first:last], self.others[first:last], self.noise[first:last], self.pieces, self.begins[first:last + 1])
+
+@dataclass
+class Path:
+    """One segmentation of a text: up to a unit its own, from there on as drawn."""
+
+    score: float  # perturbed
+    log_prob: float
+    chances: list[float]  # log chances and pieces of the units that are its own
+    lead: list[np.ndarray]
+    draw: Draw
+
+    def parts(self) -> list[np.ndarray]:
+        begins = self.draw.begins
+        return [*self.lead, self.draw.pieces[begins[len(self.lead)]:begins[-1]]]
+
+    def first(self, units: int) -> tuple[list[float], list[np.ndarray]]:
+        """The log chances and pieces of the first units."""
+        own, begins = len(self.lead), self.draw.begins[:units + 1].tolist()
+        return (self.chances[:units] + self.draw.chances[own:max(units, own)].tolist(),
+                self.lead[:units] + [self.draw.pieces[begins[unit]:begins[unit + 1]] for unit in range(own, units)])
+
+
+def below(top: float, mass: float) -> float:
+    """A perturbed mass, given that it is less than ``top``: -log(exp(-top) + exp(-mass))."""
+    return min(top, mass) - math.log1p(math.exp(-abs(top - mass)))
 
 
 def search(lattices: Lattices, units: np.ndarray, draws: list[Draw], seed: int, k: int) -> tuple[list[Path], float]:
@@ -398,51 +504,44 @@ def search(lattices: Lattices, units: np.ndarray, draws: list[Draw], seed: int,
     what follows the unit where it departs.
     """
     paths: list[Path] = []
-    bounds: list[np.ndarray] = []  # for every path, the regions that depart from it at each unit
+    regions: list[tuple[float, int, int]] = []  # a heap of minus the bound, the path and the unit where it departs
     excluded: dict[tuple[int, int], list[list[int]]] = {}
-    top, parent, depart = gumbel_one(drawn_one(seed, 77)), -1, 0
-    while len(paths) < k and top > -np.inf:
+    top, parent, depart = gumbel_one(drawn_one(seed, 77)), -1, -1
+    while True:
         number = len(paths)
-        draw = draws[number]
-        chances, pieces, cuts = draw.chances, draw.pieces, draw.begins
-        sizes = np.diff(cuts)
-        if parent < 0:
-            path = Path(top, float(chances.sum()), chances, [pieces[cuts[0]:cuts[-1]]], sizes)
-        else:
-            old, key = paths[parent], (parent, depart)
-            chance, lengths = lattices.sample_other(int(units[depart]), excluded[key], drawn_one(seed, number, depart))
-            own = lattices.pieces_of(int(units[depart]), lengths)
-            before = np.concatenate(old.parts)[:int(old.sizes[:depart].sum())]
-            joined = np.concatenate((old.chances[:depart], [chance], chances[depart + 1:]))
-            path = Path(top, float(joined.sum()), joined, [before, own, pieces[cuts[depart + 1]:cuts[-1]]],
-                        np.concatenate((old.sizes[:depart], [own.size], sizes[depart + 1:])))
-            # What is left of the region also excludes the path just found.
-            excluded[key] = [*excluded[key], lengths]
-            bounds[parent][depart] = _region(lattices, units, old, depart, excluded[key], top, drawn_one(seed, 88, number))
-        paths.append(path)
-        if units.size == 0:
-            return paths, -np.inf
-        # Every later unit may depart; regions share no path.
-        mass = np.cumsum(path.chances) - path.chances + draw.others
-        fresh = -np.logaddexp(-top, -(mass + draw.noise))
+        draw, chances, lead = draws[number], [], []
         if parent >= 0:
-            fresh[:depart + 1] = -np.inf  # those belong to the parent
-        bounds.append(fresh)
-        parent = max(range(len(bounds)), key=lambda p: bounds[p].max())
-        depart = int(bounds[parent].argmax())
-        top = float(bounds[parent][depart])
-        if top > -np.inf and (parent, depart) not in excluded:
-            excluded[parent, depart] = [lattices.lengths(paths[parent].unit(depart))]
-    return paths, top
-
-
-def _region(lattices: Lattices, units: np.ndarray, path: Path, depart: int, excluded: list[list[int]], top: float, bits: int) -> float:
-    unit = int(units[depart])
-    if len(excluded) >= lattices.paths[lattices.first[unit]]:
-        return -np.inf
-    gone = sum(np.exp(sum(lattices.log_chance[lattices.edges_along(int(lattices.first[unit]), lengths)])) for lengths in excluded)
-    mass = float(path.chances[:depart].sum() + np.log(max(1.0 - gone, 1e-15)))
-    return float(-np.logaddexp(-top, -(mass + gumbel_one(bits))))
+            key, unit = (parent, depart), int(units[depart])
+            chances, lead = paths[parent].first(depart + 1)
+            if key not in excluded:
+                excluded[key] = [lattices.lengths(lead[depart])]
+            chances[depart], lengths = lattices.sample_other(unit, excluded[key], drawn_one(seed, number, depart))
+            lead[depart] = lattices.pieces_of(unit, lengths)
+            # What is left of the region also excludes the path just found.
+            excluded[key].append(lengths)
+            left = _region(lattices, unit, sum(chances[:depart]), excluded[key], top, drawn_one(seed, 88, number))
+            if left > -math.inf:
+                heapq.heappush(regions, (-left, parent, depart))
+        before = sum(chances)
+        paths.append(Path(top, before + float(draw.chances[depart + 1:].sum()), chances, lead, draw))
+        # Every later unit may depart; regions share no path.  No more than k are taken in all.
+        for mass, unit in draw.highest(depart + 1, before, k):
+            if mass > -math.inf:
+                heapq.heappush(regions, (-below(top, mass), number, unit))
+        if not regions:
+            return paths, -math.inf
+        top = -regions[0][0]
+        if len(paths) == k:
+            return paths, top
+        _, parent, depart = heapq.heappop(regions)
+
+
+def _region(lattices: Lattices, unit: int, before: float, excluded: list[list[int]], top: float, bits: int) -> float:
+    first = int(lattices.first[unit])
+    if not lattices.more_paths(first, first + int(lattices.size[unit]), len(excluded)):
+        return -math.inf
+    gone = sum(np.exp(sum(lattices.log_chance[lattices.edges_along(first, lengths)])) for lengths in excluded)
+    return below(top, before + math.log(max(1.0 - float(gone), 1e-15)) + gumbel_one(bits))
 
 
 def log_inclusion(log_prob: float, threshold: float) -> float:
@@ -456,14 +555,14 @@ def log_inclusion(log_prob: float, threshold: float) -> float:
 def encode_block(store: LatticeStore, texts: list[str], seeds: np.ndarray, k: int) -> list[list[tuple]]:
     """For each text, up to k of (ids, perturbed score, log probability, log inclusion, decodes)."""
     model = store.model
-    rows = [model.points(text) if text else np.zeros(0, dtype=np.uint32) for text in texts]
-    ends = np.cumsum([row.size for row in rows])
-    points = np.concatenate(rows) if rows else np.zeros(0, dtype=np.uint32)
+    lengths = np.array([len(text) + 1 if text else 0 for text in texts], dtype=np.int64)
+    ends = np.cumsum(lengths)
+    points = model.points(" ".join(filter(None, texts))) if lengths.any() else np.zeros(0, dtype=np.uint32)
     opens = np.zeros(points.size, dtype=bool)
     if points.size:
         space, joins = points == SPACE, model.joins[points]
         opens[1:] = (space[1:] & ~space[:-1]) | ~joins[1:] | ~joins[:-1]
-        opens[np.concatenate(([0], ends[:-1]))[[row.size > 0 for row in rows]]] = True
+        opens[np.concatenate(([0], ends[:-1]))[lengths > 0]] = True
     starts = np.flatnonzero(opens)
     sizes = np.diff(np.append(starts, points.size))
     unit = store.units(points, starts, sizes)
@@ -472,21 +571,21 @@ def encode_block(store: LatticeStore, texts: list[str], seeds: np.ndarray, k: in
     counts = np.diff(cuts)
     place = np.arange(starts.size) - np.repeat(cuts[:-1], counts)
     unit_seeds = drawn(np.repeat(seeds, counts), place)
-    order = np.argsort(unit)
-    draws = [Draw.of(lattices, unit, unit_seeds, order, number) for number in range(k)]
-    searched = []
+    heads = np.flatnonzero(place < HEAD)
+    draws = Draw.all_of(lattices, unit, unit_seeds, heads, k)
+    searched, head_cuts, cuts = [], np.searchsorted(heads, cuts).tolist(), cuts.tolist()
     for row in range(len(texts)):
-        first, last = int(cuts[row]), int(cuts[row + 1])
-        searched.append(search(lattices, unit[first:last], [draw.part(first, last) for draw in draws], int(seeds[row]), k))
+        first, last, head = cuts[row], cuts[row + 1], slice(head_cuts[row], head_cuts[row + 1])
+        searched.append(search(lattices, unit[first:last], [draw.part(first, last, head) for draw in draws], int(seeds[row]), k))
     # All paths of the block are spelt together.
-    parts = [part for paths, _ in searched for path in paths for part in path.parts]
-    ids, ends = _with_bytes(model, np.concatenate(parts) if parts else np.zeros(0, dtype=np.int64))
+    parts = [[path.parts() for path in paths] for paths, _ in searched]
+    ids, ends = _with_bytes(model, np.concatenate([np.zeros(0, dtype=np.int64), *[part for row in parts for path in row for part in path]]))
     data, byte_ends = model.spell(ids)
     result, at, before, byte = [], 0, 0, 0
-    for text, (paths, threshold) in zip(texts, searched, strict=True):
+    for text, row, (paths, threshold) in zip(texts, parts, searched, strict=True):
         found, own = [], f" {text}".encode() if text else b""
-        for path in paths:
-            at += sum(part.size for part in path.parts)
+        for path, some in zip(paths, row, strict=True):
+            at += sum(map(len, some))
             end = int(ends[at])
             stop = int(byte_ends[end])
             found.append((ids[before:end], path.score, path.log_prob, log_inclusion(path.log_prob, threshold), data[byte:stop] == own))

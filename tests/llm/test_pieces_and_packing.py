@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 from helpers import clashing, empty, odd
 
-from loomtext.llm import packing, words
+from loomtext.llm import packing, sampled_pieces, words
 from loomtext.llm.sampled_pieces import LatticeStore, PieceModel, decode_pieces, encode_block, log_inclusion, sample_segmentations
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -104,6 +104,55 @@ def test_blocks_and_stores_of_any_size_draw_alike(store):
         assert drawn(block_chars, max_nodes) == (counts, ids, [pytest.approx(three) for three in numbers])
 
 
+def _same(some, other):
+    assert [len(one) for one in some] == [len(one) for one in other]
+    for one, two in zip(sum(some, []), sum(other, []), strict=True):
+        assert one[0].tolist() == two[0].tolist() and one[1:4] == pytest.approx(two[1:4]) and one[4] == two[4]
+
+
+def test_noise_is_drawn_for_the_front_of_a_text_only(store, monkeypatch):
+    """What stands before a late unit outweighs any noise, so it need not be drawn."""
+    rng = random.Random(13)
+    texts = [" ".join(rng.choice(["thereof", "segmentation", "international", "of"]) for _ in range(3000)) for _ in range(4)]
+    sizes, gumbel = [], sampled_pieces.gumbel
+    monkeypatch.setattr(sampled_pieces, "gumbel", lambda bits: sizes.append(bits.size) or gumbel(bits))
+    found = encode_block(store, texts, np.arange(4, dtype=np.uint64), 2)
+    assert all(len(one) == 2 for one in found) and sum(sizes) < 3000
+
+
+@pytest.mark.parametrize("k", [1, 2, 5, 40])
+def test_a_front_of_any_size_draws_alike(store, monkeypatch, k):
+    rng = random.Random(14)
+    choices = ["the", "segmentation", "xqzv", "日本", "1", "§", "zz" * 9]
+    texts = ["", "a", "日", *(" ".join(rng.choice(choices) for _ in range(rng.randrange(300))) for _ in range(25))]
+    seeds = np.arange(len(texts), dtype=np.uint64)
+    found = encode_block(store, texts, seeds, k)
+    for head in (1, 7, 1 << 30):
+        monkeypatch.setattr(sampled_pieces, "HEAD", head)
+        _same(found, encode_block(store, texts, seeds, k))
+
+
+def test_short_units_need_no_logarithms(store, monkeypatch):
+    texts = ["the segmentation of xqzv 日本 § internationalisation", "zz" * 20 + " of", "of " + "ab" * 4000]
+    seeds = np.arange(3, dtype=np.uint64)
+    found = [encode_block(LatticeStore(store.model), [text], seeds[i:i + 1], 3)[0] for i, text in enumerate(texts)]
+    assert all(math.isfinite(path[2]) and path[4] for one in found for path in one)
+    monkeypatch.setattr(store.model, "plain", 0)
+    _same(found, encode_block(LatticeStore(store.model), texts, seeds, 3))
+
+
+def test_the_trie_holds_every_beginning_of_a_piece_and_no_other(store):
+    trie = store.model.trie
+    pieces = {store.model.bytes_of[i].decode().replace(" ", "▁"): place for place, i in enumerate(store.model.ids.tolist())}
+    begins = {piece[:n] for piece in pieces for n in range(1, len(piece) + 1)}
+    for begin in [*begins, *(begin + end for begin in sorted(begins)[::50] for end in "ae▁本\n\U0010ffff")]:
+        state = int(trie.root[ord(begin[0])])
+        for char in begin[1:]:
+            slot = trie.base[state] + trie.kind[ord(char)]
+            state = int(trie.after[slot]) if trie.check[slot] == state else trie.base.size - 1
+        assert (state < trie.base.size - 1) == (begin in begins) and trie.whole[state] == pieces.get(begin, -1)
+
+
 def test_memory_goes_back_after_the_last_batch(monkeypatch):
     import pyarrow as pa
 
