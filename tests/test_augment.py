@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
+from catalog import queries
 from loomtext.defaults import FRACTIONS, NUMERAL_DIGITS, NUMERALS
 from loomtext.operators import evaluate
 from loomtext.operators.lexicon import mine, substitute
@@ -186,3 +187,19 @@ def test_copies_spread_evenly(spark):
     mixed = augmented_mixture(frame, ["id"], copies=(400, 1), partitions=8)
     sizes = [r["count"] for r in mixed.groupBy(F.spark_partition_id()).count().collect()]
     assert len(sizes) == 8 and max(sizes) < 2 * min(sizes)
+
+
+def test_the_registered_mixture_leaves_nothing_out(spark, tmp_path):
+    """Every pair and every numeral candidate, also beyond the sizes of the sampling queries."""
+    parts = spark.range(1500).select(
+        F.col("id").alias("p_partkey"), F.lit("n").alias("p_name"), F.lit("b").alias("p_brand"), F.lit("t").alias("p_type"),
+        F.when(F.col("id") % 5 == 0, 30).otherwise(7).cast("int").alias("p_size"), F.lit(1.0).alias("p_retailprice"),
+    )
+    parts.write.parquet(f"{tmp_path}/part.parquet")
+    turns = [(0, 0, "user", "the bridge"), (0, 1, "assistant", "and the road"), (1, 0, "user", "no form"), (1, 1, "assistant", "none")]
+    spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    mixed = queries.augment_mixture(spark, str(tmp_path))
+    found = {r.component: (r.n, r.pairs) for r in mixed.groupBy("component").agg(F.count("*").alias("n"), F.count_distinct("kind", "k", "turn").alias("pairs")).collect()}
+    candidates = sum(key != 30 for key in range(0, 1500, 5))  # "30" stands twice in its own text
+    assert found["original"] == (1502, 1502) and found["numeral"] == (candidates * 4 * 3, candidates)
+    assert found["lexicon"][1] == 1
