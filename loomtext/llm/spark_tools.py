@@ -14,8 +14,15 @@ LOCAL_EDGES = 20_000  # up to so many directed edges, components are found on th
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """The frame written to the shared checkpoint folder and read from there."""
-    return stored_aside(df)
+    """The frame written to the shared checkpoint folder and read from there.
+
+    A checkpoint keeps the size that Spark estimates for its plan, a product over
+    the joins.  Made from checkpoints in turn, its digits multiply every round,
+    until the driver has no memory for the number; the frame is given out without.
+    """
+    kept = stored_aside(df)
+    rows = kept._jdf.queryExecution().analyzed().rdd()
+    return DataFrame(df.sparkSession._jsparkSession.internalCreateDataFrame(rows, kept._jdf.schema(), False), df.sparkSession)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -5,6 +5,7 @@ import random
 
 import pytest
 from helpers import clashing, empty, near_components, numbered, odd, removed_words
+from pyspark.sql import functions as F
 
 from loomtext.llm import near_dedup, spark_tools
 from loomtext.llm.near_dedup import near_duplicates
@@ -144,3 +145,13 @@ def test_components_on_the_driver_agree(spark, monkeypatch):
     here = {(r.id, r.component) for r in components(edges).collect()}
     monkeypatch.setattr(spark_tools, "LOCAL_EDGES", 0)
     assert here == {(r.id, r.component) for r in components(edges).collect()}
+
+
+def test_estimates_do_not_grow_with_the_rounds(spark, monkeypatch):
+    """Each round of a long chain joins what earlier rounds left; a size estimated
+    from theirs would have five times as many digits after each."""
+    monkeypatch.setattr(spark_tools, "LOCAL_EDGES", 0)
+    chain = spark.range(300).select(F.xxhash64("id").alias("a"), F.xxhash64(F.col("id") + 1).alias("b"))
+    found = components(chain)
+    assert found.select("component").distinct().count() == 1 and found.count() == 301
+    assert len(str(found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 60
